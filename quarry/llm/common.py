@@ -76,3 +76,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component").union(edges.select("a", "a").distinct())
+
+
+def filter_rows(df: DataFrame, fn: Callable[[dict[str, list]], list[bool]], cols: list[str], rows: int = 500) -> DataFrame:
+    """Rows of df for which fn says true; fn sees the named columns as lists. Other columns pass as they are, whatever their names and types."""
+    at = [df.columns.index(c) for c in cols]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                yield part.filter(pa.array(fn({c: part.column(i).to_pylist() for c, i in zip(cols, at, strict=True)}), pa.bool_()))
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df.mapInArrow(run, df.schema)
+
+
+def labelled(labels: DataFrame, column: str, each: int, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, y): at most `each` ids of each label, those of the smallest hash, so the sample is the same in each run. Null labels don't count; of several labels the largest does."""
+    one = labels.where(F.col(column).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("y"))
+    part = lambda y: one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+    return part(0).union(part(1))
