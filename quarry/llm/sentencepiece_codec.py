@@ -20,7 +20,7 @@ from quarry.llm.lexicon import MARK, Lexicon, chunks, load
 
 BASE = 0x9E3779B97F4A7C15
 #: Chunks remembered in a worker, and cells (chunks times characters) of a batch.
-REMEMBERED, CELLS = 300_000, 400_000
+REMEMBERED, CELLS = 300_000, 100_000
 
 
 def code_points(texts: list[str]) -> np.ndarray:
@@ -33,7 +33,6 @@ def code_points(texts: list[str]) -> np.ndarray:
 class Codec:
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.known, self.raw = lexicon, {}, lexicon.raw_bytes()
-        self.single = code_points([p for p in lexicon.pieces if len(p) == 1]).ravel()
         keys, ids, scores = [], [], []
         by_length: dict[int, list[str]] = {}
         for p in lexicon.pieces:
@@ -47,7 +46,7 @@ class Codec:
             scores += [lexicon.pieces[p][1] for p in pieces]
         self.keys = np.concatenate(keys)
         order = np.argsort(self.keys)
-        self.keys, self.ids, self.scores = self.keys[order], np.array(ids, "i8")[order], np.array(scores)[order]
+        self.keys, self.ids, self.scores = self.keys[order], np.array(ids, "i4")[order], np.array(scores)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.maybe = np.zeros(1 << 21, bool)  # by the upper bits of a hash: most substrings need no search
@@ -57,38 +56,42 @@ class Codec:
         """Ids of texts of one length, each with its mark."""
         x = code_points(texts)
         m, n = x.shape
+        every = np.arange(m)
         best = np.full((n + 1, m), -np.inf)
         best[0] = 0
-        start, piece = np.zeros((n + 1, m), "i4"), np.full((n + 1, m), -1, "i8")
+        start, piece = np.zeros((n + 1, m), "i4"), np.full((n + 1, m), -1, "i4")
         prefix = np.zeros((n + 1, m), "u8")
         for e in range(1, n + 1):
             prefix[e] = prefix[e - 1] * np.uint64(BASE) + x[:, e - 1]
         power = np.array([pow(BASE, k, 1 << 64) for k in range(self.lexicon.longest + 1)], "u8")
         for e in range(1, n + 1):
-            for s in range(max(0, e - self.lexicon.longest), e):
-                key = prefix[e] - prefix[s] * power[e - s] + np.uint64(e - s)
-                at = np.flatnonzero(self.maybe[key >> np.uint64(43)])
-                i = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
-                there = self.keys[i] == key[at]
-                at, i = at[there], i[there]
-                new = best[s, at] + self.scores[i]
-                better = new > best[e, at]
-                at, i = at[better], i[better]
-                best[e, at], start[e, at], piece[e, at] = new[better], s, self.ids[i]
-            lone = np.flatnonzero(best[e - 1] + self.lexicon.unknown > best[e])
-            lone = lone[~np.isin(x[lone, e - 1], self.single)]
-            best[e, lone], start[e, lone], piece[e, lone] = best[e - 1, lone] + self.lexicon.unknown, e - 1, -1
+            first = max(0, e - self.lexicon.longest)
+            key = prefix[e] - prefix[first:e] * power[e - first : 0 : -1, None] + np.arange(e - first, 0, -1, dtype="u8")[:, None]
+            at = np.flatnonzero(self.maybe[key >> np.uint64(43)])
+            wanted = key.ravel()[at]
+            i = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            there = self.keys[i] == wanted
+            at, i = at[there], i[there]
+            new, ids = np.full(key.shape, -np.inf), np.full(key.shape, -1, "i4")
+            new.ravel()[at] = best[first:e].ravel()[at] + self.scores[i]
+            ids.ravel()[at] = self.ids[i]
+            lone = np.flatnonzero(ids[-1] < 0)
+            new[-1, lone] = best[e - 1, lone] + self.lexicon.unknown
+            top = new.argmax(axis=0)  # of equal ones the earliest start
+            best[e], start[e], piece[e] = new[top, every], top + first, ids[top, every]
         out: list[list[int]] = []
-        for j, text in enumerate(texts):
+        for text, starts, ids in zip(texts, start.T.tolist(), piece.T.tolist(), strict=True):
             path, e = [], n
             while e:
-                s = int(start[e, j])
-                path.append([int(piece[e, j])] if piece[e, j] >= 0 else [self.lexicon.byte_ids[b] for b in text[s:e].encode()])
-                e = s
-            ids = list(chain.from_iterable(reversed(path)))
-            if self.spelt(ids) != text.replace(MARK, " ").encode():
+                if ids[e] >= 0:
+                    path.append(ids[e])
+                else:
+                    path += [self.lexicon.byte_ids[b] for b in reversed(text[starts[e] : e].encode())]
+                e = starts[e]
+            path.reverse()
+            if self.spelt(path) != text.replace(MARK, " ").encode():
                 raise ValueError("a substring has the hash of another piece")
-            out.append(ids)
+            out.append(path)
         return out
 
     def spelt(self, ids: list[int]) -> bytes:
@@ -105,7 +108,10 @@ class Codec:
             step = max(1, CELLS // (n + 1))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                self.known |= {c: np.array(ids, "<u4").tobytes() for c, ids in zip(part, self.encode_batch([MARK + c for c in part]), strict=True)}
+                ids = self.encode_batch([MARK + c for c in part])
+                flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+                ends = (4 * np.cumsum([0, *map(len, ids)])).tolist()
+                self.known |= {c: flat[a:b] for c, a, b in zip(part, ends, ends[1:], strict=False)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [chunks(t) for t in texts]
@@ -128,7 +134,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(x: dict[str, list]) -> dict[str, list]:
         return {"doc_id": x["doc_id"], "ids": [i.tolist() for i in codec(path).encode([t or "" for t in x["text"]])]}
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids array<int>", rows=200)
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids array<int>", rows=1000)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -137,7 +143,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(x: dict[str, list]) -> dict[str, list]:
         return {"doc_id": x["doc_id"], "text": [codec(path).decode(np.array(i or [], "<u4")) for i in x["ids"]]}
 
-    return map_rows(encoded, run, "doc_id long, text string", rows=200)
+    return map_rows(encoded, run, "doc_id long, text string", rows=1000)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,4 +155,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         ids = own.encode(texts)
         return {"doc_id": x["doc_id"], "n_pieces": [len(i) for i in ids], "ids_crc32": [zlib.crc32(i.tobytes()) for i in ids], "same": [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]}
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_pieces long, ids_crc32 long, same boolean", rows=200)
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_pieces long, ids_crc32 long, same boolean", rows=1000)
