@@ -193,19 +193,13 @@ def repeated(pdf: pd.DataFrame, seed_answers: pd.DataFrame, window_answers: pd.D
     return group, covers
 
 
-def substring_dedup(docs: DataFrame, words: int = 13, group_mb: float = 6.0, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, text (without the removed words, what is left as it stood), n_words, n_removed, kept_sha256, and columns of docs named in `keep`.
-
-    A word goes if a window of `words` words around it also starts in a document with a smaller id. Windows are judged on the input.
-    Null and empty texts, and texts of fewer words, lose nothing. Rows with a null id count as one document after all others. Repeated
-    rows (equal id) are one document to this rule, so neither removes from the other. An empty table gives no rows.
-    """
-    keep = keep or []
+def scanned(docs: DataFrame, words: int, group_mb: float, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
+    """What substring_dedup() returns, and the columns of docs named in `rest` as one JSON text of that name."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = int(size / (group_mb * 1e6)) + 1
     buckets = max(24, int(size / 25e6) + 1)
     top = F.lit((1 << 63) - 1)
-    base = docs.select(F.pmod(F.xxhash64(F.coalesce(id_col, top), F.lit("group")), F.lit(groups)).cast("int").alias("g"), F.coalesce(F.col(id_col), top).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), utf8(text_col).alias("text"), F.to_json(F.struct(*keep)).alias("rest") if keep else F.lit(None).cast("string").alias("rest"))
+    base = docs.select(F.pmod(F.xxhash64(F.coalesce(id_col, top), F.lit("group")), F.lit(groups)).cast("int").alias("g"), F.coalesce(F.col(id_col), top).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), utf8(text_col).alias("text"), F.to_json(F.struct(*rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
 
     def exchange(sent: DataFrame, answer: Callable) -> DataFrame:
         return sent.groupBy("bucket").applyInPandas(answer, ANSWERS)
@@ -231,7 +225,25 @@ def substring_dedup(docs: DataFrame, words: int = 13, group_mb: float = 6.0, id_
         out["kept_sha256"] = [hashlib.sha256(b" ".join(x)).hexdigest() for x in left]
         return out[["doc_id", "text", "n_words", "n_removed", "kept_sha256", "rest"]]
 
-    out = to_group(last, both, schema)
-    rest = StructType([f for f in docs.schema if f.name in keep])
-    own = ["doc_id", "text", "n_words", "n_removed", "kept_sha256"]
-    return out.select(*own, F.from_json("rest", rest).alias("rest")).select(*own, *[F.col("rest").getField(c).alias(c) for c in keep]) if keep else out.select(*own)
+    return to_group(last, both, schema)
+
+
+def substring_dedup(docs: DataFrame, words: int = 13, group_mb: float = 6.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, text (without the removed words, what is left as it stood), n_words, n_removed, kept_sha256.
+
+    A word goes if a window of `words` words around it also starts in a document with a smaller id. Windows are judged on the input.
+    Null and empty texts, and texts of fewer words, lose nothing. Rows with a null id count as one document after all others. Repeated
+    rows (equal id) are one document to this rule, so neither removes from the other. An empty table gives no rows.
+    """
+    return scanned(docs, words, group_mb, id_col, text_col, []).drop("rest")
+
+
+def drop_repeats(docs: DataFrame, words: int = 13, group_mb: float = 6.0, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with the removed words gone from their texts, and size_col (if there) counted anew for texts that changed. All rows, columns and names stay."""
+    rest = StructType([f for f in docs.schema if f.name not in (id_col, text_col)])
+    out = scanned(docs, words, group_mb, id_col, text_col, rest.names)
+    out = out.withColumn("rest", F.from_json("rest", rest)) if rest.names else out
+    made = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text")} | {c: F.col("rest").getField(c) for c in rest.names}
+    if size_col in rest.names:
+        made[size_col] = F.when(F.col("n_removed") > 0, F.length("text").cast(rest[size_col].dataType)).otherwise(made[size_col])
+    return out.select(*[made[c].alias(c) for c in docs.columns])
