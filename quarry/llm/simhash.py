@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, cut, map_rows, utf8
+from quarry.llm.common import components, cut, lean, map_rows, utf8
 
 BITS, RADIUS = 64, 3
 #: Points of a shard aimed at, and above which it is split again.
@@ -130,7 +130,7 @@ def links(sharded: DataFrame) -> DataFrame:
         a, b = shard_links(pdf["point"].to_numpy("i8"))
         return pd.DataFrame({"a": a, "b": b})
 
-    return sharded.groupBy("shard").applyInPandas(run, "a long, b long").where("a <> b")
+    return sharded.groupBy("shard").applyInPandas(lean(run), "a long, b long").where("a <> b")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import utf8
+from quarry.llm.common import lean, utf8
 
 #: Odd multiplier of the rolling hashes.
 STEP = 0x9E3779B97F4A7C15
@@ -202,12 +202,12 @@ def scanned(docs: DataFrame, words: int, group_mb: float, id_col: str, text_col:
     base = docs.select(F.pmod(F.xxhash64(F.coalesce(id_col, top), F.lit("group")), F.lit(groups)).cast("int").alias("g"), F.coalesce(F.col(id_col), top).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), utf8(text_col).alias("text"), F.to_json(F.struct(*rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
 
     def exchange(sent: DataFrame, answer: Callable) -> DataFrame:
-        return sent.groupBy("bucket").applyInPandas(answer, ANSWERS)
+        return sent.groupBy("bucket").applyInPandas(lean(answer), ANSWERS)
 
     def to_group(fn: Callable, answers: DataFrame, schema: str) -> DataFrame:
-        return base.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(fn, schema)
+        return base.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(lean(fn), schema)
 
-    seed_answers = exchange(base.groupBy("g").applyInPandas(lambda p: send_seeds(p, words, buckets), ENTRIES), answer_seeds)
+    seed_answers = exchange(base.groupBy("g").applyInPandas(lean(lambda p: send_seeds(p, words, buckets)), ENTRIES), answer_seeds)
     sent = to_group(lambda p, a: send_windows(p, a, words, buckets), seed_answers, ENTRIES)
     window_answers = exchange(sent, answer_windows)
     both = seed_answers.withColumn("level", F.lit(0)).union(window_answers.withColumn("level", F.lit(1)))
