@@ -228,7 +228,7 @@ def scanned(docs: DataFrame, words: int, group_mb: float, id_col: str, text_col:
     return to_group(last, both, schema)
 
 
-def substring_dedup(docs: DataFrame, words: int = 13, group_mb: float = 6.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, words: int = 13, group_mb: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text (without the removed words, what is left as it stood), n_words, n_removed, kept_sha256.
 
     A word goes if a window of `words` words around it also starts in a document with a smaller id. Windows are judged on the input.
@@ -238,7 +238,7 @@ def substring_dedup(docs: DataFrame, words: int = 13, group_mb: float = 6.0, id_
     return scanned(docs, words, group_mb, id_col, text_col, []).drop("rest")
 
 
-def drop_repeats(docs: DataFrame, words: int = 13, group_mb: float = 6.0, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+def drop_repeats(docs: DataFrame, words: int = 13, group_mb: float = 2.0, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with the removed words gone from their texts, and size_col (if there) counted anew for texts that changed. All rows, columns and names stay."""
     rest = StructType([f for f in docs.schema if f.name not in (id_col, text_col)])
     out = scanned(docs, words, group_mb, id_col, text_col, rest.names)
