@@ -1,0 +1,281 @@
+"""Operators against brute force, other libraries, held-out labels or SQL."""
+
+from __future__ import annotations
+
+import collections
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from quarry.llm import exact_dedup, lexicon, packing, queries, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts
+from quarry.llm.common import components
+from quarry.llm.learn import auc
+
+SF = "/root/testdata/sf0.001"
+BIG = "/root/testdata/sf0.01"
+SP = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def rows(got):
+    return sorted(tuple(map(str, r)) for r in got)
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    assert rows(df.select(*cols).collect()) == rows(con.sql(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 5, 13])
+def test_substring_brute(spark, words):
+    rng = random.Random(words)
+    docs = [(i, " ".join(rng.choices("a b c d".split(), k=rng.randint(0, 40)))) for i in range(60)]
+    first: dict = {}
+    for i, t in docs:
+        w = t.split()
+        for k in range(len(w) - words + 1):
+            first.setdefault(tuple(w[k : k + words]), i)
+    want = {}
+    for i, t in docs:
+        w, gone = t.split(), set()
+        for k in range(len(w) - words + 1):
+            if first[tuple(w[k : k + words])] < i:
+                gone |= set(range(k, k + words))
+        want[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    out = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), words, group_mb=0.0005)
+    assert {r.doc_id: (r.n_words, r.n_removed, " ".join(r.text.split())) for r in out.collect()} == want
+
+
+def test_exact_tells_equal_addresses_apart(spark, monkeypatch):
+    """With one address for all chunks, digests alone keep them apart."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "a. " * 400), (5, "a. " * 401)], "doc_id long, text string")
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def brute_components(points):
+    parent = list(range(len(points)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(points)):
+        for b in range(a):
+            if ((points[a] ^ points[b]) & (2**64 - 1)).bit_count() <= 3:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(points))]
+
+
+@pytest.mark.parametrize(("shard", "large"), [(20, 10_000), (20, 60), (10_000, 10_000)])
+def test_simhash_brute(spark, shard, large):
+    rng = random.Random(5)
+    points = {rng.getrandbits(64) for _ in range(150)}
+    for p in list(points)[:60]:
+        points |= {p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for _ in range(6)}
+    points = sorted(p - (1 << 64) if p >> 63 else p for p in points)
+    df = spark.createDataFrame([(p,) for p in points], "point long")
+    got = {r.node: r.component for r in components(simhash.links(simhash.shards(df, len(points), shard, large))).collect()}
+    roots = brute_components(points)
+    size = collections.Counter(roots)
+    assert got == {p: points[r] for p, r in zip(points, roots, strict=True) if size[r] > 1}
+
+
+def test_simhash_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+
+    def fingerprint(text):
+        w = text.encode().lower().split()
+        s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+
+    points = [fingerprint(r.text) for r in docs]
+    want = {d.doc_id: (f"{p:016x}", docs[r].doc_id) for d, p, r in zip(docs, points, brute_components(points), strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op5_simhash_near_dedup(spark, SF).collect()} == want
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(1000, i) for i in range(1001, 1100)]
+    parent = {x: x for p in pairs for x in p}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()} == {x: find(x) for x in linked}
+
+
+@pytest.fixture(scope="module")
+def unigram():
+    """The library's own unigram model over the same pieces and scores."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(SP, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    lowest = min(p.score for p in model.pieces if p.score > lexicon.NEVER)
+    for p in model.pieces:
+        if p.score <= lexicon.NEVER:
+            p.type, p.score = (p.type, lowest) if p.piece == lexicon.MARK else (5, p.score)
+    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+
+def test_sentencepiece(spark, unigram):
+    words = {w for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for w in lexicon.chunks(r.text)} | {"é\n\nfoo", "a𝒳b", "ßßé%%%", "aaaaaaaaaaaa", "", "漢字"}
+    words = sorted(w for w in words if len(w) < 60)
+    codec, counter = sentencepiece_codec.codec(SP), token_counts.counter(SP)
+    got = [x.tolist() for x in codec.encode(words)]
+    assert [unigram.encode(w) for w in words] == got
+    assert [counter[w][0] for w in words if w] == [len(x) for w, x in zip(words, got, strict=True) if w]
+
+
+def test_tokens(spark):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", "  a\n\n b'll don't 12,3 \t​ 漢字🙂", "a" * 5000, "1 " * 500]
+    for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
+        coder = packing.encoding(public_tokenizers.path(name))
+        assert [coder.encode_ordinary(t) for t in texts] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pack_plan(seed):
+    rng = np.random.default_rng(seed)
+    size = 128
+    counts = np.bincount(np.clip(rng.lognormal(3, 1.2, 20_000 if seed < 4 else 7).astype(int) + 1, 1, size), minlength=size + 1)
+    plan = packing.pack_plan(counts, size)
+    used = np.zeros(size + 1, int)
+    for lengths, n in plan:
+        assert sum(lengths) <= size
+        assert n > 0
+        for v in lengths:
+            used[v] += n
+    assert (used == counts).all()
+    bound = -(-int((counts * np.arange(size + 1)).sum()) // size)
+    assert sum(n for _, n in plan) <= max(bound * 1.02, bound + 1, counts[size // 2 + 1 :].sum() * 1.02)
+
+
+def test_packing_query(spark):
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r.doc_id: np.array([*own.encode(r.text, add_special_tokens=False).ids, 0], "<u4") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs, seqs = collections.defaultdict(list), collections.defaultdict(list)
+    for r in queries.op9_best_fit_packing(spark, SF).collect():
+        docs[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        seqs[r.sequence_id].append((r.offset, r.length))
+    assert docs.keys() == ids.keys()
+    for i, pieces in docs.items():
+        at = 0
+        for k, (piece, start, length, crc) in enumerate(sorted(pieces)):
+            assert (piece, start) == (k, at)
+            assert crc == zlib.crc32(ids[i][at : at + length].tobytes())
+            assert k == 0 or length == 2048
+            at += length
+        assert at == len(ids[i])
+    for places in seqs.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(seqs) <= -(-sum(map(len, ids.values())) // 2048) + 1
+
+
+def test_base_counts():
+    rng = random.Random(9)
+    for _ in range(200):
+        text = "".join(rng.choices(["a", "b", "é", "#", "|", " ", "\n", "\t", "\n\n", "a b ", "𝒳"], k=rng.randint(0, 60)))
+        words = [w for w in text.replace("\n", " ").replace("\t", " ").split(" ") if w]
+        windows = collections.Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if x.strip(" \t")]
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+        assert quality_rules.base_counts(text.encode()) == want
+
+
+def test_viterbi_brute():
+    from itertools import product
+
+    rng = np.random.default_rng(0)
+    field = quality_rules.Field(rng.normal(size=quality_rules.FEATURES), rng.normal(size=(2, 2)))
+    for n in range(1, 8):
+        bits = rng.integers(0, 1 << quality_rules.FEATURES, n).astype("i4")
+        score = quality_rules.expand(bits) @ field.w
+        total = lambda p: sum(s for s, k in zip(score, p, strict=True) if k) + sum(field.t[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        assert tuple(field.decode(bits).astype(int)) == max(product((0, 1), repeat=n), key=total)
+
+
+def labels(spark, column):
+    return {r.doc_id: r[column] for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
+
+
+def test_quality(spark):
+    known = labels(spark, "quality")
+    got = [(known[r.doc_id], r.score) for r in queries.op4_quality_classifier(spark, BIG).collect() if r.doc_id in known]
+    y, score = np.array(got).T
+    assert auc(y, score) > 0.97
+    assert (score[y == 1] >= 0.5).mean() > 0.97
+
+
+def test_rules(spark):
+    known = labels(spark, "quality")
+    got = collections.Counter((known[r.doc_id], r.kept) for r in queries.op8_quality_rules(spark, BIG).collect() if r.doc_id in known and not r.base_failed)
+    assert got[1, True] > 0.98 * (got[1, True] + got[1, False])
+    assert got[0, False] > 0.7 * (got[0, True] + got[0, False])
+
+
+def test_toxicity_held_out(spark):
+    known = labels(spark, "toxic")
+    rows = queries.op10_toxicity(spark, BIG).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    y, score = np.array([(known[r.doc_id], r.score) for r in rows if r.held_out and r.doc_id in known]).T
+    assert auc(y, score) > 0.9
+
+
+def test_pipeline(spark):
+    """Stage by stage, from what it kept, against plain Python; the classifier against its labels."""
+    import tempfile
+
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    known, kept = labels(spark, "quality"), {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        folder = tempfile.mkdtemp() + "/out"
+        stage(spark, docs, BIG).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        kept[name] = {r.doc_id: r for r in docs.collect()}
+    good = kept["quality classifier"]
+    assert sum(i in good for i, q in known.items() if q) > 0.97 * sum(known.values())
+    first: dict = {}
+    for i, r in sorted(good.items()):
+        first.setdefault(" ".join(r.text.split()), i)
+    assert set(kept["exact dedup"]) == set(first.values())
+    assert set(kept["substring dedup"]) == set(kept["simhash near-dedup"])
+    seen: set = set()
+    for _, r in sorted(kept["substring dedup"].items()):
+        w = r.text.split()
+        own = {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
+        assert not own & seen
+        seen |= own
+    assert all(r.n_chars == len(r.text) for r in kept["substring dedup"].values())
