@@ -100,7 +100,7 @@ def token_stats(spark, d):
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
 def doc_freq(spark, d):
-    return search.postings(S.table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
+    return search.document_frequency(S.table(spark, d, "documents"), "text")
 
 
 @query("SELECT doc_id, left(sha256(doc_id || ':' || text), 24) AS chunk_id FROM documents")

@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Tables whose rows take long to work on.
+SPREAD = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table's rows; one of fewer partitions than cores (a single small file) is dealt out, and larger ones never are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
