@@ -132,7 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, l1: float = 2e-4)
     for i, f in enumerate(index):
         votes[i, f[f >= DIMS] - DIMS] = 1
     post, _, _ = label_model(votes, y)
-    w, b = logistic(Rows(index), post, DIMS + voters.n, l1=l1, l2=1e-6, steps=400)
+    often = np.flatnonzero(np.bincount(np.concatenate(index), minlength=DIMS + voters.n) >= 3)  # rarer words can't carry a weight
+    place = np.full(DIMS + voters.n, -1)
+    place[often] = np.arange(len(often))
+    fitted, b = logistic(Rows([p[p >= 0] for p in (place[f] for f in index)]), post, len(often), l1=l1, l2=1e-6, steps=250)
+    w = np.zeros(DIMS + voters.n)
+    w[often] = fitted
     return Model(voters, w, b)
 
 
