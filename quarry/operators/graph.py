@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,31 @@ def topic_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.withColumnRenamed("mentions", "before").join(new.withColumnRenamed("mentions", "after"), "topic", "full_outer")
     change = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "removed").when(F.col("after") > F.col("before"), "escalated")
     return both.select("topic", change.alias("change")).where("change is not null")
+
+
+def query_topics(questions: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(qid, topic) of the topics whose name or phrases a question holds."""
+    low = questions.select("qid", F.lower("question").alias("low"))
+    names = phrases.select("topic", F.lower("topic").alias("phrase")).union(phrases.select("topic", "phrase")).distinct()
+    return low.join(F.broadcast(names), F.col("low").contains(F.col("phrase"))).select("qid", "topic").distinct()
+
+
+def network(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(ticker, topic, degree): links of the most shared topics, at most `most` of them."""
+    degree = popularity(edges).withColumnRenamed("companies", "degree").orderBy(F.desc("degree"), "topic").limit(most)
+    return edges.select("ticker", "topic").distinct().join(degree, "topic").select("ticker", "topic", "degree")
+
+
+def graph_evidence(edges: DataFrame, questions: DataFrame, companies: DataFrame, phrases: DataFrame, most: int = 8) -> DataFrame:
+    """(qid, branch, chunk_id): evidence by what a question names: two companies (topics they share), topics (whoever has them), one company (all its topics)."""
+    topics = query_topics(questions, phrases)
+    named = questions.select("qid", F.lower("question").alias("low")).join(F.broadcast(companies), F.col("low").contains(F.lower("name"))).select("qid", "ticker").distinct()
+    flags = questions.select("qid").join(named.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").join(topics.groupBy("qid").agg(F.count("*").alias("t")), "qid", "left").na.fill(0)
+    branch = F.when(F.col("n") >= 2, "shared").when(F.col("t") > 0, "topic").when(F.col("n") == 1, "company")
+    flags = flags.select("qid", "n", branch.alias("branch")).where("branch is not null")
+    own = named.join(flags.where("branch <> 'topic'"), "qid").join(edges, "ticker")
+    both = own.groupBy("qid", "branch", "n", "topic").agg(F.countDistinct("ticker").alias("have")).where("branch = 'company' or have >= 2").select("qid", "branch", "topic")
+    by_company = own.join(both, ["qid", "branch", "topic"], "left_semi").select("qid", "branch", "chunk_id")
+    by_topic = flags.where("branch = 'topic'").join(topics, "qid").join(edges, "topic").select("qid", "branch", "chunk_id")
+    every = by_company.union(by_topic).distinct()
+    return every.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).where(F.col("rn") <= most).select("qid", "branch", "chunk_id")
