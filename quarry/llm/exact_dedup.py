@@ -51,9 +51,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id loses against any other; a group of null ids alone has a null keep_id and kept true. Repeated rows (equal id and text) count
     one by one in group_size, each has its row, and all are kept or none. Ids repeated over different texts are told apart by text.
     """
-    made = recipes(docs, id_col, text_col)
-    groups = made.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    out = made.join(groups, "recipe").select("id", "text_sha256", "copies", "keep_id", "group_size", F.explode(F.expr("sequence(1L, copies)")))
+    made = recipes(docs, id_col, text_col).withColumn("mark", F.xxhash64("recipe"))
+    groups = made.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size")).withColumn("mark", F.xxhash64("recipe"))
+    # with the mark as a key both sides are dealt anew, so that the rows of one very large group can be split among tasks
+    out = made.join(groups, ["mark", "recipe"]).select("id", "text_sha256", "copies", "keep_id", "group_size", F.explode(F.expr("sequence(1L, copies)")))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
