@@ -15,10 +15,10 @@ class Rows:
         self.row = np.repeat(np.arange(len(index)), self.size)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=self.value * w[self.index], minlength=len(self.size))
+        return np.bincount(self.row, weights=self.value * w[self.index], minlength=len(self.size)).astype(float)  # of no entries it counts in integers
 
     def back(self, r: np.ndarray, dims: int) -> np.ndarray:
-        return np.bincount(self.index, weights=self.value * r[self.row], minlength=dims)
+        return np.bincount(self.index, weights=self.value * r[self.row], minlength=dims).astype(float)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
