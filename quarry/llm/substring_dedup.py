@@ -199,7 +199,8 @@ def scanned(docs: DataFrame, words: int, group_mb: float, id_col: str, text_col:
     groups = int(size / (group_mb * 1e6)) + 1
     buckets = max(24, int(size / 25e6) + 1)
     top = F.lit((1 << 63) - 1)
-    base = docs.select(F.pmod(F.xxhash64(F.coalesce(id_col, top), F.lit("group")), F.lit(groups)).cast("int").alias("g"), F.coalesce(F.col(id_col), top).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), utf8(text_col).alias("text"), F.to_json(F.struct(*rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
+    # dealt by id and text, so that the rows of one id (or of none) don't all meet in one group
+    base = docs.select(F.pmod(F.xxhash64(F.coalesce(id_col, top), text_col), F.lit(groups)).cast("int").alias("g"), F.coalesce(F.col(id_col), top).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), utf8(text_col).alias("text"), F.to_json(F.struct(*rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
 
     def exchange(sent: DataFrame, answer: Callable) -> DataFrame:
         return sent.groupBy("bucket").applyInPandas(lean(answer), ANSWERS)
