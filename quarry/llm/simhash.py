@@ -4,7 +4,8 @@ Documents get 64-bit fingerprints; equal ones are one point from then on. Two po
 their upper or in their lower half, so each half has a forest of its own with a search radius of 1. A forest's upper levels are
 vantage points that all nodes of a level share: points within the median Hamming distance of it go in, the others out, and those
 beyond the median by no more than the radius (the triangle bound) are copied in, so that each close pair meets in at least one shard.
-The depth follows the number of points. Shards that stay too large are split again by their own medians. In a shard, points are
+The depth follows the number of points. Shards that stay too large are split again by their own medians; where that does nothing, as
+their points are all close to each other, they are dealt in blocks, and each pair of blocks is a shard. In a shard, points are
 ordered by their distance to one more vantage point over all 64 bits, and only those whose distances differ by at most 3 are
 compared. A shard gives each point of its classes one link, never all pairs; connected components join the links of all shards.
 """
@@ -72,12 +73,12 @@ def shards(points: DataFrame, n: int, shard: int = SHARD, large: int = LARGE, ro
     out = points.select("point", F.explode(paths(0, depth)).alias("path")).withColumn("half", F.lit(0))
     out = out.union(points.select("point", F.explode(paths(1, depth)).alias("path"), F.lit(1).alias("half")))
     out = out.select(F.xxhash64("half", "path").alias("shard"), "half", "point")
-    before = None
+    before = now = None
     for level in range(depth, depth + rounds):
         over = out.groupBy("shard", "half").agg(F.count("*").alias("n")).where(F.col("n") > large)
         now = over.agg(F.count("*"), F.max("n")).first()
         if not now[0] or now == before:
-            break  # none is large, or the last split did nothing: these points are all close to each other
+            break  # none is large, or the last split did nothing
         before = now
         d = F.when(F.col("half") == 0, F.bit_count(half_of(0).bitwiseXOR(F.lit(vantage(level, 0)).cast("long")))).otherwise(F.bit_count(half_of(1).bitwiseXOR(F.lit(vantage(level, 1)).cast("long"))))
         far = out.withColumn("d", d).join(over.select("shard", "n"), "shard", "left")
@@ -85,7 +86,16 @@ def shards(points: DataFrame, n: int, shard: int = SHARD, large: int = LARGE, ro
         side = F.when(F.col("m").isNull(), F.array(F.lit(-1))).when(F.col("d") <= F.col("m"), F.array(F.lit(0))).when(F.col("d") > F.col("m") + 1, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
         split = far.join(median, "shard", "left").select("shard", "half", "point", F.explode(side).alias("side"))
         out = cut(split.select(F.when(F.col("side") < 0, F.col("shard")).otherwise(F.xxhash64("shard", "side", F.lit(level))).alias("shard"), "half", "point"))
-    return out.select("shard", "point")
+    return blocks(out.select("shard", "point"), large) if now[0] else out.select("shard", "point")
+
+
+def blocks(sharded: DataFrame, large: int) -> DataFrame:
+    """(shard, point): shards of over `large` points as pairs of blocks of about half that; each pair of points still meets, no task has many more than `large`."""
+    dense = sharded.groupBy("shard").agg(F.ceil(F.count("*") * 2 / large).cast("int").alias("k")).where("k > 2")
+    k, block = F.col("k"), F.pmod(F.xxhash64("point"), F.col("k")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64("shard", F.least(block, j), F.greatest(block, j)))
+    pairs = F.array_remove(pairs, F.xxhash64("shard", block, block))  # a block meets itself in each of its pairs
+    return sharded.join(dense, "shard", "left").select(F.explode(F.when(k.isNull(), F.array("shard")).otherwise(pairs)).alias("shard"), "point")
 
 
 def shard_links(points: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:

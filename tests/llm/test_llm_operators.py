@@ -83,7 +83,7 @@ def brute_components(points):
     return [find(i) for i in range(len(points))]
 
 
-@pytest.mark.parametrize(("shard", "large"), [(20, 10_000), (20, 60), (10_000, 10_000)])
+@pytest.mark.parametrize(("shard", "large"), [(20, 10_000), (20, 60), (10_000, 10_000), (10_000, 12)])
 def test_simhash_brute(spark, shard, large):
     rng = random.Random(5)
     points = {rng.getrandbits(64) for _ in range(150)}
@@ -97,6 +97,18 @@ def test_simhash_brute(spark, shard, large):
     assert got == {p: points[r] for p, r in zip(points, roots, strict=True) if size[r] > 1}
 
 
+def test_simhash_blocks(spark):
+    """Points that no vantage point can part go in pairs of blocks; none of these is large, and all pairs meet."""
+    tight = [(1 << a) | (1 << b) for a in range(20) for b in range(a)]
+    got = simhash.shards(spark.createDataFrame([(p,) for p in tight], "point long"), len(tight), 1000, 40)
+    by_shard = collections.defaultdict(set)
+    for r in got.collect():
+        by_shard[r.shard].add(r.point)
+    assert max(map(len, by_shard.values())) <= 80
+    met = {(p, q) for points in by_shard.values() for p in points for q in points}
+    assert met >= {(p, q) for p in tight for q in tight if (p ^ q).bit_count() <= 3}
+
+
 def test_simhash_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
 
