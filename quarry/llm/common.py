@@ -134,3 +134,9 @@ def labelled(labels: DataFrame, column: str, each: int, id_col: str = "doc_id")
     one = labels.where(F.col(column).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("y"))
     part = lambda y: one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
     return part(0).union(part(1))
+
+
+def one_each(sample: DataFrame, cols: list[str], key: str = "doc_id") -> DataFrame:
+    """One row of each id, of repeated ones that whose columns have the smallest hash, so that a sample of ids is no larger than said. Combines map-side."""
+    low = F.min(F.struct(F.xxhash64(*cols), *cols)).alias("low")
+    return sample.groupBy(key).agg(low).select(key, *[F.col(f"low.{c}").alias(c) for c in cols])

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import filter_rows, labelled, map_rows
+from quarry.llm.common import filter_rows, labelled, map_rows, one_each
 from quarry.llm.learn import Rows, logistic, sigmoid
 
 DIMS = 4096
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, pool: int = 6000,
     known = labelled(labels, column, each)
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
     ids = known.union(rest.select("doc_id", F.lit(-1).alias("y")))
-    sample = docs.select(*fields(docs)).join(F.broadcast(ids), "doc_id")  # at most 2 * each + pool ids
+    sample = one_each(docs.select(*fields(docs)).join(F.broadcast(ids), "doc_id"), [*FIELDS[1:], "y"])  # at most 2 * each + pool rows
 
     def run(x: dict[str, list]) -> dict[str, list]:
         both = views(x)

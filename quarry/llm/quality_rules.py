@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled, map_rows, utf8
+from quarry.llm.common import labelled, map_rows, one_each, utf8
 
 SYMBOLS, BLANKS, UPPER, LOWER = b"#*$%&|<>", b" \t\n\x0b\x0c\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b < 58)
@@ -145,7 +145,7 @@ def train(lines: list[np.ndarray], paths: list[np.ndarray], steps: int = 120, ra
 def fit(docs: DataFrame, labels: DataFrame, each: int = 1500, column: str = "quality") -> Field | None:
     """None without labelled documents of both kinds that have a line; then all lines are content."""
     known = labelled(labels, column, each)
-    sample = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(known), "doc_id")  # at most 2 * each rows
+    sample = one_each(docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(known), "doc_id"), ["text", "y"])  # at most 2 * each rows
     rows = map_rows(sample, lambda x: {"doc_id": x["doc_id"], "y": x["y"], "bits": [line_features(t)[0].tobytes() for t in x["text"]]}, "doc_id long, y int, bits binary")
     got = sorted((r["doc_id"], r["y"], bytes(r["bits"])) for r in rows.collect() if r["bits"])
     lines = [np.frombuffer(b, "<i4") for _, _, b in got]

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled, map_rows, utf8
+from quarry.llm.common import labelled, map_rows, one_each, utf8
 from quarry.llm.learn import Rows, logistic, sigmoid
 
 #: A word to this operator: letters of ASCII and bytes beyond it, so signs stuck to a word don't hide it.
@@ -117,7 +117,7 @@ def features(voters: Voters, text: bytes) -> set[int]:
 def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, l1: float = 2e-4) -> Model:
     """Without toxic or without other training rows the model scores every document under 0.5."""
     known = labelled(labels.where(held_out() == F.lit(False)), "toxic", each)
-    sample = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(known), "doc_id").select("text", "y")  # at most 2 * each rows
+    sample = one_each(docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(known), "doc_id"), ["text", "y"]).select("text", "y")  # at most 2 * each rows
     voters = Voters(lexicons(sample))
 
     def run(x: dict[str, list]) -> dict[str, list]:

@@ -243,6 +243,16 @@ def labels(spark, column):
     return {r.doc_id: r[column] for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
 
 
+def test_one_each(spark):
+    """A sample by ids stays as large as its ids however often each is repeated, and doesn't depend on the order of rows."""
+    from quarry.llm.common import one_each
+
+    rows = [(i % 7, f"text {i % 21}", i % 2) for i in range(400)]
+    got = [sorted(map(tuple, one_each(spark.createDataFrame(r, "doc_id long, text string, y int"), ["text", "y"]).collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1]
+    assert [r[0] for r in got[0]] == list(range(7))
+
+
 def test_quality(spark):
     known = labels(spark, "quality")
     got = [(known[r.doc_id], r.score) for r in queries.op4_quality_classifier(spark, BIG).collect() if r.doc_id in known]
