@@ -1,8 +1,8 @@
 """Substring deduplication by level-wise doubling.
 
-A window is `words` consecutive words. The first level looks at windows of about half that length, and only at one from each window
-(the one with the smallest hash, so equal windows choose alike). Where such a half is found in two documents, and there alone, windows
-are extended to twice the length, and so on while longer windows are asked for and candidates survive.
+A window is `words` consecutive words. Levels have lengths that double up to it (7, 13; or 7, 13, 25, 50). A level takes from each window
+of the next length the one of its own length with the smallest hash, so equal windows choose alike. Where that is found in two
+documents, and there alone, windows are extended to the next length, until the wanted one is reached or no candidates survive.
 
 Documents are dealt into groups of a few MB. A level sends each group's distinct hashes, packed by bucket of the hash, and gets one
 bit back for each: whether another group, or an earlier document, has it. A window that is in every document is thus one entry from
@@ -23,13 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import lean, utf8
+from quarry.llm.common import cut, lean, utf8
 
 #: Odd multiplier of the rolling hashes.
 STEP = 0x9E3779B97F4A7C15
 PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 ENTRIES = "g int, bucket int, ids binary, firsts binary"
 ANSWERS = "g int, bucket int, bits binary"
+#: Shorter windows than this are in too many texts to tell anything apart.
+LEAST = 6
+
+
+def lengths(words: int) -> list[int]:
+    """Window lengths of the levels: each at most twice the one before, the last is `words`, the others are LEAST or more."""
+    out = [words]
+    while (out[0] + 1) // 2 >= LEAST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -75,18 +85,19 @@ def seeds(h: np.ndarray, words: int, half: int) -> np.ndarray:
 class Group:
     """The documents of one group, end to end; windows that would cross from one into the next are left out."""
 
-    def __init__(self, pdf: pd.DataFrame, words: int):
+    def __init__(self, pdf: pd.DataFrame):
         self.ids, self.split = pdf["doc_id"].to_numpy("i8"), [t.split() for t in pdf["text"]]
-        self.ends = np.cumsum([len(w) for w in self.split])
-        row = np.repeat(np.arange(len(self.split)), [len(w) for w in self.split])
-        h = word_hashes(list(chain.from_iterable(self.split)))
-        if len(row) < words:
-            self.at, self.seeds, self.full, self.docs = np.zeros(0, "i8"), np.zeros(0, "u8"), np.zeros((2, 0), "u8"), np.zeros(0, "i8")
-            return
-        self.at = np.flatnonzero(row[: len(row) - words + 1] == row[words - 1 :])
-        self.seeds = seeds(h, words, (words + 1) // 2)[self.at]
-        self.full = windows(h, words)[:, self.at]
-        self.docs = self.ids[row[self.at]]
+        sizes = [len(w) for w in self.split]
+        self.ends, self.row = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        self.hashes = word_hashes(list(chain.from_iterable(self.split)))
+
+    def starts(self, length: int) -> np.ndarray:
+        """Where a window of that length begins."""
+        n = max(0, len(self.row) - length + 1)
+        return np.flatnonzero(self.row[:n] == self.row[length - 1 :])
+
+    def docs(self, at: np.ndarray) -> np.ndarray:
+        return self.ids[self.row[at]]
 
 
 def found(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -130,10 +141,41 @@ def distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[starts], d[starts], d[np.r_[starts[1:], len(k)] - 1] if len(k) else d, place
 
 
-def send_seeds(pdf: pd.DataFrame, words: int, buckets: int) -> pd.DataFrame:
-    group = Group(pdf, words)
-    keys, low, high, _ = distinct(group.seeds, group.docs)
-    return packed(int(pdf["g"].iloc[0]), [keys], (low != high).astype("u1"), buckets)
+def among(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(values), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)] == values
+
+
+def survivors(group: Group, answers: pd.DataFrame | None, level: int, levels: list[int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of the length after this level's begin that all levels before left over, and their seeds; at the last level, the windows left over and two hashes of each."""
+    at, alive = group.starts(levels[0]), None
+    for k in range(level + 1):
+        if k == len(levels) - 1:
+            break
+        at = group.starts(levels[k + 1])
+        if not len(at):
+            break
+        seed = seeds(group.hashes, levels[k + 1], levels[k])[at]
+        if alive is not None:
+            kept = among(seed, alive)
+            at, seed = at[kept], seed[kept]
+        if k == level:
+            return at, seed
+        keys, _, _, place = distinct(seed, group.docs(at))
+        at = at[unpacked(answers[answers["level"] == k], keys, buckets)[place]]
+        if k + 2 < len(levels):
+            alive = np.unique(mixed(windows(group.hashes[:1], levels[k + 1])[0])[at])
+    if not len(at):
+        return at, np.zeros((2, 0) if level == len(levels) - 1 else 0, "u8")
+    return at, windows(group.hashes, levels[-1])[:, at]
+
+
+def send_seeds(pdf: pd.DataFrame, answers: pd.DataFrame | None, level: int, levels: list[int], buckets: int) -> pd.DataFrame:
+    group = Group(pdf)
+    at, seed = survivors(group, answers, level, levels, buckets)
+    keys, low, high, _ = distinct(seed, group.docs(at))
+    return packed(int(pdf["g"].iloc[0]) if len(pdf) else 0, [keys], (low != high).astype("u1"), buckets)
 
 
 def answer_seeds(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,18 +192,12 @@ def answered(pdf: pd.DataFrame, flags: np.ndarray, sizes: list[int]) -> pd.DataF
     return pd.DataFrame({"g": pdf["g"], "bucket": pdf["bucket"], "bits": [np.packbits(x).tobytes() for x in parts]})
 
 
-def candidates(group: Group, answers: pd.DataFrame, buckets: int) -> np.ndarray:
-    """Places of windows whose seed is in two documents."""
-    keys, _, _, place = distinct(group.seeds, group.docs)
-    return np.flatnonzero(unpacked(answers, keys, buckets)[place])
-
-
-def send_windows(pdf: pd.DataFrame, answers: pd.DataFrame, words: int, buckets: int) -> pd.DataFrame:
-    group = Group(pdf, words)
-    at = candidates(group, answers, buckets)
-    keys, low, _, place = distinct(mixed(group.full[0, at]), group.docs[at])
+def send_windows(pdf: pd.DataFrame, answers: pd.DataFrame | None, level: int, levels: list[int], buckets: int) -> pd.DataFrame:
+    group = Group(pdf)
+    at, full = survivors(group, answers, level, levels, buckets)
+    keys, low, _, place = distinct(mixed(full[0]), group.docs(at))
     check = np.zeros(len(keys), "u8")
-    check[place] = group.full[1, at]
+    check[place] = full[1]
     return packed(int(pdf["g"].iloc[0]) if len(pdf) else 0, [keys, check.astype("<u4")], low, buckets)
 
 
@@ -179,16 +215,16 @@ def answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     return answered(pdf, flags, [len(x) for x in raw])
 
 
-def repeated(pdf: pd.DataFrame, seed_answers: pd.DataFrame, window_answers: pd.DataFrame, words: int, buckets: int) -> tuple[Group, list[np.ndarray]]:
+def repeated(pdf: pd.DataFrame, answers: pd.DataFrame, levels: list[int], buckets: int) -> tuple[Group, list[np.ndarray]]:
     """For each document, which of its words are covered by a window that also starts in an earlier document."""
-    group = Group(pdf, words)
-    at = candidates(group, seed_answers, buckets)
-    keys, low, _, place = distinct(mixed(group.full[0, at]), group.docs[at])
-    earlier = unpacked(window_answers, keys, buckets)[place] | (group.docs[at] > low[place])
+    group, words, last = Group(pdf), levels[-1], len(levels) - 1
+    at, full = survivors(group, answers, last, levels, buckets)
+    docs = group.docs(at)
+    keys, low, _, place = distinct(mixed(full[0]), docs)
+    earlier = unpacked(answers[answers["level"] == last], keys, buckets)[place] | (docs > low[place])
     edge = np.zeros(len(group.ends) and int(group.ends[-1]) + words + 1, "i4")
-    own = group.at[at[earlier]]
-    edge[own] += 1
-    edge[own + words] -= 1
+    edge[at[earlier]] += 1
+    edge[at[earlier] + words] -= 1
     covers = np.split(np.cumsum(edge)[: len(edge) - words - 1] > 0, group.ends[:-1])
     return group, covers
 
@@ -202,21 +238,30 @@ def scanned(docs: DataFrame, words: int, group_mb: float, id_col: str, text_col:
     # dealt by id and text, so that the rows of one id (or of none) don't all meet in one group
     base = docs.select(F.pmod(F.xxhash64(F.coalesce(id_col, top), text_col), F.lit(groups)).cast("int").alias("g"), F.coalesce(F.col(id_col), top).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), utf8(text_col).alias("text"), F.to_json(F.struct(*rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
 
-    def exchange(sent: DataFrame, answer: Callable) -> DataFrame:
-        return sent.groupBy("bucket").applyInPandas(lean(answer), ANSWERS)
-
-    def to_group(fn: Callable, answers: DataFrame, schema: str) -> DataFrame:
+    def to_group(fn: Callable, answers: DataFrame | None, schema: str) -> DataFrame:
+        if answers is None:
+            return base.groupBy("g").applyInPandas(lean(lambda p: fn(p, None)), schema)
         return base.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(lean(fn), schema)
 
-    seed_answers = exchange(base.groupBy("g").applyInPandas(lean(lambda p: send_seeds(p, words, buckets)), ENTRIES), answer_seeds)
-    sent = to_group(lambda p, a: send_windows(p, a, words, buckets), seed_answers, ENTRIES)
-    window_answers = exchange(sent, answer_windows)
-    both = seed_answers.withColumn("level", F.lit(0)).union(window_answers.withColumn("level", F.lit(1)))
+    def ask(level: int, answers: DataFrame | None) -> DataFrame:
+        send, answer = (send_windows, answer_windows) if level == last else (send_seeds, answer_seeds)
+        sent = to_group(lambda p, a: send(p, a, level, levels, buckets), answers, ENTRIES)
+        new = sent.groupBy("bucket").applyInPandas(lean(answer), ANSWERS).withColumn("level", F.lit(level))
+        return new if answers is None else answers.union(new)
+
+    levels = lengths(words)
+    last, answers = len(levels) - 1, None
+    for level in range(last + 1):
+        answers = ask(level, answers)
+        if level + 1 < last:  # further levels will read these answers, if any candidate survives
+            answers = cut(answers)
+            if answers.where((F.col("level") == level) & F.hex("bits").rlike("[1-9A-F]")).isEmpty():
+                break
     schema = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, rest string"
 
-    def last(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def without(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = pdf[["rest"]].copy()
-        group, covers = repeated(pdf, answers[answers["level"] == 0], answers[answers["level"] == 1], words, buckets)
+        group, covers = repeated(pdf, answers, levels, buckets)
         left = [[w for w, gone in zip(s, c, strict=True) if not gone] if c.any() else s for s, c in zip(group.split, covers, strict=True)]
         text = [b"".join(p for p, gone in zip(PIECE.findall(t), c, strict=True) if not gone) if c.any() else t for t, c in zip(pdf["text"], covers, strict=True)]
         out["doc_id"] = pdf["doc_id"].astype("object").where(~pdf["no_id"], None)
@@ -226,7 +271,7 @@ def scanned(docs: DataFrame, words: int, group_mb: float, id_col: str, text_col:
         out["kept_sha256"] = [hashlib.sha256(b" ".join(x)).hexdigest() for x in left]
         return out[["doc_id", "text", "n_words", "n_removed", "kept_sha256", "rest"]]
 
-    return to_group(last, both, schema)
+    return to_group(without, answers, schema)
 
 
 def substring_dedup(docs: DataFrame, words: int = 13, group_mb: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,10 +38,27 @@ def test_sql(spark, name):
     assert rows(df.select(*cols).collect()) == rows(con.sql(f"SELECT {', '.join(cols)} FROM ({queries.oracle_sql()[name]})").fetchall())
 
 
-@pytest.mark.parametrize("words", [1, 2, 3, 5, 13])
+def test_substring_levels():
+    assert substring_dedup.lengths(13) == [7, 13]
+    assert substring_dedup.lengths(50) == [7, 13, 25, 50]
+    assert substring_dedup.lengths(5) == [5]
+    for n in range(1, 400):
+        got = substring_dedup.lengths(n)
+        assert got[-1] == n and all(a < b <= 2 * a for a, b in zip(got, got[1:], strict=False))
+
+
+def test_substring_no_candidates(spark):
+    """Nothing of 50 words repeats, and no shorter length does from the second level on."""
+    docs = [(i, " ".join(f"{i}x{k // 9 if k % 2 else k}" for k in range(120))) for i in range(30)]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), 50, group_mb=0.001)
+    assert {(r.doc_id, r.text, r.n_removed) for r in out.collect()} == {(i, t, 0) for i, t in docs}
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 5, 13, 26, 50])
 def test_substring_brute(spark, words):
     rng = random.Random(words)
-    docs = [(i, " ".join(rng.choices("a b c d".split(), k=rng.randint(0, 40)))) for i in range(60)]
+    passages = [" ".join(rng.choices("a b c d".split(), k=rng.randint(words // 2, words * 3))) for _ in range(12)]
+    docs = [(i, " ".join([*rng.choices("a b c d".split(), k=rng.randint(0, 40)), *rng.choices(passages, k=i % 3)])) for i in range(60)]
     first: dict = {}
     for i, t in docs:
         w = t.split()
@@ -54,6 +71,7 @@ def test_substring_brute(spark, words):
             if first[tuple(w[k : k + words])] < i:
                 gone |= set(range(k, k + words))
         want[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    assert any(n for _, n, _ in want.values())
     out = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), words, group_mb=0.0005)
     assert {r.doc_id: (r.n_words, r.n_removed, " ".join(r.text.split())) for r in out.collect()} == want
 
