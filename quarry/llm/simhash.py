@@ -158,9 +158,3 @@ def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.select("point", "root").join(lowest, "root").select("point", "component_id")
     return prints.join(named, "point").select("doc_id", F.lpad(F.lower(F.hex("point")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, that of the smallest id. All columns stay; rows with a null id stay."""
-    gone = near_groups(docs.select(id_col, text_col), shingle, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_near_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_near_id"), "left_anti")
