@@ -194,6 +194,35 @@ def hybrid_retrieve(spark, d):
     return search.adaptive_k(lexical_rerank(spark, d), 6)
 
 
+def asks(spark, d):
+    """The stated questions: every hundredth document, by its text and by its vector."""
+    return S.table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("qtext"))
+
+
+def batch_fused(spark, d, q):
+    dense = vector_hits(spark, d, 30).join(q.select("qid").distinct(), "qid", "left_semi")
+    return search.rrf(dense, search.bm25(S.table(spark, d, "documents"), q, 30))
+
+
+def batch_reranked(spark, d, q):
+    return search.lexical_rerank(batch_fused(spark, d, q), S.table(spark, d, "documents"), q)
+
+
+@query()
+def rrf_batch(spark, d):
+    return batch_fused(spark, d, asks(spark, d))
+
+
+@query()
+def rerank_batch(spark, d):
+    return batch_reranked(spark, d, asks(spark, d))
+
+
+@query()
+def hybrid_batch(spark, d):
+    return search.adaptive_k(batch_reranked(spark, d, asks(spark, d)), 6)
+
+
 @query(f"WITH {DENSE}, hits AS (SELECT qid, id, score FROM dense WHERE rank <= 12), {ADAPT} SELECT * FROM cutted")
 def adaptive_k(spark, d):
     return search.adaptive_k(vector_hits(spark, d, 12).select("qid", "id", "score"), 6)
