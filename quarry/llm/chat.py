@@ -9,7 +9,7 @@ content has no control string and each escape can be undone; one escape is enoug
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -60,26 +60,25 @@ def format_chat(conversations: DataFrame, trained_role: str = "assistant") -> Da
 
     Null text and null role count as empty. Turns are ordered by turn, then role, then text (nulls first), so ties and repeated rows
     have a defined place and each is a turn of its own. Rows of a null conv_id are one conversation. A conversation is one value, as its
-    digest needs it whole; turns are gathered by conversation once, and all that follows is done in the row.
+    digest needs it whole; turns are numbered by running length and gathered by conversation over one exchange, and all that follows is
+    done in the row, in one pass over the turns. Other columns are left aside, and an empty table gives no rows.
     """
-    item = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    around = len(START) + 1 + len(END) + 1
+    turn = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda role, text: F.coalesce(F.sum(F.length(role) + F.length(text) + around).over(before), F.lit(0)).cast("int")
+    placed = turn.withColumn("at", ahead(F.col("role"), F.col("text"))).withColumn("safe_at", ahead(escape_role(F.col("role")), escape(F.col("text"))))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "at", "safe_at"))).alias("items"))
     plain = F.transform("items", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    safe = F.transform("turns", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")))
-    first = whole.select("conv_id", plain.alias("turns")).withColumn("formatted", render(F.col("turns")))
+    safe = F.transform("items", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    first = whole.select("conv_id", "items", plain.alias("turns")).withColumn("formatted", render(F.col("turns")))
     first = first.withColumn("escaped", ~parse(F.col("formatted")).eqNullSafe(F.col("turns")))
     again = first.withColumn("formatted", F.when(F.col("escaped"), render(safe)).otherwise(F.col("formatted")))
     same = ~F.col("escaped") | parse(F.col("formatted")).eqNullSafe(F.col("turns"))
     again = again.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation can't be read back"))))
-
-    def step(acc: Column, t: Column) -> Column:
-        at = acc["at"] + F.lit(len(START) + 1) + F.length(t["role"])
-        span = F.struct(at.alias("start"), F.length(t["text"]).alias("length"))
-        spans = F.when(t["role"] == trained_role, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((at + F.length(t["text"]) + len(END) + 1).alias("at"), spans.alias("spans"))
-
-    zero = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int>>))")
-    loss = F.aggregate(raw_turns(F.col("formatted")), zero, step, lambda acc: acc["spans"])
+    span = lambda at, role, text: F.struct((at + F.lit(len(START) + 1) + F.length(role)).alias("start"), F.length(text).alias("length"))
+    own = F.filter("items", lambda t: t["role"] == trained_role)
+    loss = F.transform(own, lambda t: F.when(F.col("escaped"), span(t["safe_at"], escape_role(t["role"]), escape(t["text"]))).otherwise(span(t["at"], t["role"], t["text"])))
     return again.select("conv_id", F.size("turns").cast("long").alias("n_source"), "formatted", loss.alias("loss"), "escaped")
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import inspect
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: White space between words: space and the five controls U+0009 to U+000D. bytes.split() cuts at exactly these.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,7 +26,7 @@ SPREAD = ("documents", "conversations", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's rows; one of fewer partitions than cores (a single small file) is dealt out, and larger ones never are."""
+    """A table's rows. A small file of one row group is one partition however the session splits files; such a table is dealt out, which changes its plan and no result."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
@@ -37,37 +40,46 @@ def release() -> None:
 
 
 def lean(fn: Callable) -> Callable:
-    """fn, followed by release()."""
+    """fn, followed by release() where a group was of some size."""
 
-    def run(*groups: pd.DataFrame) -> pd.DataFrame:
+    def run(*groups: pd.DataFrame | pa.Table) -> pd.DataFrame | pa.Table:
         out = fn(*groups)
-        release()
+        if sum(g.nbytes if isinstance(g, pa.Table) else 8 * g.size for g in groups) > 1 << 19:
+            release()
         return out
 
     return (lambda a: run(a)) if len(inspect.signature(fn).parameters) == 1 else lambda a, b: run(a, b)
 
 
+def slices(batch: pa.RecordBatch, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and, unless a single row is larger, `size` bytes of text."""
+    own = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    ends = np.cumsum(sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype("i8") for c in own), np.zeros(batch.num_rows, "i8")))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 500) -> DataFrame:
-    """mapInArrow with columns as Python lists, `rows` rows at a time, so that a batch of long texts stays small."""
+    """mapInArrow with columns as Python lists, at most `rows` rows and some MB at a time, so that a batch of long texts stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
         release()
 
-    arrow = arrow_schema(df.sparkSession, schema)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    arrow = arrow_schema(schema)
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    """Of a schema or its DDL, as tasks give it back."""
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def utf8(col: str) -> F.Column:
@@ -75,35 +87,67 @@ def utf8(col: str) -> F.Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints. It must be named: a folder of one machine would be missed by the others."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the session names; a folder of our own only where none is set."""
+    """checkpoint() in the folder that the session names. Spark removes checkpoints no longer referenced if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the session names for checkpoints; a folder of our own only where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='shared')}/{uuid.uuid4().hex}"
+    """A new folder under the one that the session names for checkpoints; whoever asks for it removes what it wrote there."""
+    return f"{shared(spark)}/{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], n: str, fan: int = 20_000, most: int = 500_000) -> DataFrame:
+    """big.join(small, on), where a key may have any share of big's rows; small has one row a key, and its column n says how many rows of big have it.
+
+    Rows of a key with over `fan` are dealt among as many tasks as that asks for, and small's row goes to each of these. The list of such
+    keys is broadcast only if it has `most` or fewer, else joined. Without any it is a plain join.
+    """
+    small = cut(small)
+    parts = F.ceil(F.col(n) / fan).cast("int")
+    often = small.where(F.col(n) > fan).select(*on, parts.alias("_parts"))
+    keys = often.count()
+    if not keys:
+        return big.join(small.drop(n), on)
+    dealt = big.join(F.broadcast(often) if keys <= most else often, on, "left")
+    part = F.pmod(F.xxhash64(*big.columns, F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int")
+    each = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
+    return dealt.withColumn("_part", part).drop("_parts").join(each, [*on, "_part"]).drop("_part")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a long, b long); component is the smallest node reachable.
 
     Large-star and small-star rounds: each node's smallest neighbour comes from a groupBy that combines map-side, and goes back over a
-    join, so a node with very many neighbours meets no single task. Each round is checkpointed. Empty edges: no rows.
+    join that deals the edges of a node with very many neighbours among tasks. Each round is checkpointed. Empty edges: no rows.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     for _ in range(rounds):
         # large-star: neighbours larger than a node go to the smallest node around it
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = cut(spread_join(both, low, ["a"], "n").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
         # small-star: neighbours not larger than a node, and the node, go to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b")
+        low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, ["b"], "n")
         edges = cut(small.select(F.col("m").alias("a"), "b").union(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -120,12 +164,10 @@ def filter_rows(df: DataFrame, fn: Callable[[dict[str, list]], list[bool]], cols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
+            for part in slices(batch, rows):
                 yield part.filter(pa.array(fn({c: part.column(i).to_pylist() for c, i in zip(cols, at, strict=True)}), pa.bool_()))
         release()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df.mapInArrow(run, df.schema)
 
 
@@ -140,3 +182,13 @@ def one_each(sample: DataFrame, cols: list[str], key: str = "doc_id") -> DataFra
     """One row of each id, of repeated ones that whose columns have the smallest hash, so that a sample of ids is no larger than said. Combines map-side."""
     low = F.min(F.struct(F.xxhash64(*cols), *cols)).alias("low")
     return sample.groupBy(key).agg(low).select(key, *[F.col(f"low.{c}").alias(c) for c in cols])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out

@@ -1,10 +1,11 @@
 """Packing of documents into sequences by patterns, after a non-negative least squares fit.
 
 Documents are tokenised and cut into pieces once, in parallel; what goes to the driver is the histogram of piece lengths, of as many
-bins as a sequence has tokens, whatever the input. There, patterns of two and three lengths that fill a sequence are enumerated, repeat
-counts are fitted to the histogram by non-negative least squares and rounded down, and what is left is packed best fit first, by whole
-groups of equal sequences. The plan (which ranks of which length take which place) goes to the tasks, where each piece finds its place
-by its length and its rank among the pieces of that length.
+bins as a sequence has tokens, whatever the input. There, all patterns of two and three lengths that fill a sequence exactly are
+enumerated (under size * size / 12 + size of them), repeat counts are fitted to the histogram by non-negative least squares and rounded
+with a carry, so that what one pattern loses the next one gets; what is left is packed best fit first, by whole groups of equal
+sequences. The plan (which ranks of which length take which place) goes to the tasks, where each piece finds its place by its length
+and its rank among the pieces of that length.
 """
 
 from __future__ import annotations
@@ -22,31 +23,31 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_schema, cut, map_rows
 
 SEQUENCE = 2048
-#: Enumerated patterns, at most; those of two lengths come first, then those whose rarest length is most frequent.
-PATTERNS = 200_000
+#: Repeats of patterns are rounded to whole groups, of which there are about this many at most, so that a plan stays small whatever the input.
+GROUPS = 20_000
 #: The rule by which byte-level BPE vocabularies of this family cut a text before merging (fixed value, public).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @functools.lru_cache(maxsize=2)
 def encoding(path: str):  # noqa: ANN201
-    """A byte-level BPE file of the tokenizers library, run by tiktoken, which gives the same ids several times faster."""
+    """A byte-level BPE file of the tokenizers library, run by tiktoken, which gives the same ids several times faster; added tokens in a text are one id, as there."""
     import json
 
     import tiktoken
 
     if path.endswith(".tiktoken"):
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            ranks, special = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, {}
     else:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}  # how such files write bytes
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pieces(ids: np.ndarray, size: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -64,30 +65,27 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 0, size: int = SEQUENCE,
     def run(x: dict[str, list]) -> dict[str, list]:
         coder, rows = encoding(path), []
         for ident, text in zip(x["doc_id"], x["text"], strict=True):
-            ids = np.append(coder.encode_to_numpy(text or "", disallowed_special=()), end_id).astype("<u4")
+            ids = np.append(coder.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
             rows += [(ident, i, at, n, zlib.crc32(ids[at : at + n].tobytes())) for i, (at, n) in enumerate(pieces(ids, size))]
         return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
 
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def patterns(counts: np.ndarray, size: int, most: int = PATTERNS) -> np.ndarray:
-    """Rows of three lengths (0: none) that fill a sequence, all of them in the histogram, longest first."""
+def patterns(counts: np.ndarray, size: int) -> np.ndarray:
+    """Rows of three lengths (0: none), longest first, that fill a sequence, all of them in the histogram; sorted, so that neighbours differ little."""
     have = counts > 0
-    have[size:] = False
-    a = np.arange(1, size)
-    two = np.stack([a, size - a, np.zeros_like(a)], axis=1)
-    two = two[(two[:, 0] >= two[:, 1]) & have[two[:, 0]] & have[two[:, 1]]]
+    have[0], have[size:] = False, False
     lengths = np.flatnonzero(have)
-    out = []
+    large = lengths[2 * lengths >= size]
+    large = large[have[size - large]]
+    out = [np.stack([large, size - large, np.zeros_like(large)], axis=1)]
     for x in lengths:  # x >= y >= z
         y = lengths[(lengths <= x) & (2 * lengths >= size - x) & (lengths < size - x)]
         y = y[have[size - x - y]]
         out.append(np.stack([np.full(len(y), x), y, size - x - y], axis=1))
-    three = np.concatenate(out) if out else np.zeros((0, 3), int)
-    rarest = counts[three].min(axis=1) if len(three) else np.zeros(0)
-    three = three[np.lexsort((np.arange(len(three)), -rarest))[: max(0, most - len(two))]]
-    return np.concatenate([two, three]).astype("i8")
+    rows = np.concatenate(out).astype("i8")
+    return rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
 
 
 def nnls(rows: np.ndarray, target: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -110,26 +108,33 @@ def nnls(rows: np.ndarray, target: np.ndarray, steps: int = 300) -> np.ndarray:
     return x
 
 
-def pack_plan(counts: np.ndarray, size: int = SEQUENCE, most: int = PATTERNS) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats): how often a sequence of these lengths is made; all pieces of the histogram (index: length) have a place."""
-    left = counts.astype("i8").copy()
-    plan = [((size,), int(left[size]))] if left[size] else []
+def rounded(rows: np.ndarray, x: np.ndarray, left: list[int], groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) by patterns, the longest lengths first; takes them from `left`. What a pattern's repeats are off by is carried to the next one."""
+    unit, carry, out = max(1, int(x.sum() // groups)), 0.0, []
+    for i in range(len(rows) - 1, -1, -1):
+        carry += x[i]
+        if 2 * carry < unit:
+            continue
+        lengths = [v for v in rows[i].tolist() if v]
+        n = min(unit * int(carry / unit + 0.5), *(left[v] // lengths.count(v) for v in lengths))
+        if n > 0:
+            out.append((tuple(lengths), n))
+            carry -= n
+            for v in lengths:
+                left[v] -= n
+    return out
+
+
+def pack_plan(counts: np.ndarray, size: int = SEQUENCE) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """(lengths, repeats): how often a sequence of these lengths is made, all pieces of the histogram (index: length) having a place; and how many of its first entries are patterns."""
+    left = counts.tolist()
+    plan = [((size,), left[size])] if left[size] else []
     left[size] = 0
-    rows = patterns(left, size, most)
+    rows = patterns(np.array(left), size)
     if len(rows):
-        target = left.astype(float)
-        target[0] = 0
-        x = nnls(rows, target)
-        for i in np.argsort(-x, kind="stable"):
-            if x[i] < 1:
-                break
-            lengths = [int(v) for v in rows[i] if v]
-            need = {v: lengths.count(v) for v in lengths}
-            n = min(int(x[i]), *(int(left[v]) // k for v, k in need.items()))
-            if n > 0:
-                plan.append((tuple(lengths), n))
-                for v, k in need.items():
-                    left[v] -= n * k
+        target = np.array([0.0, *left[1:]])
+        plan += rounded(rows, nnls(rows, target), left)
+    by_pattern = len(plan)
     # what is left: best fit, longest first, for groups of equal sequences at once; rooms[r] holds groups with r tokens free
     rooms: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     room = np.zeros(size + 1, bool)
@@ -151,7 +156,7 @@ def pack_plan(counts: np.ndarray, size: int = SEQUENCE, most: int = PATTERNS) ->
             rooms.setdefault(r - v, []).append(((*lengths, v), take))
             room[r - v] = True
             n -= take
-    return plan + [g for groups in rooms.values() for g in groups]
+    return plan + [g for groups in rooms.values() for g in groups], by_pattern
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]], size: int = SEQUENCE) -> dict[str, np.ndarray]:
@@ -169,26 +174,27 @@ def slots(plan: list[tuple[tuple[int, ...], int]], size: int = SEQUENCE) -> dict
     return {"key": (a[:, 0] << 44) + a[:, 1], "rank": a[:, 1], "sequence": a[:, 2], "offset": a[:, 3]}
 
 
-def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = 0, patterns: int = PATTERNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are the end token alone. Repeated rows and null ids are pieces as any other, each with a place of its own. An
-    empty table gives no rows.
+    Null and empty texts are the end token alone. Repeated rows and null ids are pieces as any other, each with a place of its own. A
+    text of any length is cut, whole, into pieces. Which of several pieces of one length takes which place follows their order in the
+    checkpointed table of pieces. Columns of other names are left aside. An empty table gives no rows.
     """
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     cutted = cut(tokenised(docs, path, end_id, size, id_col, text_col))
     counts = np.zeros(size + 1, "i8")
     for length, n in cutted.groupBy("length").count().collect():  # at most `size` rows
         counts[length] = n
-    salts = max(16, int(counts.sum() // 200_000))  # a length that many documents share is ranked in parts
-    salted = cutted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salts = max(16, int(counts.sum() // 200_000))  # a length that many documents share is ranked in parts, dealt by the place of a row
+    salted = cutted.withColumn("row", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    in_part = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    in_part = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("r", F.row_number().over(in_part) - 1).join(parts, ["length", "salt"]).select(*cols, (F.col("before") + F.col("r")).alias("rank"))
-    place = slots(pack_plan(counts, size, patterns), size)
+    place = slots(pack_plan(counts, size)[0], size)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    arrow = arrow_schema(docs.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

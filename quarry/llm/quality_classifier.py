@@ -1,11 +1,13 @@
 """Quality classifier by co-training of two views.
 
-The content view sees what words are made of: the shares of word shapes (letters, capitals, digits, signs) and of repeated words. The
-metadata view sees language, source, length and layout. Each is fitted to labelled documents; then, over some rounds, each labels those
-documents of an unlabelled pool that it is most sure of, and the other learns from them. Both are calibrated on labelled documents kept
+The content view sees a document's words: the words themselves and their shapes (letters, capitals, digits, signs), each as a share of
+all words, and how many words and pairs of words repeat. The metadata view sees what is known of the page without its text: language,
+source and length. Each is fitted to labelled documents; then, in each round, both score every unlabelled document in tasks, the ones
+that a view is most sure of become labels of the other one, and both are fitted again. Both are calibrated on labelled documents kept
 aside, and a logistic model over the two calibrated views scores every document.
 
-Samples are bounded by parameters: at most `each` labelled ids of each label and `pool` unlabelled ids. Scoring is one pass over all.
+The labelled sample is bounded by `each` ids of each label, and what a view teaches by `teach` documents of each class and round; the
+search for these covers all documents.
 """
 
 from __future__ import annotations
@@ -18,42 +20,73 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import filter_rows, labelled, map_rows, one_each
+from quarry.llm.common import cut, filter_rows, labelled, map_rows, one_each
 from quarry.llm.learn import Rows, logistic, sigmoid
 
-DIMS = 4096
+#: Numbers of features: words, shapes, and 64 for what a text is as a whole.
+WORDS, SHAPES, WHOLE = 1 << 16, 1 << 12, 64
+CONTENT, META = WHOLE + SHAPES + WORDS, 4096
 #: Letters become a or A, digits 0, bytes beyond ASCII a; other signs and white space stay.
 SHAPE = bytes(97 if 97 <= b < 123 or b > 127 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256))
 FIELDS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words remembered by a worker. A share of 1 counts as this much.
+REMEMBERED, SCALE = 300_000, 8.0
+
+
+def shape_of(word: bytes) -> bytes:
+    """The kinds of a word's signs, runs of one kind as one."""
+    s = word.translate(SHAPE)
+    return bytes(b for i, b in enumerate(s) if not i or b != s[i - 1])
+
+
+def places(word: bytes) -> tuple[int, int]:
+    """Features of a word: itself, in lower case, and its shape."""
+    return WHOLE + SHAPES + zlib.crc32(word.lower()) % WORDS, WHOLE + zlib.crc32(shape_of(word)) % SHAPES
+
+
+def whole(words: list[bytes], counts: Counter) -> dict[int, float]:
+    n = len(words)
+    if not n:
+        return {}
+    pairs = len(set(zip(words, words[1:], strict=False)))
+    return {0: math.log10(n), 1 + min(9, 10 * len(counts) // n): 1.0, 12 + min(9, 10 * pairs // max(1, n - 1)): 1.0, 24 + min(15, sum(map(len, words)) // n): 1.0}
 
 
 def content_view(text: bytes) -> dict[int, float]:
-    shape = np.frombuffer(text.translate(SHAPE), "u1")
-    shape = shape[np.r_[True, shape[1:] != shape[:-1]]] if len(shape) else shape
-    shapes, words = Counter(shape.tobytes().split()), text.split()
-    out: dict[int, float] = {}
-    for s, n in shapes.items():
-        k = zlib.crc32(s[:16]) % (DIMS - 64) + 64
-        out[k] = out.get(k, 0.0) + n
-    out = {k: math.sqrt(v / len(words)) for k, v in out.items()}
-    if words:
-        out[0] = math.log10(len(words))
-        out[1 + min(9, int(10 * len(set(words)) / len(words)))] = 1.0
-        pairs = list(zip(words, words[1:], strict=False))
-        out[12 + min(9, int(10 * len(set(pairs)) / max(1, len(pairs))))] = 1.0
-        out[24 + min(15, sum(map(len, words)) // len(words))] = 1.0
+    words = text.split()
+    counts = Counter(words)
+    out = whole(words, counts)
+    for w, k in counts.items():
+        for at in places(w):
+            out[at] = out.get(at, 0.0) + SCALE * k / len(words)
     return out
 
 
-def metadata_view(text: bytes, lang: str | None, source: str | None, n_chars: int | None) -> dict[int, float]:
-    lines = text.count(b"\n") + 1
-    size = len(text) if n_chars is None else n_chars
-    names = (f"lang {lang}", f"source {source}", f"size {int(2 * math.log2(1 + size))}", f"lines {int(2 * math.log2(lines))}", f"line {int(2 * math.log2(1 + size / lines))}", f"size {int(math.log2(1 + size))} lines {int(math.log2(lines))}")
-    return {zlib.crc32(x.encode()) % DIMS: 1.0 for x in names}
+def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> dict[int, float]:
+    size = "unknown" if n_chars is None else int(2 * math.log2(1 + max(0, n_chars)))
+    return {zlib.crc32(x.encode()) % META: 1.0 for x in (f"lang {lang}", f"source {source}", f"size {size}", f"lang {lang} size {size}")}
+
+
+class ContentScorer:
+    """The content view's raw score of a text; what a word adds is remembered."""
+
+    def __init__(self, w: np.ndarray, b: float):
+        self.w, self.b, self.known = w, b, {}
 
+    def __getstate__(self) -> dict:
+        return {"w": self.w, "b": self.b, "known": {}}
 
-def views(x: dict[str, list]) -> list[tuple[dict[int, float], dict[int, float]]]:
-    return [(content_view(t or b""), metadata_view(t or b"", a, b, n)) for t, a, b, n in zip(x["text"], x["lang"], x["source"], x["n_chars"], strict=True)]
+    def __call__(self, text: bytes) -> float:
+        words = text.split()
+        counts, known, total = Counter(words), self.known, 0.0
+        if len(known) > REMEMBERED:
+            known.clear()
+        for word, k in counts.items():
+            adds = known.get(word)
+            if adds is None:
+                known[word] = adds = float(sum(self.w[i] for i in places(word)))
+            total += k * adds
+        return self.b + SCALE * total / max(1, len(words)) + sum(self.w[i] * v for i, v in whole(words, counts).items())
 
 
 def fields(docs: DataFrame) -> list[F.Column]:
@@ -64,20 +97,19 @@ def fields(docs: DataFrame) -> list[F.Column]:
 
 
 class Model:
-    """Two views' weights and biases, and the weights of their combination."""
+    """Two views' weights and biases, the scales that calibrate them, and the weights of their combination."""
 
     def __init__(self, content: tuple[np.ndarray, float], meta: tuple[np.ndarray, float], joint: np.ndarray, scales: np.ndarray):
-        self.views, self.joint, self.scales = (content, meta), joint, scales
+        self.content, self.meta, self.joint, self.scales = ContentScorer(*content), meta, joint, scales
 
-    def raw(self, features: list[tuple[dict[int, float], dict[int, float]]]) -> np.ndarray:
-        out = np.empty((len(features), 2))
-        for v, (w, b) in enumerate(self.views):
-            out[:, v] = [b + sum(w[k] * s for k, s in f[v].items()) for f in features]
-        return out
+    def raw(self, x: dict[str, list]) -> np.ndarray:
+        w, b = self.meta
+        meta = [b + sum(w[k] for k in metadata_view(*m)) for m in zip(x["lang"], x["source"], x["n_chars"], strict=True)]
+        return np.stack([[self.content(t or b"") for t in x["text"]], meta], axis=1) if x["text"] else np.zeros((0, 2))
 
-    def score(self, features: list) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, x: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated logits of each view, and the score."""
-        logits = self.raw(features) * self.scales[:, 0] + self.scales[:, 1]
+        logits = self.raw(x) * self.scales[:, 0] + self.scales[:, 1]
         return logits, sigmoid(logits @ self.joint[:2] + self.joint[2])
 
 
@@ -89,48 +121,61 @@ def dense(x: np.ndarray) -> Rows:
     return Rows([np.arange(x.shape[1])] * len(x), list(x))
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, pool: int = 6000, rounds: int = 3, share: float = 0.05, column: str = "quality") -> Model:
-    """Of labels, id and `column` (1: good). Without labelled rows of both kinds every document scores 0.5 or more."""
-    known = labelled(labels, column, each)
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    ids = known.union(rest.select("doc_id", F.lit(-1).alias("y")))
-    sample = one_each(docs.select(*fields(docs)).join(F.broadcast(ids), "doc_id"), [*FIELDS[1:], "y"])  # at most 2 * each + pool rows
+def featured(docs: DataFrame, ids: DataFrame) -> list[tuple]:
+    """(doc_id, y, content features, metadata features) of one row of each of ids (doc_id, y), a small table."""
+    sample = one_each(docs.select(*fields(docs)).join(F.broadcast(ids), "doc_id"), [*FIELDS[1:], "y"])
 
     def run(x: dict[str, list]) -> dict[str, list]:
-        both = views(x)
         pack = lambda d: np.array([*d, *d.values()], "f8").tobytes()
-        return {"doc_id": x["doc_id"], "y": x["y"], "a": [pack(f[0]) for f in both], "b": [pack(f[1]) for f in both]}
+        return {"doc_id": x["doc_id"], "y": x["y"], "a": [pack(content_view(t or b"")) for t in x["text"]], "b": [pack(metadata_view(*m)) for m in zip(x["lang"], x["source"], x["n_chars"], strict=True)]}
 
-    got = sorted(map(tuple, map_rows(sample, run, "doc_id long, y int, a binary, b binary").collect()))
-    if {r[1] for r in got} < {0, 1} | {r[1] for r in got}:
-        zero = (np.zeros(DIMS), 0.0)
-        return Model(zero, zero, np.array([0.0, 0.0, 0.0]), np.array([[1.0, 0.0], [1.0, 0.0]]))
     unpack = lambda raw: (lambda a: dict(zip(a[: len(a) // 2].astype(int).tolist(), a[len(a) // 2 :].tolist(), strict=True)))(np.frombuffer(raw, "f8"))
+    got = sorted((tuple(r) for r in map_rows(sample, run, "doc_id long, y int, a binary, b binary").collect()), key=lambda r: r[:2])
+    return [(i, y, unpack(a), unpack(b)) for i, y, a, b in got]
+
+
+def sure(docs: DataFrame, labels: DataFrame, model: Model, teach: int, rate: float, certain: float) -> list[DataFrame]:
+    """For each view (doc_id, y) of the unlabelled documents that it is surest of: at most `teach` of either class, in the classes' proportion, over `certain`."""
+
+    def run(x: dict[str, list]) -> dict[str, list]:
+        p = sigmoid(model.raw(x))
+        return {"doc_id": x["doc_id"], "p0": p[:, 0].tolist(), "p1": p[:, 1].tolist()}
+
+    scored = map_rows(docs.select(*fields(docs)).where("doc_id is not null"), run, "doc_id long, p0 double, p1 double")
+    free = cut(scored.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.max("p0").alias("p0"), F.max("p1").alias("p1")))
+    out = []
+    for v in range(2):
+        p = F.col(f"p{v}")
+        top = lambda cond, order, y, n: free.where(cond).orderBy(order, F.xxhash64("doc_id"), "doc_id").limit(max(1, n)).select("doc_id", F.lit(y).alias("y"))
+        out.append(top(p > certain, p.desc(), 1, int(teach * max(rate, 1 - rate) * rate)).union(top(p < 1 - certain, p.asc(), 0, int(teach * max(rate, 1 - rate) * (1 - rate)))))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, teach: int = 1000, rounds: int = 2, certain: float = 0.9, column: str = "quality") -> Model:
+    """Of labels, id and `column` (1: good). Without labelled rows of both kinds every document scores 0.5."""
+    got = featured(docs, labelled(labels, column, each))
     y = np.array([r[1] for r in got])
-    x = [[unpack(r[2]) for r in got], [unpack(r[3]) for r in got]]
-    aside = np.array([zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in got]) & (y >= 0)
-    base, free = np.flatnonzero((y >= 0) & ~aside), np.flatnonzero(y < 0)
-    rate = y[base].mean()
-    taught: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view was given by the other
-    models = [None, None]
+    if len(set(y.tolist())) < 2:
+        return Model((np.zeros(CONTENT), 0.0), (np.zeros(META), 0.0), np.zeros(3), np.array([[1.0, 0.0], [1.0, 0.0]]))
+    aside = np.array([zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in got])
+    base = np.flatnonzero(~aside)
+    rate = float(y[base].mean()) if len(base) else 0.5
+    taught: list[dict[int, tuple]] = [{}, {}]  # what each view was taught by the other, by document
+    models: list[tuple] = [(), ()]
+    one = np.array([[1.0, 0.0], [1.0, 0.0]])
     for step in range(rounds + 1):
-        for v in range(2):
-            at = np.r_[base, np.array(list(taught[v]), int)]
-            target = np.r_[y[base], np.array(list(taught[v].values()), int)]
-            models[v] = logistic(rows_of([x[v][i] for i in at]), target.astype(float), DIMS, l2=1e-3, steps=150)
-        if step == rounds or not len(free):
+        for v, dims in enumerate((CONTENT, META)):
+            own = [*(got[i] for i in base), *taught[v].values()]
+            models[v] = logistic(rows_of([r[2 + v] for r in own]), np.array([r[1] for r in own], float), dims, l2=1e-4, steps=150)
+        if step == rounds:
             break
-        for v in range(2):
-            raw = rows_of([x[v][i] for i in free]).dot(models[v][0]) + models[v][1]
-            order = free[np.argsort(raw, kind="stable")]
-            n = share * len(free)
-            low, high = order[: int(n * (1 - rate)) + 1], order[len(order) - int(n * rate) - 1 :]
-            sure = sigmoid(np.sort(raw))
-            new = {int(i): 0 for i, p in zip(low, sure, strict=False) if p < 0.1} | {int(i): 1 for i, p in zip(high[::-1], sure[::-1], strict=False) if p > 0.9}
-            taught[1 - v] |= {i: k for i, k in new.items() if i not in taught[1 - v]}
+        now = Model(models[0], models[1], np.zeros(3), one)
+        for v, chosen in enumerate(sure(docs, labels, now, teach, rate, certain)):
+            for r in featured(docs, chosen):
+                taught[1 - v].setdefault(r[0], r)
     held = np.flatnonzero(aside)
-    held = held if len(set(y[held])) == 2 else base
-    raw = np.stack([rows_of([x[v][i] for i in held]).dot(models[v][0]) + models[v][1] for v in range(2)], axis=1)
+    held = held if len(set(y[held].tolist())) == 2 else np.arange(len(y))
+    raw = np.stack([rows_of([got[i][2 + v] for i in held]).dot(models[v][0]) + models[v][1] for v in range(2)], axis=1)
     scales = np.ones((2, 2))
     for v in range(2):
         w, b = logistic(dense(raw[:, v : v + 1]), y[held].astype(float), 1, l2=1e-3)
@@ -142,24 +187,24 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, pool: int = 6000,
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, content_score, metadata_score, score, accepted (score at least 0.5).
 
-    Null and empty texts have no content features and are scored by the rest; null metadata is a value of its own. Repeated rows score
-    alike; an empty table gives no rows.
+    Null and empty texts have no content features and are scored by the rest; null metadata is a value of its own, and so is that of a
+    table without such columns. Repeated rows score alike, texts of any length are read whole, and an empty table gives no rows.
     """
 
     def run(x: dict[str, list]) -> dict[str, list]:
-        logits, p = model.score(views(x))
+        logits, p = model.score(x)
         return {"doc_id": x["doc_id"], "content_score": sigmoid(logits[:, 0]).tolist(), "metadata_score": sigmoid(logits[:, 1]).tolist(), "score": p.tolist(), "accepted": (p >= 0.5).tolist()}
 
     return map_rows(docs.select(*fields(docs)), run, "doc_id long, content_score double, metadata_score double, score double, accepted boolean")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """docs without those that score under `least`; all columns stay."""
+    """docs without those that score under `least`; all columns stay. Nulls, empty and long texts, repeated rows and an empty table are as in score()."""
     cols = [c for c in FIELDS if c in docs.columns]
 
     def run(x: dict[str, list]) -> list[bool]:
         n = len(x["text"])
         full = {c: x.get(c, [None] * n) for c in FIELDS} | {"text": [t.encode() if t else b"" for t in x["text"]]}
-        return (model.score(views(full))[1] >= least).tolist()
+        return (model.score(full)[1] >= least).tolist()
 
     return filter_rows(docs, run, cols)

@@ -5,20 +5,26 @@ content and lines of bad ones as boilerplate, a first field is fitted, its best
 hold proper lines), and the field is fitted again. Viterbi decoding then labels every line of every document, and a document is kept
 if the content lines hold at least `share` of its word characters and it passes the base rules.
 
-The training sample is bounded: at most `each` documents of each label. Everything else covers all documents and whole texts.
+Training runs on the driver over a bounded sample of labelled rows: at most `each` stretches of LINES lines of each label, from at most
+`each` documents of it, so that a document of a million lines takes no more time than others. All else covers all documents and
+whole texts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled, map_rows, one_each, utf8
+from quarry.llm.common import cut, labelled, map_rows, one_each, utf8
 
 SYMBOLS, BLANKS, UPPER, LOWER = b"#*$%&|<>", b" \t\n\x0b\x0c\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b < 58)
 FEATURES = 17
+#: Lines of a stretch to train on.
+LINES = 256
 
 
 def repeat_words(words: list[bytes], span: int = 3) -> int:
@@ -142,14 +148,20 @@ def train(lines: list[np.ndarray], paths: list[np.ndarray], steps: int = 120, ra
     return Field(w, t)
 
 
+def stretches(bits: np.ndarray, lines: int = LINES) -> list[bytes]:
+    return [bits[at : at + lines].tobytes() for at in range(0, len(bits), lines)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, each: int = 1500, column: str = "quality") -> Field | None:
     """None without labelled documents of both kinds that have a line; then all lines are content."""
     known = labelled(labels, column, each)
     sample = one_each(docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(known), "doc_id"), ["text", "y"])  # at most 2 * each rows
-    rows = map_rows(sample, lambda x: {"doc_id": x["doc_id"], "y": x["y"], "bits": [line_features(t)[0].tobytes() for t in x["text"]]}, "doc_id long, y int, bits binary")
-    got = sorted((r["doc_id"], r["y"], bytes(r["bits"])) for r in rows.collect() if r["bits"])
-    lines = [np.frombuffer(b, "<i4") for _, _, b in got]
-    bad = [y == 0 for _, y, _ in got]
+    rows = map_rows(sample, lambda x: {"doc_id": x["doc_id"], "y": x["y"], "parts": [stretches(line_features(t)[0]) for t in x["text"]]}, "doc_id long, y int, parts array<binary>")
+    parts = cut(rows.select("doc_id", "y", F.posexplode("parts").alias("at", "bits")))
+    some = reduce(DataFrame.union, [parts.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at").limit(each) for y in (0, 1)])
+    got = sorted((r["doc_id"], r["y"], r["at"], bytes(r["bits"])) for r in some.collect())
+    lines = [np.frombuffer(b, "<i4") for *_, b in got]
+    bad = [y == 0 for _, y, _, _ in got]
     if len(set(bad)) < 2:
         return None
     paths = [np.full(len(x), b) for x, b in zip(lines, bad, strict=True)]
@@ -161,8 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 1500, column: str = "qua
 def apply_rules(docs: DataFrame, field: Field | None, share: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, the base counts, base_failed, kept, content_share.
 
-    Null and empty texts have no words, fail the base rules and are not kept; their content_share is 1. Repeated rows give equal rows. An
-    empty table gives no rows.
+    Null and empty texts have no words, fail the base rules and are not kept; their content_share is 1. Repeated rows give equal rows.
+    Paths that score alike go to content, a share of exactly `share` is kept, and texts of any length are read whole. An empty table
+    gives no rows.
     """
 
     def one(data: bytes) -> tuple:

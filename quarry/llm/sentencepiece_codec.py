@@ -2,7 +2,8 @@
 
 Chunks that are not yet known are grouped by length, and all of a length advance together, one character at a time: the hashes of
 their substrings are looked up among the sorted hashes of the pieces, the best start is a vectorised maximum (starts in order, later
-ones only if strictly better) and is stored as a backpointer. Each result is checked: the pieces found must spell the chunk.
+ones only if strictly better) and is stored as a backpointer. Each result is checked: the pieces found must spell the chunk. Where they
+don't, as a substring has the hash of another piece, that chunk is encoded again by looking the substrings themselves up.
 """
 
 from __future__ import annotations
@@ -90,10 +91,30 @@ class Codec:
                 e = starts[e]
             path.reverse()
             if self.spelt(path) != text.replace(MARK, " ").encode():
-                raise ValueError("a substring has the hash of another piece")
+                path = self.encode_plain(text)
             out.append(path)
         return out
 
+    def encode_plain(self, text: str) -> list[int]:
+        """Ids of one text, by the same rule, without hashes."""
+        own, best, back = self.lexicon, [0.0], [(0, -1)]
+        for e in range(1, len(text) + 1):
+            top = (-np.inf, 0, -1)
+            for a in range(max(0, e - own.longest), e):
+                piece = own.pieces.get(text[a:e])
+                if piece and best[a] + piece[1] > top[0]:
+                    top = (best[a] + piece[1], a, piece[0])
+            if text[e - 1] not in own.pieces and best[e - 1] + own.unknown > top[0]:
+                top = (best[e - 1] + own.unknown, e - 1, -1)
+            best.append(top[0])
+            back.append(top[1:])
+        path, e = [], len(text)
+        while e:
+            a, piece = back[e]
+            path += [piece] if piece >= 0 else [own.byte_ids[b] for b in reversed(text[a:e].encode())]
+            e = a
+        return path[::-1]
+
     def spelt(self, ids: list[int]) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
 

@@ -2,10 +2,10 @@
 
 Documents get 64-bit fingerprints; equal ones are one point from then on. Two points at 3 or fewer bits differ by at most one bit in
 their upper or in their lower half, so each half has a forest of its own with a search radius of 1. A forest's upper levels are
-vantage points that all nodes of a level share: points within the median Hamming distance of it go in, the others out, and those
-beyond the median by no more than the radius (the triangle bound) are copied in, so that each close pair meets in at least one shard.
-The depth follows the number of points. Shards that stay too large are split again by their own medians; where that does nothing, as
-their points are all close to each other, they are dealt in blocks, and each pair of blocks is a shard. In a shard, points are
+vantage points that all nodes of a level share: points within the median Hamming distance of it (measured on all points) go in, the
+others out, and those beyond the median by no more than the radius (the triangle bound) are copied in, so that each close pair meets
+in at least one shard. The depth follows the number of points. Shards that stay too large are split again by their own medians; those
+that still are, as their points are close to each other, are dealt in blocks, and each pair of blocks is a shard. In a shard, points are
 ordered by their distance to one more vantage point over all 64 bits, and only those whose distances differ by at most 3 are
 compared. A shard gives each point of its classes one link, never all pairs; connected components join the links of all shards.
 """
@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, cut, lean, map_rows, utf8
+from quarry.llm.common import components, cut, lean, map_rows, spread_join, utf8
 
 BITS, RADIUS = 64, 3
 #: Points of a shard aimed at, and above which it is split again.
-SHARD, LARGE = 1500, 20_000
+SHARD, LARGE = 1000, 3000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -55,42 +55,53 @@ def half_of(half: int) -> Column:
     return F.expr(f"shiftrightunsigned(point, {32 * half}) & 4294967295L")
 
 
-def paths(half: int, depth: int) -> Column:
-    """The shards of a point: at each level in (bit 0), out (1) or, just beyond the median, both."""
+def distance(level: int, half: int) -> Column:
+    return F.bit_count(half_of(half).bitwiseXOR(F.lit(vantage(level, half)).cast("long")))
+
+
+def medians(points: DataFrame, depth: int) -> list[list[int]]:
+    """Of each half and level the median distance of all points from its vantage point; one pass that combines map-side."""
     if not depth:
+        return [[], []]
+    row = points.agg(*[F.percentile_approx(distance(level, half), 0.5, 1000).alias(f"m{half}_{level}") for half in range(2) for level in range(depth)]).first()
+    return [[16 if row[f"m{half}_{level}"] is None else int(row[f"m{half}_{level}"]) for level in range(depth)] for half in range(2)]
+
+
+def paths(half: int, cuts: list[int]) -> Column:
+    """The shards of a point: at each level in (bit 0), out (1) or, just beyond the median, both."""
+    if not cuts:
         return F.array(F.lit(0).cast("long"))
-    far = F.array(*[F.bit_count(half_of(half).bitwiseXOR(F.lit(vantage(level, half)).cast("long"))) for level in range(depth)])
+    side = F.array(*[F.when(distance(level, half) <= m, 0).when(distance(level, half) > m + 1, 1).otherwise(2) for level, m in enumerate(cuts)])
 
     def step(acc: Column, d: Column) -> Column:
-        return F.when(d <= 16, F.transform(acc, lambda c: c * 2)).when(d > 17, F.transform(acc, lambda c: c * 2 + 1)).otherwise(F.concat(F.transform(acc, lambda c: c * 2), F.transform(acc, lambda c: c * 2 + 1)))
+        return F.when(d == 0, F.transform(acc, lambda c: c * 2)).when(d == 1, F.transform(acc, lambda c: c * 2 + 1)).otherwise(F.concat(F.transform(acc, lambda c: c * 2), F.transform(acc, lambda c: c * 2 + 1)))
 
-    return F.aggregate(far, F.array(F.lit(0).cast("long")), step)
+    return F.aggregate(side, F.array(F.lit(0).cast("long")), step)
 
 
-def shards(points: DataFrame, n: int, shard: int = SHARD, large: int = LARGE, rounds: int = 12) -> DataFrame:
+def shards(points: DataFrame, n: int, shard: int = SHARD, large: int = LARGE, rounds: int = 2) -> DataFrame:
     """(shard, point): each pair of points at RADIUS or less shares a shard."""
     depth = max(0, math.ceil(math.log(max(1, n / shard)) / 0.565))
-    out = points.select("point", F.explode(paths(0, depth)).alias("path")).withColumn("half", F.lit(0))
-    out = out.union(points.select("point", F.explode(paths(1, depth)).alias("path"), F.lit(1).alias("half")))
+    cuts = medians(points, depth)
+    out = points.select("point", F.explode(paths(0, cuts[0])).alias("path")).withColumn("half", F.lit(0))
+    out = out.union(points.select("point", F.explode(paths(1, cuts[1])).alias("path"), F.lit(1).alias("half")))
     out = out.select(F.xxhash64("half", "path").alias("shard"), "half", "point")
-    before = now = None
     for level in range(depth, depth + rounds):
-        over = out.groupBy("shard", "half").agg(F.count("*").alias("n")).where(F.col("n") > large)
-        now = over.agg(F.count("*"), F.max("n")).first()
-        if not now[0] or now == before:
-            break  # none is large, or the last split did nothing
-        before = now
-        d = F.when(F.col("half") == 0, F.bit_count(half_of(0).bitwiseXOR(F.lit(vantage(level, 0)).cast("long")))).otherwise(F.bit_count(half_of(1).bitwiseXOR(F.lit(vantage(level, 1)).cast("long"))))
-        far = out.withColumn("d", d).join(over.select("shard", "n"), "shard", "left")
+        over = cut(out.groupBy("shard", "half").agg(F.count("*").alias("n")).where(F.col("n") > large).select("shard", "n"))
+        if over.isEmpty():
+            break
+        d = F.when(F.col("half") == 0, distance(level, 0)).otherwise(distance(level, 1))
+        far = out.withColumn("d", d).join(over, "shard", "left")
         median = far.where("n is not null").groupBy("shard").agg(F.percentile_approx("d", 0.5, 1000).alias("m"))
         side = F.when(F.col("m").isNull(), F.array(F.lit(-1))).when(F.col("d") <= F.col("m"), F.array(F.lit(0))).when(F.col("d") > F.col("m") + 1, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
         split = far.join(median, "shard", "left").select("shard", "half", "point", F.explode(side).alias("side"))
         out = cut(split.select(F.when(F.col("side") < 0, F.col("shard")).otherwise(F.xxhash64("shard", "side", F.lit(level))).alias("shard"), "half", "point"))
-    return blocks(out.select("shard", "point"), large) if now[0] else out.select("shard", "point")
+    return blocks(out.select("shard", "point"), large)
 
 
 def blocks(sharded: DataFrame, large: int) -> DataFrame:
     """(shard, point): shards of over `large` points as pairs of blocks of about half that; each pair of points still meets, no task has many more than `large`."""
+    sharded = cut(sharded)
     dense = sharded.groupBy("shard").agg(F.ceil(F.count("*") * 2 / large).cast("int").alias("k")).where("k > 2")
     k, block = F.col("k"), F.pmod(F.xxhash64("point"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64("shard", F.least(block, j), F.greatest(block, j)))
@@ -99,7 +110,7 @@ def blocks(sharded: DataFrame, large: int) -> DataFrame:
 
 
 def shard_links(points: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): each point that has another within RADIUS, and the smallest point of its class in this shard."""
+    """(a, b): for each point b that has another within RADIUS, the point a of its class in this shard that is nearest to the vantage point."""
     points = np.unique(points)
     code = points.view("u8")
     far = np.bitwise_count(code ^ code[:1]) if len(code) else np.zeros(0, "u1")
@@ -151,10 +162,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_
     rows each give a row. An empty table gives no rows.
     """
     prints = cut(fingerprints(docs, shingle, id_col, text_col))
-    points = cut(prints.groupBy("point").agg(F.min("doc_id").alias("first")))
+    points = cut(prints.groupBy("point").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))  # combines map-side: a point of very many documents is one row from each task
     n = points.count()
     classes = components(links(shards(points.select("point"), n)))
-    rooted = points.join(classes, points["point"] == classes["node"], "left").select("point", "first", F.coalesce("component", "point").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("point", "root").join(lowest, "root").select("point", "component_id")
-    return prints.join(named, "point").select("doc_id", F.lpad(F.lower(F.hex("point")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = cut(points.join(classes, points["point"] == classes["node"], "left").select("point", "first", "rows", F.coalesce("component", "point").alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(rooted.select("point", "rows", "root"), lowest, ["root"], "n").select("point", "rows", "component_id")
+    return spread_join(prints, named, ["point"], "rows").select("doc_id", F.lpad(F.lower(F.hex("point")), 16, "0").alias("fingerprint"), "component_id")

@@ -4,32 +4,38 @@ A window is `words` consecutive words. Levels have lengths that double up to it
 of the next length the one of its own length with the smallest hash, so equal windows choose alike. Where that is found in two
 documents, and there alone, windows are extended to the next length, until the wanted one is reached or no candidates survive.
 
-Documents are dealt into groups of a few MB. A level sends each group's distinct hashes, packed by bucket of the hash, and gets one
+Documents are dealt into groups of a few MB. A level sends each group's distinct hashes, packed by range of the hash, and gets one
 bit back for each: whether another group, or an earlier document, has it. A window that is in every document is thus one entry from
-each group, and never a row for each document. Texts are shuffled once; later levels read that exchange again.
+each group, and never a row for each document. Texts are shuffled once; later levels read that exchange again. Work and rows are
+linear in the input: a group touches the ranges that it has hashes in, and tasks are as many as the input's size asks for. Columns
+besides id and text pass through as Arrow arrays, as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from quarry.llm.common import cut, lean, utf8
+from quarry.llm.common import arrow_schema, cut, lean, utf8
 
 #: Odd multiplier of the rolling hashes.
 STEP = 0x9E3779B97F4A7C15
 PIECE = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-ENTRIES = "g int, bucket int, ids binary, firsts binary"
-ANSWERS = "g int, bucket int, bits binary"
+ENTRIES = "g long, bucket long, ids binary, firsts binary"
+ANSWERS = "g long, bucket long, bits binary"
+_SCHEMAS = {
+    "entries": pa.schema([("g", pa.int64()), ("bucket", pa.int64()), ("ids", pa.binary()), ("firsts", pa.binary())]),
+    "answers": pa.schema([("g", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]),
+}
 #: Shorter windows than this are in too many texts to tell anything apart.
 LEAST = 6
 
@@ -74,19 +80,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def seeds(h: np.ndarray, words: int, half: int) -> np.ndarray:
-    """For each window of `words` words the smallest hash of the windows of `half` words in it."""
+    """For each window of `words` words the smallest hash of the windows of `half` words in it, mixed once more (the smallest ones alone would crowd the low ranges)."""
     x, span = mixed(windows(h[:1], half)[0]), words - half + 1
     n, out, have = len(x) - span + 1, x, 1
     while have * 2 <= span:  # minima over doubling spans
         out, have = np.minimum(out[: len(out) - have], out[have:]), have * 2
-    return np.minimum(out[:n], out[span - have : span - have + n])
+    return mixed(np.minimum(out[:n], out[span - have : span - have + n]))
 
 
 class Group:
     """The documents of one group, end to end; windows that would cross from one into the next are left out."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        self.ids, self.split = pdf["doc_id"].to_numpy("i8"), [t.split() for t in pdf["text"]]
+    def __init__(self, table: pa.Table):
+        self.texts = table["text"].to_pylist()
+        self.ids, self.split = table["doc_id"].to_numpy().astype("i8"), [t.split() for t in self.texts]
         sizes = [len(w) for w in self.split]
         self.ends, self.row = np.cumsum(sizes), np.repeat(np.arange(len(sizes)), sizes)
         self.hashes = word_hashes(list(chain.from_iterable(self.split)))
@@ -101,31 +108,32 @@ class Group:
 
 
 def found(values: np.ndarray, buckets: int) -> np.ndarray:
-    return ((values >> np.uint64(32)) % np.uint64(buckets)).astype("i4")
+    """The range of each hash, of `buckets` equal ones; sorted hashes have sorted ranges."""
+    return (((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype("i8")
+
+
+def table_of(schema: str, *columns: list) -> pa.Table:
+    return pa.table(list(columns), schema=_SCHEMAS[schema])
 
 
-def packed(g: int, values: list[np.ndarray], firsts: np.ndarray, buckets: int) -> pd.DataFrame:
-    """Rows of entries; values[0] holds sorted distinct keys and gives the buckets."""
+def packed(g: int, values: list[np.ndarray], firsts: np.ndarray, buckets: int) -> pa.Table:
+    """Rows of entries, one for each range that has a key; values[0] holds sorted distinct keys and gives the ranges."""
     bucket = found(values[0], buckets)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = []
-    for b in range(buckets):
-        at = order[ends[b] : ends[b + 1]]
-        if len(at):
-            rows.append((g, b, np.concatenate([v[at].view("u1").reshape(len(at), -1) for v in values], axis=1).tobytes(), firsts[at].tobytes()))
-    return pd.DataFrame(rows, columns=["g", "bucket", "ids", "firsts"])
-
-
-def unpacked(answers: pd.DataFrame, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """A flag for each of the sorted distinct keys that packed() was given."""
-    bucket = found(keys, buckets)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    out = np.zeros(len(keys), bool)
-    for b, bits in zip(answers["bucket"], answers["bits"], strict=True):
-        at = order[ends[b] : ends[b + 1]]
-        out[at] = np.unpackbits(np.frombuffer(bits, "u1"), count=len(at)).astype(bool)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+    ends = np.r_[starts[1:], len(bucket)]
+    ids = np.concatenate([v.view("u1").reshape(len(v), -1) for v in values], axis=1) if len(bucket) else None
+    rows = [(ids[a:b].tobytes(), firsts[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] if len(bucket) else []
+    return table_of("entries", [g] * len(rows), bucket[starts].tolist(), [r[0] for r in rows], [r[1] for r in rows])
+
+
+def unpacked(answers: pa.Table, level: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A flag for each of the sorted distinct keys that packed() was given at that level."""
+    bucket, out = found(keys, buckets), np.zeros(len(keys), bool)
+    own = answers.filter(pa.array(answers["level"].to_numpy() == level))
+    asked = own["bucket"].to_numpy()
+    lows, highs = np.searchsorted(bucket, asked, "left"), np.searchsorted(bucket, asked, "right")
+    for a, b, bits in zip(lows.tolist(), highs.tolist(), own["bits"].to_pylist(), strict=True):
+        out[a:b] = np.unpackbits(np.frombuffer(bits, "u1"), count=b - a).astype(bool)
     return out
 
 
@@ -147,7 +155,7 @@ def among(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)] == values
 
 
-def survivors(group: Group, answers: pd.DataFrame | None, level: int, levels: list[int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def survivors(group: Group, answers: pa.Table | None, level: int, levels: list[int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Where windows of the length after this level's begin that all levels before left over, and their seeds; at the last level, the windows left over and two hashes of each."""
     at, alive = group.starts(levels[0]), None
     for k in range(level + 1):
@@ -163,48 +171,52 @@ def survivors(group: Group, answers: pd.DataFrame | None, level: int, levels: li
         if k == level:
             return at, seed
         keys, _, _, place = distinct(seed, group.docs(at))
-        at = at[unpacked(answers[answers["level"] == k], keys, buckets)[place]]
+        at = at[unpacked(answers, k, keys, buckets)[place]]
         if k + 2 < len(levels):
-            alive = np.unique(mixed(windows(group.hashes[:1], levels[k + 1])[0])[at])
+            alive = np.unique(mixed(mixed(windows(group.hashes[:1], levels[k + 1])[0][at])))
     if not len(at):
         return at, np.zeros((2, 0) if level == len(levels) - 1 else 0, "u8")
     return at, windows(group.hashes, levels[-1])[:, at]
 
 
-def send_seeds(pdf: pd.DataFrame, answers: pd.DataFrame | None, level: int, levels: list[int], buckets: int) -> pd.DataFrame:
-    group = Group(pdf)
+def send_seeds(table: pa.Table, answers: pa.Table | None, level: int, levels: list[int], buckets: int) -> pa.Table:
+    group = Group(table)
     at, seed = survivors(group, answers, level, levels, buckets)
     keys, low, high, _ = distinct(seed, group.docs(at))
-    return packed(int(pdf["g"].iloc[0]) if len(pdf) else 0, [keys], (low != high).astype("u1"), buckets)
+    return packed(group_of(table), [keys], (low != high).astype("u1"), buckets)
 
 
-def answer_seeds(pdf: pd.DataFrame) -> pd.DataFrame:
+def group_of(table: pa.Table) -> int:
+    return table["g"][0].as_py() if table.num_rows else 0
+
+
+def answer_seeds(entries: pa.Table) -> pa.Table:
     """Bit: the seed is in another group, or in two documents of its own."""
-    keys = [np.frombuffer(x, "<u8") for x in pdf["ids"]]
-    own = [np.frombuffer(x, "u1") for x in pdf["firsts"]]
+    keys = [np.frombuffer(x, "<u8") for x in entries["ids"].to_pylist()]
+    own = [np.frombuffer(x, "u1") for x in entries["firsts"].to_pylist()]
     _, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     flags = (count[place] > 1) | np.concatenate(own).astype(bool)
-    return answered(pdf, flags, [len(k) for k in keys])
+    return answered(entries, flags, [len(k) for k in keys])
 
 
-def answered(pdf: pd.DataFrame, flags: np.ndarray, sizes: list[int]) -> pd.DataFrame:
+def answered(entries: pa.Table, flags: np.ndarray, sizes: list[int]) -> pa.Table:
     parts = np.split(flags, np.cumsum(sizes)[:-1])
-    return pd.DataFrame({"g": pdf["g"], "bucket": pdf["bucket"], "bits": [np.packbits(x).tobytes() for x in parts]})
+    return table_of("answers", entries["g"].to_pylist(), entries["bucket"].to_pylist(), [np.packbits(x).tobytes() for x in parts])
 
 
-def send_windows(pdf: pd.DataFrame, answers: pd.DataFrame | None, level: int, levels: list[int], buckets: int) -> pd.DataFrame:
-    group = Group(pdf)
+def send_windows(table: pa.Table, answers: pa.Table | None, level: int, levels: list[int], buckets: int) -> pa.Table:
+    group = Group(table)
     at, full = survivors(group, answers, level, levels, buckets)
     keys, low, _, place = distinct(mixed(full[0]), group.docs(at))
     check = np.zeros(len(keys), "u8")
     check[place] = full[1]
-    return packed(int(pdf["g"].iloc[0]) if len(pdf) else 0, [keys, check.astype("<u4")], low, buckets)
+    return packed(group_of(table), [keys, check.astype("<u4")], low, buckets)
 
 
-def answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
+def answer_windows(entries: pa.Table) -> pa.Table:
     """Bit: an earlier document of another group has the window. Keys are 96 bits."""
-    raw = [np.frombuffer(x, np.dtype([("k", "<u8"), ("c", "<u4")])) for x in pdf["ids"]]
-    low = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["firsts"]])
+    raw = [np.frombuffer(x, np.dtype([("k", "<u8"), ("c", "<u4")])) for x in entries["ids"].to_pylist()]
+    low = np.concatenate([np.frombuffer(x, "<i8") for x in entries["firsts"].to_pylist()])
     both = np.concatenate(raw)
     order = np.lexsort((low, both["c"], both["k"]))
     s = both[order]
@@ -212,16 +224,16 @@ def answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     first = low[order][np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
     flags = np.empty(len(s), bool)
     flags[order] = low[order] > first
-    return answered(pdf, flags, [len(x) for x in raw])
+    return answered(entries, flags, [len(x) for x in raw])
 
 
-def repeated(pdf: pd.DataFrame, answers: pd.DataFrame, levels: list[int], buckets: int) -> tuple[Group, list[np.ndarray]]:
+def repeated(table: pa.Table, answers: pa.Table, levels: list[int], buckets: int) -> tuple[Group, list[np.ndarray]]:
     """For each document, which of its words are covered by a window that also starts in an earlier document."""
-    group, words, last = Group(pdf), levels[-1], len(levels) - 1
+    group, words, last = Group(table), levels[-1], len(levels) - 1
     at, full = survivors(group, answers, last, levels, buckets)
     docs = group.docs(at)
     keys, low, _, place = distinct(mixed(full[0]), docs)
-    earlier = unpacked(answers[answers["level"] == last], keys, buckets)[place] | (docs > low[place])
+    earlier = unpacked(answers, last, keys, buckets)[place] | (docs > low[place])
     edge = np.zeros(len(group.ends) and int(group.ends[-1]) + words + 1, "i4")
     edge[at[earlier]] += 1
     edge[at[earlier] + words] -= 1
@@ -230,23 +242,26 @@ def repeated(pdf: pd.DataFrame, answers: pd.DataFrame, levels: list[int], bucket
 
 
 def scanned(docs: DataFrame, words: int, group_mb: float, id_col: str, text_col: str, rest: list[str]) -> DataFrame:
-    """What substring_dedup() returns, and the columns of docs named in `rest` as one JSON text of that name."""
+    """What substring_dedup() returns, and the columns of docs named in `rest` as c0, c1, ..."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = int(size / (group_mb * 1e6)) + 1
     buckets = max(24, int(size / 25e6) + 1)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    by_group, by_bucket = max(cores, int(size / 32e6) + 1), max(cores, int(size / 100e6) + 1)  # tasks of some tens of MB at any size
     top = F.lit((1 << 63) - 1)
+    kept = [F.col(c).alias(f"c{k}") for k, c in enumerate(rest)]
     # dealt by id and text, so that the rows of one id (or of none) don't all meet in one group
-    base = docs.select(F.pmod(F.xxhash64(F.coalesce(id_col, top), text_col), F.lit(groups)).cast("int").alias("g"), F.coalesce(F.col(id_col), top).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), utf8(text_col).alias("text"), F.to_json(F.struct(*rest)).alias("rest") if rest else F.lit(None).cast("string").alias("rest"))
+    base = docs.select(F.pmod(F.xxhash64(F.coalesce(id_col, top), text_col), F.lit(groups)).alias("g"), F.coalesce(F.col(id_col), top).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"), utf8(text_col).alias("text"), *kept).repartition(by_group, "g")
 
-    def to_group(fn: Callable, answers: DataFrame | None, schema: str) -> DataFrame:
+    def to_group(fn: Callable, answers: DataFrame | None, schema: str | StructType) -> DataFrame:
         if answers is None:
-            return base.groupBy("g").applyInPandas(lean(lambda p: fn(p, None)), schema)
-        return base.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(lean(fn), schema)
+            return base.groupBy("g").applyInArrow(lean(lambda t: fn(t, None)), schema)
+        return base.groupBy("g").cogroup(answers.repartition(by_group, "g").groupBy("g")).applyInArrow(lean(fn), schema)
 
     def ask(level: int, answers: DataFrame | None) -> DataFrame:
         send, answer = (send_windows, answer_windows) if level == last else (send_seeds, answer_seeds)
-        sent = to_group(lambda p, a: send(p, a, level, levels, buckets), answers, ENTRIES)
-        new = sent.groupBy("bucket").applyInPandas(lean(answer), ANSWERS).withColumn("level", F.lit(level))
+        sent = to_group(lambda t, a: send(t, a, level, levels, buckets), answers, ENTRIES)
+        new = sent.repartition(by_bucket, "bucket").groupBy("bucket").applyInArrow(lean(answer), ANSWERS).withColumn("level", F.lit(level))
         return new if answers is None else answers.union(new)
 
     levels = lengths(words)
@@ -257,19 +272,20 @@ def scanned(docs: DataFrame, words: int, group_mb: float, id_col: str, text_col:
             answers = cut(answers)
             if answers.where((F.col("level") == level) & F.hex("bits").rlike("[1-9A-F]")).isEmpty():
                 break
-    schema = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, rest string"
+    made = StructType.fromDDL("doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
+    schema = StructType([*made.fields, *(StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(rest))])
+    arrow = arrow_schema(schema)
 
-    def without(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[["rest"]].copy()
-        group, covers = repeated(pdf, answers, levels, buckets)
+    def without(table: pa.Table, answers: pa.Table) -> pa.Table:
+        group, covers = repeated(table, answers, levels, buckets)
         left = [[w for w, gone in zip(s, c, strict=True) if not gone] if c.any() else s for s, c in zip(group.split, covers, strict=True)]
-        text = [b"".join(p for p, gone in zip(PIECE.findall(t), c, strict=True) if not gone) if c.any() else t for t, c in zip(pdf["text"], covers, strict=True)]
-        out["doc_id"] = pdf["doc_id"].astype("object").where(~pdf["no_id"], None)
-        out["text"] = [t.decode("utf-8", "replace") for t in text]
-        out["n_words"] = [len(s) for s in group.split]
-        out["n_removed"] = [int(c.sum()) for c in covers]
-        out["kept_sha256"] = [hashlib.sha256(b" ".join(x)).hexdigest() for x in left]
-        return out[["doc_id", "text", "n_words", "n_removed", "kept_sha256", "rest"]]
+        text = [b"".join(p for p, gone in zip(PIECE.findall(t), c, strict=True) if not gone) if c.any() else t for t, c in zip(group.texts, covers, strict=True)]
+        columns = [
+            [None if none else i for i, none in zip(group.ids.tolist(), table["no_id"].to_pylist(), strict=True)], [t.decode("utf-8", "replace") for t in text], [len(s) for s in group.split],
+            [int(c.sum()) for c in covers], [hashlib.sha256(b" ".join(x)).hexdigest() for x in left],
+        ]
+        made = [pa.array(x, f.type) for x, f in zip(columns, arrow, strict=False)]
+        return pa.table([*made, *(table[f"c{k}"].cast(arrow.field(f"c{k}").type) for k in range(len(rest)))], schema=arrow)
 
     return to_group(without, answers, schema)
 
@@ -281,15 +297,18 @@ def substring_dedup(docs: DataFrame, words: int = 13, group_mb: float = 2.0, id_
     Null and empty texts, and texts of fewer words, lose nothing. Rows with a null id count as one document after all others. Repeated
     rows (equal id) are one document to this rule, so neither removes from the other. An empty table gives no rows.
     """
-    return scanned(docs, words, group_mb, id_col, text_col, []).drop("rest")
+    return scanned(docs, words, group_mb, id_col, text_col, [])
 
 
 def drop_repeats(docs: DataFrame, words: int = 13, group_mb: float = 2.0, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """docs with the removed words gone from their texts, and size_col (if there) counted anew for texts that changed. All rows, columns and names stay."""
-    rest = StructType([f for f in docs.schema if f.name not in (id_col, text_col)])
-    out = scanned(docs, words, group_mb, id_col, text_col, rest.names)
-    out = out.withColumn("rest", F.from_json("rest", rest)) if rest.names else out
-    made = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text")} | {c: F.col("rest").getField(c) for c in rest.names}
-    if size_col in rest.names:
-        made[size_col] = F.when(F.col("n_removed") > 0, F.length("text").cast(rest[size_col].dataType)).otherwise(made[size_col])
+    """docs with the removed words gone from their texts, and size_col (if there) counted anew for texts that changed.
+
+    All rows, columns and names stay, and columns of any type keep their values. Nulls, empty and long texts, repeated rows and an empty
+    table are as in substring_dedup().
+    """
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    out = scanned(docs, words, group_mb, id_col, text_col, rest)
+    made = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text")} | {c: F.col(f"c{k}") for k, c in enumerate(rest)}
+    if size_col in rest:
+        made[size_col] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[size_col].dataType)).otherwise(made[size_col])
     return out.select(*[made[c].alias(c) for c in docs.columns])

@@ -1,24 +1,31 @@
 """Toxicity by weak supervision.
 
-Many voters look at a document: lexicon voters (words that stand out in toxic training documents, one lexicon for each of the
-strongest and shared ones for the rest) and pattern voters (shouting, exclamation marks, runs of signs, repeated letters). A generative
-label model estimates how often each votes in toxic and in other documents, by expectation maximisation, and how voters correlate given
-the label; correlated voters count less. Its posterior labels train a sparse linear classifier over words and votes, which scores all.
+Many voters look at a document, and each votes or abstains. Lexicon voters are terms (words, beginnings of words, beginnings that stand
+twice or three times) that labelled training documents show to be tied to toxicity; of the terms that begin alike the strongest votes.
+One more voter, silence, votes where no lexicon voter does, and pattern voters see shouting, exclamation marks, runs of signs and
+repeated letters. Labels choose the voters, and tell at the end which class is which; they are no voter themselves.
 
-Labels are learnt from training rows alone (crc32 of the id, mod 5, not 0), at most `each` of each label.
+A generative label model over the votes of every training document, labelled or not, estimates how often each voter votes in either
+class by expectation maximisation, then how voters correlate beyond what the class explains; voters tied to others count less. Its
+sums are taken in tasks, over distinct patterns of votes. The posterior labels of a bounded sample train a sparse linear classifier
+over terms and votes, which scores every document.
+
+Nothing is learnt from held-out rows (crc32 of the id, mod 5, is 0), neither from their labels nor from their texts.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import labelled, map_rows, one_each, utf8
+from quarry.llm.common import cut, labelled, map_rows, one_each, utf8
 from quarry.llm.learn import Rows, logistic, sigmoid
 
 #: A word to this operator: letters of ASCII and bytes beyond it, so signs stuck to a word don't hide it.
@@ -26,17 +33,26 @@ WORD = re.compile(rb"[a-z\x80-\xff]+")
 LONG_RUN = re.compile(rb"([a-z])\1\1")
 #: Lengths of word beginnings, so that inflected and joined forms of one stem count together.
 STARTS = (4, 6, 7)
-DIMS = 1 << 18
+PATTERNS = 6
+#: Words remembered by a worker.
+REMEMBERED = 300_000
+
+
+def low_words(text: bytes) -> Counter:
+    return Counter(WORD.findall(text.decode("utf-8", "replace").lower().encode()))
+
+
+def starts_of(word: bytes) -> list[bytes]:
+    return [b"%d<%s" % (n, word[:n]) for n in STARTS if len(word) >= n]
 
 
 def terms_of(text: bytes) -> set[bytes]:
     """Words; their beginnings of the lengths in STARTS, marked as such; and those beginnings that stand two and three times or more."""
-    words = Counter(WORD.findall(text.decode("utf-8", "replace").lower().encode()))
+    words = low_words(text)
     starts: Counter = Counter()
     for w, k in words.items():
-        for n in STARTS:
-            if len(w) >= n:
-                starts[b"%d<%s" % (n, w[:n])] += k
+        for s in starts_of(w):
+            starts[s] += k
     return words.keys() | starts.keys() | {b"2*" + s for s, n in starts.items() if n > 1} | {b"3*" + s for s, n in starts.items() if n > 2}
 
 
@@ -54,95 +70,269 @@ def patterns_of(text: bytes) -> list[bool]:
     ]
 
 
+class Scanner:
+    """Which terms of a vocabulary a text has; equal to terms_of(text) & vocabulary. What a word can contribute is remembered."""
+
+    def __init__(self, vocabulary: Iterable[bytes]):
+        self.terms = set(vocabulary)
+        self.starts = {t.rpartition(b"*")[2] for t in self.terms if b"<" in t}
+        self.known: dict[bytes, tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms, "starts": self.starts, "known": {}}
+
+    def of_word(self, word: bytes) -> tuple:
+        got = (word in self.terms, [s for s in starts_of(word) if s in self.starts])
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known[word] = got = got if got[0] or got[1] else ()
+        return got
+
+    def __call__(self, text: bytes) -> set[bytes]:
+        out, starts = set(), {}
+        known, of_word = self.known, self.of_word
+        for w, k in low_words(text).items():
+            got = known.get(w)
+            if got is None:
+                got = of_word(w)
+            if got:
+                if got[0]:
+                    out.add(w)
+                for s in got[1]:
+                    starts[s] = starts.get(s, 0) + k
+        for s, k in starts.items():
+            out |= {s, b"2*" + s} if k == 2 else {s, b"2*" + s, b"3*" + s} if k > 2 else {s}
+        return out & self.terms
+
+
 class Voters:
-    def __init__(self, lexicons: list[list[bytes]]):
-        self.of = {w: i for i, words in enumerate(lexicons) for w in words}
-        self.n = len(lexicons) + 6
+    """Numbers of the voters: lexicon terms, then patterns, then silence."""
+
+    def __init__(self, lexicon: list[bytes]):
+        self.of = {t: i for i, t in enumerate(lexicon)}
+        self.n = len(lexicon) + PATTERNS + 1
 
-    def votes(self, text: bytes, words: set[bytes]) -> list[int]:
-        """Numbers of the voters that vote toxic."""
-        first = self.n - 6
-        return sorted({self.of[w] for w in words & self.of.keys()}) + [first + i for i, v in enumerate(patterns_of(text)) if v]
+    def votes(self, text: bytes, terms: set[bytes]) -> list[int]:
+        said = sorted(self.of[t] for t in terms if t in self.of)
+        first = len(self.of)
+        return said + [first + i for i, v in enumerate(patterns_of(text)) if v] + ([] if said else [self.n - 1])
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def lexicons(sample: DataFrame, own: int = 24, shared: int = 12, most: int = 96, least: int = 5) -> list[list[bytes]]:
-    """From (text, y): words by the z-score of their log-odds between toxic and other documents."""
-    rows = map_rows(sample, lambda x: {"y": x["y"], "words": [list(terms_of(t)) for t in x["text"]]}, "y int, words array<binary>")
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    counts = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other")).where(F.col("toxic") >= least)
-    a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
-    z = (F.log(a / (n.get(1, 0) + 1)) - F.log(b / (n.get(0, 0) + 1))) / F.sqrt(1 / a + 1 / b)
-    top = [bytes(r["word"]) for r in counts.withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "word").limit(most).collect()]
-    rest = top[own:]
-    return [[w] for w in top[:own]] + [x for x in (rest[i::shared] for i in range(shared)) if x]
+def strength(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Signed root of the likelihood ratio of a term in `a` of n1 and `b` of n0 documents; positive: more often in the first."""
+    n, k = float(n1 + n0), a + b
+    part = lambda have, want: F.when(have > 0, have * F.log(have / want)).otherwise(0.0)
+    ratio = part(a, k * n1 / n) + part(b, k * n0 / n) + part(n1 - a, (n - k) * n1 / n) + part(n0 - b, (n - k) * n0 / n)
+    root = F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))
+    return F.when(a * n0 >= b * n1, root).otherwise(-root)
 
 
-def label_model(votes: np.ndarray, y: np.ndarray, steps: int = 20, trust: tuple[float, float] = (0.9, 0.02)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """votes: documents by voters, 0 or 1; y: given labels, one more voter, which says toxic of that share of toxic and of other documents (trust).
+def weighed(sample: DataFrame, least: int) -> DataFrame:
+    """(term, a, b, z) of the terms that `least` texts or more of a sample (text, y) have: texts of y = 1 and of y = 0 with it, and its strength. Equal texts count once."""
+    once = cut(sample.groupBy("text").agg(F.max("y").alias("y")))
+    n = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = map_rows(once, lambda x: {"y": x["y"], "terms": [list(terms_of(t)) for t in x["text"]]}, "y int, terms array<binary>")
+    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= least)
+    return counts.select("term", "a", "b", F.when(F.lit(bool(n.get(0)) and bool(n.get(1))), strength(F.col("a"), F.col("b"), n.get(1, 0) or 1, n.get(0, 0) or 1)).otherwise(0.0).alias("z"))
 
-    Posterior of each document, and (rate in toxic, rate in others) and weight of each voter.
-    """
-    prior = np.clip(y.mean(), 0.01, 0.99)
-    post, weight = np.clip(y.astype(float), 0.05, 0.95), np.ones(votes.shape[1])
-    for _ in range(steps):
-        rates = np.stack([((votes * p[:, None]).sum(axis=0) + 0.1) / (p.sum() + 1) for p in (post, 1 - post)])
-        apart = votes - post[:, None] * rates[0] - (1 - post)[:, None] * rates[1]  # what the label doesn't explain
-        spread = np.sqrt((apart**2).mean(axis=0)) + 1e-9
-        tied = np.abs((apart.T @ apart) / len(votes) / spread / spread[:, None])
-        np.fill_diagonal(tied, 0)
-        weight = 1 / (1 + np.where(tied > 0.1, tied, 0).sum(axis=0))
-        evidence = votes @ (weight * np.log(rates[0] / rates[1])) + (1 - votes) @ (weight * np.log((1 - rates[0]) / (1 - rates[1])))
-        evidence += np.where(y == 1, np.log(trust[0] / trust[1]), np.log((1 - trust[0]) / (1 - trust[1])))
-        post = sigmoid(np.log(prior / (1 - prior)) + evidence)
-    return post, rates, weight
+
+def stem(term: bytes) -> bytes:
+    """What voters are told apart by: the first four bytes of the word."""
+    return term.rpartition(b"*")[2].rpartition(b"<")[2][: STARTS[0]]
+
+
+def lexicon(sample: DataFrame, least: int = 5, share: float = 0.03, significant: float = 5.0) -> list[bytes]:
+    """Of the terms with a strength over `significant` that `share` of the toxic texts of (text, y) have, the strongest of each stem."""
+    toxic = sample.where("y = 1").select("text").distinct().count()
+    rows = weighed(sample, least).where((F.col("z") > significant) & (F.col("a") >= F.lit(max(least, share * toxic)))).collect()  # at most a few for each toxic text
+    best: dict[bytes, bytes] = {}
+    for r in sorted(rows, key=lambda r: (-r["z"], len(r["term"]), bytes(r["term"]))):
+        best.setdefault(stem(bytes(r["term"])), bytes(r["term"]))
+    return list(best.values())
+
+
+class LabelModel:
+    """Share of the toxic class, and of each voter: how often it votes in either class and what its vote weighs. A voter that doesn't vote abstains: that says nothing."""
+
+    def __init__(self, prior: float, rates: np.ndarray, weight: np.ndarray):
+        self.prior, self.rates, self.weight = prior, rates, weight
+        self.says = weight * np.log(rates[0] / rates[1])
+
+    def posterior(self, votes: Iterable[list[int]]) -> np.ndarray:
+        base = np.log(self.prior / (1 - self.prior))
+        return sigmoid(np.array([base + self.says[v].sum() for v in (np.asarray(v, int) for v in votes)]))
+
+
+def first_guess(votes: Iterable[list[int]], n: int) -> np.ndarray:
+    """Before anything is known: two lexicon votes or more are likely toxic, one may be, none isn't. A voter that never votes beside another stays at that guess."""
+    lexical = np.array([sum(k < n - PATTERNS - 1 for k in v) for v in votes])
+    return np.where(lexical == 0, 0.02, np.where(lexical == 1, 0.3, 0.95))
+
+
+def moments(votes: list[list[int]], count: list[int], post: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Sums over documents: of the posterior, of the votes, of both, and of its square."""
+    m, c = np.asarray(count, float), post * np.asarray(count, float)
+    out = {"n": np.array([m.sum(), c.sum(), (c * post).sum()]), "v": np.zeros(n), "pv": np.zeros(n)}
+    flat = np.fromiter((k for v in votes for k in v), int)
+    size = [len(v) for v in votes]
+    out["v"] += np.bincount(flat, weights=np.repeat(m, size), minlength=n)
+    out["pv"] += np.bincount(flat, weights=np.repeat(c, size), minlength=n)
+    return out
+
+
+def pairs(votes: list[list[int]], count: list[int], n: int) -> np.ndarray:
+    """How many documents two voters both voted on."""
+    out = np.zeros(n * n)
+    for v, k in zip(votes, count, strict=True):
+        a = np.asarray(v, int)
+        out[(a[:, None] * n + a[None, :]).ravel()] += k
+    return out
+
+
+def summed(patterns: DataFrame, fn) -> dict[int, float]:  # noqa: ANN001
+    """Sum over tasks of the vectors that fn(votes, counts) gives for the rows of patterns; what comes back is as long as a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = fn(b.column(0).to_pylist(), b.column(1).to_pylist())
+                total = x if total is None else total + x
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.float64())], names=["k", "x"])
+
+    return {r["k"]: r["x"] for r in patterns.mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()}
+
+
+def vector(sums: dict[int, float], size: int) -> np.ndarray:
+    out = np.zeros(size)
+    out[list(sums)] = list(sums.values())
+    return out
+
+
+def rates_of(s: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+    """Prior and rates from moments as one vector (3 totals, then v, then pv)."""
+    total, toxic = s[0], s[1]
+    v, pv = s[3 : 3 + n], s[3 + n :]
+    return float(np.clip(toxic / max(total, 1), 0.001, 0.999)), np.stack([(pv + 0.1) / (toxic + 1), (v - pv + 0.1) / (total - toxic + 1)])
+
+
+def weights_of(s: np.ndarray, both: np.ndarray, n: int, tied: float = 0.5) -> np.ndarray:
+    """1 for a voter on its own; one whose residuals (what the class doesn't explain) correlate with others' by more than `tied` counts as its share of them."""
+    total, toxic, square = s[:3]
+    v, pv = s[3 : 3 + n], s[3 + n :]
+    _, (r1, r0) = rates_of(s, n)
+    mean = np.outer(pv, r1) + np.outer(v - pv, r0)
+    fit = square * np.outer(r1, r1) + (toxic - square) * (np.outer(r1, r0) + np.outer(r0, r1)) + (total - 2 * toxic + square) * np.outer(r0, r0)
+    cov = (both.reshape(n, n) - mean - mean.T + fit) / max(total, 1)
+    spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    ties = cov / spread / spread[:, None]
+    np.fill_diagonal(ties, 0)
+    return 1 / (1 + np.where(ties > tied, ties, 0).sum(axis=0))
+
+
+def label_model(patterns: DataFrame, n: int, steps: int = 12, settled: float = 1e-3) -> LabelModel:
+    """From (votes array<int>, n long), the patterns of votes and how many documents have each: accuracies first, then correlations, then accuracies again with those."""
+
+    def sums(model: LabelModel | None) -> np.ndarray:
+        def fn(votes: list, count: list) -> np.ndarray:
+            post = first_guess(votes, n) if model is None else model.posterior(votes)
+            m = moments(votes, count, post, n)
+            return np.concatenate([m["n"], m["v"], m["pv"]])
+
+        return vector(summed(patterns, fn), 3 + 2 * n)
+
+    model, weight = None, np.ones(n)
+    for phase in range(2):
+        for _ in range(steps):
+            s = sums(model)
+            prior, rates = rates_of(s, n)
+            new = LabelModel(prior, rates, weight)
+            still = model is not None and abs(new.prior - model.prior) < settled and float(np.abs(new.rates - model.rates).max()) < settled
+            model = new
+            if still:
+                break
+        if not phase:
+            weight = weights_of(sums(model), vector(summed(patterns, lambda v, c: pairs(v, c, n)), n * n), n)
+            if weight.min() > 1 - 1e-9:
+                break
+    return model
 
 
 class Model:
-    def __init__(self, voters: Voters, w: np.ndarray, b: float):
-        self.voters, self.w, self.b = voters, {int(i): float(w[i]) for i in np.flatnonzero(w)}, b
+    """Weights of terms, of voters, and a bias."""
+
+    def __init__(self, voters: Voters, terms: dict[bytes, float], votes: np.ndarray, bias: float):
+        self.voters, self.terms, self.by_vote, self.bias = voters, terms, votes.tolist(), bias
+        self.scan = Scanner([*terms, *voters.of])
 
     def score(self, text: bytes) -> float:
-        return float(sigmoid(np.array(self.b + sum(self.w.get(i, 0.0) for i in features(self.voters, text)))))
+        have = self.scan(text)
+        raw = self.bias + sum(self.by_vote[v] for v in self.voters.votes(text, have)) + sum(self.terms.get(t, 0.0) for t in sorted(have))
+        return float(sigmoid(np.array(raw)))
+
+
+def voted(docs: DataFrame, voters: Voters) -> DataFrame:
+    """(doc_id, votes) of every row."""
+    scan = Scanner(voters.of)
+    return map_rows(docs.select("doc_id", utf8("text").alias("text")), lambda x: {"doc_id": x["doc_id"], "votes": [voters.votes(t, scan(t)) for t in x["text"]]}, "doc_id long, votes array<int>")
 
 
-def features(voters: Voters, text: bytes) -> set[int]:
-    words = terms_of(text)
-    return {DIMS + v for v in voters.votes(text, words)} | {zlib.crc32(w) % DIMS for w in words}
+def posteriors(votes: DataFrame, model: LabelModel) -> DataFrame:
+    """(doc_id, p) of (doc_id, votes)."""
+    return map_rows(votes, lambda x: {"doc_id": x["doc_id"], "p": model.posterior(x["votes"]).tolist()}, "doc_id long, p double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, l1: float = 2e-4) -> Model:
-    """Without toxic or without other training rows the model scores every document under 0.5."""
+def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, least: int = 5, screen: float = 3.0, l1: float = 0.02) -> Model:
+    """Voters from at most `each` labelled documents of each label, the label model from all training documents, the classifier from at most `each` of either posterior class.
+
+    The classifier's penalty is l1 over the root of its sample's size. Without toxic or without other training rows, or without a lexicon voter, every document scores under 0.5.
+    """
     known = labelled(labels.where(held_out() == F.lit(False)), "toxic", each)
-    sample = one_each(docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(known), "doc_id"), ["text", "y"]).select("text", "y")  # at most 2 * each rows
-    voters = Voters(lexicons(sample))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(held_out() == F.lit(False))
+    by_id = lambda ids, col: cut(one_each(own.select("doc_id", utf8("text").alias("text")).join(F.broadcast(ids), "doc_id"), ["text", col]))
+    voters = Voters(lexicon(by_id(known, "y").select("text", "y"), least))
+    nothing = Model(voters, {}, np.zeros(voters.n), -5.0)
+    if not voters.of:
+        return nothing
+    votes = cut(voted(own, voters))
+    labels_of = label_model(cut(votes.groupBy("votes").agg(F.count("*").alias("n"))), voters.n)
+    post = posteriors(votes, labels_of)
+    means = {r["y"]: r["p"] for r in post.join(F.broadcast(known), "doc_id").groupBy("y").agg(F.avg("p").alias("p")).collect()}
+    if means.get(1, 1.0) < means.get(0, 0.0):  # labels tell which class is which
+        post = post.withColumn("p", 1 - F.col("p"))
+    post = cut(post.where("doc_id is not null").groupBy("doc_id").agg(F.max("p").alias("p")))
+    shares = post.agg(F.avg((F.col("p") >= 0.5).cast("int")).alias("s")).first()["s"]
+    side = lambda cond: post.where(cond).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+    sample = by_id(reduce(DataFrame.union, [side("p >= 0.5"), side("p < 0.5")]), "p").select("text", "p")
+    vocabulary = [bytes(r["term"]) for r in weighed(sample.select("text", (F.col("p") >= 0.5).cast("int").alias("y")), least).where(F.abs("z") > screen).select("term").orderBy("term").collect()]
+    place, scan = {t: voters.n + i for i, t in enumerate(vocabulary)}, Scanner([*vocabulary, *voters.of])
 
     def run(x: dict[str, list]) -> dict[str, list]:
-        return {"y": x["y"], "f": [np.array(sorted(features(voters, t)), "<i4").tobytes() for t in x["text"]]}
-
-    got = sorted((bytes(r["f"]), r["y"]) for r in map_rows(sample, run, "y int, f binary").collect())
-    y = np.array([r[1] for r in got])
-    if len(set(y.tolist())) < 2:
-        return Model(voters, np.zeros(DIMS + voters.n), -5.0)
-    index = [np.frombuffer(f, "<i4") for f, _ in got]
-    votes = np.zeros((len(index), voters.n))
-    for i, f in enumerate(index):
-        votes[i, f[f >= DIMS] - DIMS] = 1
-    post, _, _ = label_model(votes, y)
-    often = np.flatnonzero(np.bincount(np.concatenate(index), minlength=DIMS + voters.n) >= 3)  # rarer words can't carry a weight
-    place = np.full(DIMS + voters.n, -1)
-    place[often] = np.arange(len(often))
-    fitted, b = logistic(Rows([p[p >= 0] for p in (place[f] for f in index)]), post, len(often), l1=l1, l2=1e-6, steps=250)
-    w = np.zeros(DIMS + voters.n)
-    w[often] = fitted
-    return Model(voters, w, b)
+        have = [(t, scan(t)) for t in x["text"]]
+        return {"p": x["p"], "f": [np.array(sorted([*voters.votes(t, h), *(place[w] for w in h if w in place)]), "<i4").tobytes() for t, h in have]}
+
+    got = sorted((bytes(r["f"]), r["p"]) for r in map_rows(sample, run, "p double, f binary").collect())  # at most 2 * each rows
+    p = np.array([r[1] for r in got])
+    n1, n0 = int((p >= 0.5).sum()), int((p < 0.5).sum())
+    if not n1 or not n0:
+        return nothing
+    weight = np.where(p >= 0.5, shares / n1, (1 - shares) / n0)  # as frequent as among all documents
+    w, b = logistic(Rows([np.frombuffer(f, "<i4") for f, _ in got]), p, voters.n + len(vocabulary), weight, l1=l1 / len(p) ** 0.5, l2=1e-6, steps=250)
+    return Model(voters, {t: float(w[i]) for t, i in place.items() if w[i]}, w[: voters.n], b)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted. Null and empty texts have no features and score by the bias; an empty table gives no rows."""
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    Null and empty texts have the vote of silence alone and score by it and the bias. Repeated rows score alike, a score of exactly 0.5
+    is predicted 1, a text of any length is scored whole, and an empty table gives no rows.
+    """
 
     def run(x: dict[str, list]) -> dict[str, list]:
         p = [model.score(t) for t in x["text"]]
