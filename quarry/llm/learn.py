@@ -10,9 +10,9 @@ class Rows:
 
     def __init__(self, index: list[np.ndarray], value: list[np.ndarray] | None = None):
         self.size = np.array([len(x) for x in index], "i8")
-        self.index = np.concatenate(index).astype("i8") if index else np.zeros(0, "i8")
+        self.index = np.concatenate(index) if index else np.zeros(0, "i4")
         self.value = np.concatenate(value) if value else np.ones(len(self.index))
-        self.row = np.repeat(np.arange(len(index)), self.size)
+        self.row = np.repeat(np.arange(len(index), dtype="i4"), self.size)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.value * w[self.index], minlength=len(self.size)).astype(float)  # of no entries it counts in integers

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, filter_rows, labelled, map_rows, one_each
+from quarry.llm.common import cut, filter_rows, labelled, map_rows, one_each, release
 from quarry.llm.learn import Rows, logistic, sigmoid
 
 #: Numbers of features: words, shapes, and 64 for what a text is as a whole.
@@ -113,8 +113,14 @@ class Model:
         return logits, sigmoid(logits @ self.joint[:2] + self.joint[2])
 
 
-def rows_of(dicts: list[dict[int, float]]) -> Rows:
-    return Rows([np.fromiter(d, "i8", len(d)) for d in dicts], [np.fromiter(d.values(), float, len(d)) for d in dicts])
+def rows_of(packed: list[bytes]) -> Rows:
+    """Rows of features as pack() wrote them."""
+    cut_ = [np.frombuffer(b, "<i4") for b in packed]
+    return Rows([a[: len(a) // 2] for a in cut_], [a[len(a) // 2 :].view("<f4") for a in cut_])
+
+
+def pack(features: dict[int, float]) -> bytes:
+    return np.array(list(features), "<i4").tobytes() + np.array(list(features.values()), "<f4").tobytes()
 
 
 def dense(x: np.ndarray) -> Rows:
@@ -126,12 +132,10 @@ def featured(docs: DataFrame, ids: DataFrame) -> list[tuple]:
     sample = one_each(docs.select(*fields(docs)).join(F.broadcast(ids), "doc_id"), [*FIELDS[1:], "y"])
 
     def run(x: dict[str, list]) -> dict[str, list]:
-        pack = lambda d: np.array([*d, *d.values()], "f8").tobytes()
         return {"doc_id": x["doc_id"], "y": x["y"], "a": [pack(content_view(t or b"")) for t in x["text"]], "b": [pack(metadata_view(*m)) for m in zip(x["lang"], x["source"], x["n_chars"], strict=True)]}
 
-    unpack = lambda raw: (lambda a: dict(zip(a[: len(a) // 2].astype(int).tolist(), a[len(a) // 2 :].tolist(), strict=True)))(np.frombuffer(raw, "f8"))
-    got = sorted((tuple(r) for r in map_rows(sample, run, "doc_id long, y int, a binary, b binary").collect()), key=lambda r: r[:2])
-    return [(i, y, unpack(a), unpack(b)) for i, y, a, b in got]
+    got = (tuple(r) for r in map_rows(sample, run, "doc_id long, y int, a binary, b binary").collect())
+    return sorted(((i, y, bytes(a), bytes(b)) for i, y, a, b in got), key=lambda r: r[:2])
 
 
 def sure(docs: DataFrame, labels: DataFrame, model: Model, teach: int, rate: float, certain: float) -> list[DataFrame]:
@@ -181,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, teach: int = 1000,
         w, b = logistic(dense(raw[:, v : v + 1]), y[held].astype(float), 1, l2=1e-3)
         scales[v] = w[0], b
     w, b = logistic(dense(raw * scales[:, 0] + scales[:, 1]), y[held].astype(float), 2, l2=1e-3)
+    release()
     return Model(models[0], models[1], np.array([*w, b]), scales)
 
 

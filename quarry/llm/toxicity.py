@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, labelled, map_rows, one_each, utf8
+from quarry.llm.common import cut, labelled, map_rows, one_each, release, utf8
 from quarry.llm.learn import Rows, logistic, sigmoid
 
 #: A word to this operator: letters of ASCII and bytes beyond it, so signs stuck to a word don't hide it.
@@ -324,6 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, least: int = 5, sc
         return nothing
     weight = np.where(p >= 0.5, shares / n1, (1 - shares) / n0)  # as frequent as among all documents
     w, b = logistic(Rows([np.frombuffer(f, "<i4") for f, _ in got]), p, voters.n + len(vocabulary), weight, l1=l1 / len(p) ** 0.5, l2=1e-6, steps=250)
+    release()
     return Model(voters, {t: float(w[i]) for t, i in place.items() if w[i]}, w[: voters.n], b)
 
 
