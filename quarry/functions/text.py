@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A number with thousands commas, words that scale a figure, and conjunctions that divide a question.
+NUMBER = r"\d[\d,]*(?:\.\d+)?"
+SCALES = [("billion", 1e9), ("bn", 1e9), ("million", 1e6), ("mm", 1e6), ("thousand", 1e3)]
+CONJUNCTIONS = ["and", "versus", "vs", "vs.", "compared to", "as well as"]
+
+#: A figure in running text: a number, perhaps with a dollar before and a unit after it.
+FIGURE = rf"(?i)\$?{NUMBER}\s?(?:billion|million|thousand|bn|mm|%)?"
+SCALED = "(?i)" + "|".join(word for word, _ in SCALES)
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
@@ -32,7 +41,7 @@ def digest_id(text: Column, n: int, bits: int = 256) -> Column:
 
 
 def number_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
 
 
 def digits(text: Column) -> Column:
@@ -47,19 +56,34 @@ def route(query: Column, relationship: list[str], multi: list[str]) -> Column:
 
 
 def parts(query: Column, most: int = 3) -> Column:
-    """The question and the parts that conjunctions divide it into, distinct, at most `most`."""
-    cut = F.filter(F.transform(F.split(query, r"(?i)\s+(?:and|versus|vs\.?|compared to|as well as)\s+"), F.trim), lambda p: F.length(p) > 0)
-    return F.slice(F.array_distinct(F.concat(F.array(query), cut)), 1, most)
+    """The question and the parts that conjunctions divide it into, without blanks and ` ?.` around them, distinct whatever their case, at most `most`."""
+    words = "|".join(c.replace(".", "[.]").replace(" ", r"\s") for c in sorted(CONJUNCTIONS, key=len, reverse=True))
+    cut = F.filter(F.transform(F.split(query, rf"(?i)\s+(?:{words})\s+"), lambda p: F.btrim(p, F.lit(" ?."))), lambda p: F.length(p) > 0)
+    every = F.concat(F.array(query), cut)
+    low = F.transform(every, F.lower)
+    first = F.filter(F.transform(every, lambda p, i: F.struct(p.alias("p"), (F.array_position(low, F.lower(p)) == i + 1).alias("new"))), lambda x: x["new"])
+    return F.slice(F.transform(first, lambda x: x["p"]), 1, most)
+
+
+def figures(text: Column) -> Column:
+    """Figures in order, without blanks around them and commas or stops after them."""
+    return F.transform(F.regexp_extract_all(text, F.lit(FIGURE), F.lit(0)), lambda t: F.rtrim(F.trim(t), F.lit(",.")))
+
+
+def groundable(figure: Column) -> Column:
+    """Whether a figure says enough to be looked up: money, a share, a scaled number, or three digits and more."""
+    return figure.rlike("[$%]") | figure.rlike(SCALED) | (F.length(digits(figure)) >= 3)
 
 
 def arithmetic_claims(text: Column, tolerance: float = 0.02) -> Column:
-    """Array of (claim, ok) for each `A op B = C` in a text."""
-    pattern = r"(-?\d+(?:\.\d+)?)\s*([-+*/])\s*(-?\d+(?:\.\d+)?)\s*=\s*(-?\d+(?:\.\d+)?)"
+    """Array of (claim, ok) for each `A op B = C` in a text; a claim that can't be computed isn't wrong."""
+    operand, blanks = f"(-?{NUMBER})", r"\s*"
+    pattern = blanks.join([operand, "([-+*/])", operand, "=", operand])
 
     def check(claim: Column) -> Column:
-        a, op, b, c = (F.regexp_extract(claim, pattern, i) for i in (1, 2, 3, 4))
-        a, b, c = a.cast("double"), b.cast("double"), c.cast("double")
+        side = lambda i: F.replace(F.regexp_extract(claim, pattern, i), F.lit(",")).cast("double")
+        a, op, b, c = side(1), F.regexp_extract(claim, pattern, 2), side(3), side(4)
         value = F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).otherwise(F.try_divide(a, b))
-        return F.struct(claim.alias("claim"), F.coalesce(F.abs(value - c) <= tolerance * F.greatest(F.lit(1.0), F.abs(c)), F.lit(False)).alias("ok"))
+        return F.struct(claim.alias("claim"), F.coalesce(F.abs(value - c) <= tolerance * F.greatest(F.lit(1.0), F.abs(c)), F.lit(True)).alias("ok"))
 
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), check)

@@ -2,42 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import arithmetic_claims, digits, number_tokens, sentences, tokens
+from quarry.functions.text import arithmetic_claims, digits, figures, groundable, sentences, squeeze, tokens
+
+# The least share of a sentence's words that evidence must hold, the least score that passes, words of a sentence that counts.
+OVERLAP, LEAST, WORDS = 0.18, 0.34, 4
 
 
 def ungrounded(answers: DataFrame) -> DataFrame:
-    """answers (id, answer, evidence) and figures, ungrounded: numbers of three digits or more, and those whose digits the evidence's digits don't hold."""
-    figures = F.filter(number_tokens(F.col("answer")), lambda t: F.length(digits(t)) >= 3)
-    known = digits(F.col("evidence"))
-    return answers.withColumn("figures", figures).withColumn("ungrounded", F.filter("figures", lambda t: ~known.contains(digits(t))))
+    """answers (id, answer, evidence) with figures (those that can be looked up) and ungrounded (those whose digits the evidence's digits don't hold; without evidence all)."""
+    known = digits(F.coalesce("evidence", F.lit("")))
+    found = F.filter(figures(F.coalesce("answer", F.lit(""))), groundable)
+    return answers.withColumn("figures", found).withColumn("ungrounded", F.filter("figures", lambda t: ~known.contains(digits(t))))
 
 
-def verdict(answers: DataFrame, overlap: float = 0.18, least: float = 0.34) -> DataFrame:
-    """(id, n_sentences, n_ungrounded, n_unsupported, n_wrong, score, passed).
+def verdict(answers: DataFrame, overlap: float = OVERLAP, least: float = LEAST) -> DataFrame:
+    """(id, n_sentences, n_ungrounded, n_unsupported, n_wrong, n_material, score, passed, reason).
 
-    A sentence of four words or more is unsupported if under `overlap` of its distinct words are in the evidence and it has no marker. A
-    figure without ground or a wrong sum fails the answer; else the score decides.
+    An empty answer fails, and so does one without evidence (null, or blank). A sentence of four words or more is unsupported if under
+    `overlap` of its words are in the evidence and it has no marker; it is material if it holds a figure. A figure without ground, a
+    wrong sum or a material sentence fails the answer; else the score decides.
     """
-    known = tokens(F.col("evidence"))
-    parts = F.filter(sentences(F.trim("answer")), lambda s: F.length(s) > 0)
-    words = lambda s: F.array_distinct(tokens(s))
-    loose = F.filter("parts", lambda s: (F.size(words(s)) >= 4) & (F.size(F.array_intersect(words(s), "known")) < overlap * F.size(words(s))) & ~s.rlike(r"\[\d+\]"))
-    r = ungrounded(answers).withColumn("known", known).withColumn("parts", parts)
-    r = r.select("id", F.size("parts").alias("n_sentences"), F.size("ungrounded").alias("n_ungrounded"), F.size(loose).alias("n_unsupported"), F.size(F.filter(arithmetic_claims(F.col("answer")), lambda c: ~c["ok"])).alias("n_wrong"))
-    score = F.greatest(F.lit(0.0), 1 - (F.col("n_unsupported") + F.col("n_ungrounded")) / F.greatest(F.col("n_sentences"), F.lit(1)))
-    r = r.withColumn("score", F.round(score, 3))
-    return r.withColumn("passed", (F.col("n_ungrounded") == 0) & (F.col("n_wrong") == 0) & (F.col("score") >= least))
+    bare = lambda s: F.trim(F.regexp_replace(s, r"\[\d+\]", ""))
+    words = lambda s: tokens(bare(s))
+    share = lambda s: F.size(F.filter(words(s), lambda w: F.array_contains("known", w)))
+    loose = F.filter("parts", lambda s: (F.size(words(s)) >= WORDS) & (share(s) < overlap * F.size(words(s))) & ~s.rlike(r"\[\d+\]"))
+    answer, evidence = F.coalesce("answer", F.lit("")), squeeze(F.coalesce("evidence", F.lit("")))
+    r = ungrounded(answers).withColumn("known", F.array_distinct(tokens(evidence))).withColumn("parts", F.filter(F.transform(sentences(answer), F.trim), lambda s: F.length(s) > 0))
+    r = r.withColumn("loose", F.transform(loose, lambda s: F.left(bare(s), F.lit(120))))
+    missing = F.when(squeeze(answer) == "", "Empty answer.").when(evidence == "", "No evidence to support the answer.")
+    r = r.select("id", F.size("parts").alias("n_sentences"), F.size("ungrounded").alias("n_ungrounded"), F.size("loose").alias("n_unsupported"), F.size(F.filter(arithmetic_claims(answer), lambda c: ~c["ok"])).alias("n_wrong"),
+        F.size(F.filter("loose", lambda s: F.exists(figures(s), groundable))).alias("n_material"), missing.alias("missing"))
+    score = F.greatest(F.lit(0.0), 1 - (F.col("n_unsupported") + F.col("n_wrong") + F.col("n_ungrounded")) / F.greatest(F.col("n_sentences"), F.lit(1)))
+    r = r.withColumn("score", F.when(F.col("missing").isNotNull(), 0.0).otherwise(F.round(score, 3)))
+    hard = (F.col("n_ungrounded") > 0) | (F.col("n_wrong") > 0) | (F.col("n_material") > 0)
+    told = F.concat_ws("; ", F.when(F.col("n_ungrounded") > 0, F.concat("n_ungrounded", F.lit(" ungrounded figure(s)"))), F.when(F.col("n_unsupported") > 0, F.concat("n_unsupported", F.lit(" unsupported statement(s)"))))
+    reason = F.coalesce("missing", F.when(told != "", told), F.lit("All claims grounded in cited evidence."))
+    return r.withColumn("passed", F.col("missing").isNull() & ~hard & (F.col("score") >= least)).withColumn("reason", reason).drop("missing")
+
+
+def around(text: Column, at: Column, n: Column, window: int) -> Column:
+    """The n characters of a text from `at` (1 and up) with `window` on either side, and ellipses where the text goes on."""
+    first, last = F.greatest(F.lit(1), at - window), F.least(F.length(text), at + n - 1 + window)
+    return F.concat(F.when(first > 1, "…").otherwise(""), text.substr(first, last - first + 1), F.when(last < F.length(text), "…").otherwise(""))
 
 
 def flags(texts: DataFrame, patterns: dict[str, str], window: int = 90) -> DataFrame:
-    """(id, flag, snippet): the first match of each pattern, with `window` characters on either side."""
-    table = F.array(*[F.struct(F.lit(k).alias("flag"), F.regexp_instr("text", F.lit(p)).alias("at"), F.length(F.regexp_extract("text", p, 0)).alias("n")) for k, p in patterns.items()])
-    hit = texts.select("id", "text", F.inline(table)).where("at > 0")
-    first = F.greatest(F.lit(1), F.col("at") - window)
-    return hit.select("id", "flag", F.col("text").substr(first, F.col("at") + F.col("n") + window - first).alias("snippet"))
+    """(id, flag, snippet): the first match of each pattern in a text with single blanks, with `window` characters on either side."""
+    table = F.array(*[F.struct(F.lit(k).alias("flag"), F.regexp_instr("flat", F.lit(p)).alias("at"), F.length(F.regexp_extract("flat", p, 0)).alias("n")) for k, p in patterns.items()])
+    hit = texts.select("id", squeeze(F.col("text")).alias("flat")).select("id", "flat", F.inline(table)).where("at > 0")
+    return hit.select("id", "flag", around(F.col("flat"), F.col("at"), F.col("n"), window).alias("snippet"))
+
+
+def evaluated(rows: DataFrame, column: str = "expression") -> DataFrame:
+    """rows with value (null for what is no arithmetic) and ok; Arrow batches of expressions, each parsed and never run as code."""
+
+    @F.pandas_udf("double")
+    def value(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else safe_eval(x) for x in s], dtype="Float64").astype("float64")
+
+    return rows.withColumn("value", F.nullif(value(F.col(column)), F.lit(float("nan")))).withColumn("ok", F.col("value").isNotNull())
 
 
 def safe_eval(expression: str) -> float | None:

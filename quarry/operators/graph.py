@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.questions import grams
+
 
 def topic_edges(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """One edge (ticker, topic, chunk_id) for each chunk that holds a phrase of a topic, in lower case; phrases (topic, phrase) are a small table."""
-    low = chunks.select("chunk_id", "ticker", F.lower("text").alias("low"))
-    return low.join(F.broadcast(phrases), F.col("low").contains(F.col("phrase"))).select("ticker", "topic", "chunk_id").distinct()
+    """One edge (ticker, topic, chunk_id) for each chunk that holds a phrase of a topic, in lower case with single blanks; phrases (topic, phrase) are a stated dictionary, gathered into one row."""
+    table = phrases.groupBy("topic").agg(F.collect_set("phrase").alias("ps")).groupBy().agg(F.collect_list(F.struct("topic", "ps")).alias("table"))
+    low = chunks.select("chunk_id", "ticker", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("low")).crossJoin(F.broadcast(table))
+    hit = F.filter("table", lambda t: F.exists(t["ps"], lambda p: F.col("low").contains(p)))
+    return low.select("ticker", F.explode(F.transform(hit, lambda t: t["topic"])).alias("topic"), "chunk_id")
 
 
 def popularity(edges: DataFrame) -> DataFrame:
@@ -44,7 +48,9 @@ def query_topics(questions: DataFrame, phrases: DataFrame) -> DataFrame:
     """(qid, topic) of the topics whose name or phrases a question holds."""
     low = questions.select("qid", F.lower("question").alias("low"))
     names = phrases.select("topic", F.lower("topic").alias("phrase")).union(phrases.select("topic", "phrase")).distinct()
-    return low.join(F.broadcast(names), F.col("low").contains(F.col("phrase"))).select("qid", "topic").distinct()
+    table = names.groupBy().agg(F.collect_list(F.struct("topic", "phrase")).alias("table"))  # one row of the stated dictionary
+    hit = F.filter("table", lambda t: F.col("low").contains(t["phrase"]))
+    return low.crossJoin(F.broadcast(table)).select("qid", F.explode(F.array_distinct(F.transform(hit, lambda t: t["topic"]))).alias("topic"))
 
 
 def network(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -56,7 +62,8 @@ def network(edges: DataFrame, most: int = 60) -> DataFrame:
 def graph_evidence(edges: DataFrame, questions: DataFrame, companies: DataFrame, phrases: DataFrame, most: int = 8) -> DataFrame:
     """(qid, branch, chunk_id): evidence by what a question names: two companies (topics they share), topics (whoever has them), one company (all its topics)."""
     topics = query_topics(questions, phrases)
-    named = questions.select("qid", F.lower("question").alias("low")).join(F.broadcast(companies), F.col("low").contains(F.lower("name"))).select("qid", "ticker").distinct()
+    names = companies.select("ticker", F.lower("name").alias("gram")).withColumn("size", F.size(F.split("gram", " ")))
+    named = grams(questions, names.agg(F.coalesce(F.max("size"), F.lit(0)).alias("n"))).join(names, "gram").select("qid", "ticker").distinct()
     flags = questions.select("qid").join(named.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").join(topics.groupBy("qid").agg(F.count("*").alias("t")), "qid", "left").na.fill(0)
     branch = F.when(F.col("n") >= 2, "shared").when(F.col("t") > 0, "topic").when(F.col("n") == 1, "company")
     flags = flags.select("qid", "n", branch.alias("branch")).where("branch is not null")
@@ -66,3 +73,44 @@ def graph_evidence(edges: DataFrame, questions: DataFrame, companies: DataFrame,
     by_topic = flags.where("branch = 'topic'").join(topics, "qid").join(edges, "topic").select("qid", "branch", "chunk_id")
     every = by_company.union(by_topic).distinct()
     return every.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("chunk_id"))).where(F.col("rn") <= most).select("qid", "branch", "chunk_id")
+
+
+def build(chunks: DataFrame, phrases: DataFrame, officers: DataFrame, subsidiaries: DataFrame) -> DataFrame:
+    """All edges (src, dst, relation, chunk_id): faces (topics), has_officer and owns, from what chunks, officers (id, name) and subsidiaries (id, name) say."""
+    of = chunks.select(F.col("chunk_id").alias("id"), "ticker")
+    faces = topic_edges(chunks, phrases).select(F.col("ticker").alias("src"), F.col("topic").alias("dst"), F.lit("faces").alias("relation"), "chunk_id")
+    other = lambda rows, relation: rows.join(of, "id").select(F.col("ticker").alias("src"), F.col("name").alias("dst"), F.lit(relation).alias("relation"), F.col("id").alias("chunk_id"))
+    return faces.unionByName(other(officers, "has_officer")).unionByName(other(subsidiaries, "owns"))
+
+
+def nodes(edges: DataFrame) -> DataFrame:
+    """(node, kind): companies, and topics, officers and subsidiaries by the relation that leads to them."""
+    kind = F.when(F.col("relation") == "faces", "topic").when(F.col("relation") == "has_officer", "officer").otherwise("subsidiary")
+    return edges.select(F.col("src").alias("node"), F.lit("company").alias("kind")).union(edges.select("dst", kind)).distinct()
+
+
+def stats(edges: DataFrame) -> DataFrame:
+    """(kind, n): nodes by kind, and edges by relation."""
+    by = lambda rows, c: rows.groupBy(F.col(c).alias("kind")).agg(F.count("*").alias("n"))
+    return by(nodes(edges), "kind").union(by(edges, "relation"))
+
+
+def related(edges: DataFrame, relation: str) -> DataFrame:
+    """(src, names): each company's distinct neighbours of a relation, sorted, as one text."""
+    own = edges.where(F.col("relation") == relation).groupBy("src", "dst").agg(F.lit(1))
+    return own.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("dst")), "; ").alias("names"))
+
+
+def evidence_of(edges: DataFrame, relation: str, src: str, dst: str | None = None) -> DataFrame:
+    """Every parallel edge of a company and relation, and of a topic where one is named."""
+    own = edges.where((F.col("relation") == relation) & (F.col("src") == src))
+    return own if dst is None else own.where(F.col("dst") == dst)
+
+
+def listed(names: DataFrame, most: int = 25) -> DataFrame:
+    """(src, line) of (src, name): the first names, and how many more there are."""
+    by = Window.partitionBy("src").orderBy("name")
+    first = names.distinct().withColumn("k", F.row_number().over(by)).withColumn("n", F.count("*").over(Window.partitionBy("src"))).where(F.col("k") <= most)
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), ", ")
+    more = F.max("n") - most
+    return first.groupBy("src").agg(F.concat(line, F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise("")).alias("line"))

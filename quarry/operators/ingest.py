@@ -136,10 +136,92 @@ def chunk_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dims: int = 384) -> DataFrame:
-    """(id, dim, value): each token adds its sign to the dimension its MD5 gives; normalised. Sparse rows, zero dimensions left out."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
+    """(id, dim, value): each token adds its sign to the dimension its MD5 gives; normalised. Sparse rows, zero dimensions left out.
+
+    Tokens are hashed and added up by document and dimension, which combines map-side; a document's dims values are one row, and its norm is found there.
+    """
+    words = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token"))
     high = F.conv(F.substring(F.md5("token"), 1, 16), 16, 10).cast("decimal(20,0)")
     sign = F.when(F.substring(F.md5("token"), 1, 1) >= "8", 1).otherwise(-1)
-    sums = words.select("id", F.pmod(high, F.lit(dims)).cast("int").alias("dim"), (sign * F.col("n")).alias("v")).groupBy("id", "dim").agg(F.sum("v").alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
-    return sums.withColumn("norm", norm).where("v <> 0").select("id", "dim", F.round(F.col("v") / F.col("norm"), 6).alias("value"))
+    sums = words.select("id", F.pmod(high, F.lit(dims)).cast("int").alias("dim"), sign.alias("v")).groupBy("id", "dim").agg(F.sum("v").alias("v")).where("v <> 0")
+    whole = sums.groupBy("id").agg(F.collect_list(F.struct("dim", "v")).alias("vs"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))  # at most dims entries
+    return whole.select("id", "norm", F.inline("vs")).select("id", "dim", F.round(F.col("v") / F.col("norm"), 6).alias("value"))
+
+
+def clean(text: Column) -> Column:
+    """Hard spaces as spaces, runs of blanks as one, at most two line feeds in a row, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, " ", " "), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """(id, block_seq, text, is_table) of raw documents (id, content, content_type): html by its parser, all else by blank lines; texts cleaned, empty ones gone."""
+    html = html_blocks(raw.where("content_type = 'html'"), "id", "content")
+    plain = text_blocks(raw.where("content_type <> 'html' or content_type is null"), "id", "content").withColumn("is_table", F.lit(False))
+    return html.unionByName(plain).withColumn("text", clean(F.col("text"))).where("text <> ''")
+
+
+def packed_blocks(blocks: DataFrame, target: int, overlap: int) -> DataFrame:
+    """(id, chunk_seq, page, section, text): chunks of blocks (id, block_seq, text, is_table, page, section), in order.
+
+    A table is a chunk of its own. A new section or a full chunk (token estimates beyond target) begins the next one, and a block that is larger than
+    target becomes windows that overlap. Page is that of a chunk's first block. Chunk numbers of one document are found by one pass over
+    its blocks' sizes in a task; texts are joined after that.
+    """
+    import pandas as pd
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block_seq", kind="stable")
+        out, chunk, size, section, closed = [], 0, 0, None, True
+        for tokens_, table, own in zip(pdf["tokens"], pdf["is_table"], pdf["section"], strict=True):
+            alone = bool(table) or tokens_ > target
+            if not closed and (alone or own != section or size + tokens_ > target):
+                closed = True
+            if closed:
+                chunk, size = chunk + 1, 0
+            size, section, closed = size + tokens_, own, alone
+            out.append(chunk)
+        return pd.DataFrame({"id": pdf["id"], "block_seq": pdf["block_seq"], "chunk": out})
+
+    sized = blocks.select("id", "block_seq", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long").alias("tokens"), F.coalesce("is_table", F.lit(False)).alias("is_table"), F.coalesce("section", F.lit("")).alias("section"))
+    kind = blocks.schema["id"].dataType.simpleString()
+    numbers = sized.groupBy("id").applyInPandas(number, f"id {kind}, block_seq long, chunk long")
+    step = 4 * (target - overlap)
+    large = ~F.coalesce(F.col("is_table"), F.lit(False)) & (F.greatest(F.lit(1), F.floor(F.length("text") / 4)) > target)
+    starts = F.when(large, F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(step))).otherwise(F.array(F.lit(0)))
+    cut = blocks.join(numbers, ["id", "block_seq"]).select("id", "block_seq", "chunk", "page", "section", "text", large.alias("large"), F.posexplode(starts).alias("part", "start"))
+    piece = F.when(F.col("large"), F.trim(F.col("text").substr(F.col("start") + 1, F.lit(4 * target)))).otherwise(F.col("text"))
+    items = cut.select("id", "chunk", "part", "block_seq", "page", "section", piece.alias("text")).where("text <> ''")
+    joined = items.groupBy("id", "chunk", "part").agg(F.sort_array(F.collect_list(F.struct("block_seq", "text"))).alias("b"), F.min_by("page", "block_seq").alias("page"), F.min_by("section", "block_seq").alias("section"))
+    order = Window.partitionBy("id").orderBy("chunk", "part")
+    return joined.select("id", (F.row_number().over(order) - 1).cast("long").alias("chunk_seq"), "page", F.coalesce("section", F.lit("")).alias("section"), F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def context(rows: DataFrame, labels: dict[str, str] | None = None) -> Column:
+    """One sentence that says where a chunk is from: ticker, kind of document, title, section and date, as far as known."""
+    kind = F.coalesce(*[F.when(F.col("doc_type") == k, v) for k, v in (labels or {}).items()], F.col("doc_type"))
+    own = lambda c, a, b: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(a), F.col(c).cast("string"), F.lit(b))).otherwise("") if c in rows.columns else F.lit("")
+    return F.concat(F.lit("This excerpt is from "), "ticker", F.lit("'s "), kind, own("title", ' titled "', '"'), own("section", ', section "', '"'), own("filing_date", ", filed ", ""), F.lit("."))
+
+
+def ingested(raw: DataFrame, known: DataFrame, target: int = 500, overlap: int = 100, labels: dict[str, str] | None = None) -> DataFrame:
+    """New chunks of raw documents (id, ticker, doc_type, title, content, content_type): parsed, paged, sectioned, packed, with context, identifier and token estimate.
+
+    Chunks whose identifier `known` (chunk_id) has, or that repeat in the batch, are left out; of repeated ones the first stays.
+    """
+    blocks = carry_sections(pages(parsed(raw)))
+    chunks = packed_blocks(blocks, target, overlap).join(raw.select("id", "ticker", "doc_type", "title"), "id")
+    made = chunk_ids(chunks, "id", "text").withColumn("context", context(chunks, labels)).withColumn("tokens", F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long"))
+    first = made.withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy("chunk_seq"))).where("k = 1").drop("k")
+    return first.join(known.select("chunk_id").distinct(), "chunk_id", "left_anti")
+
+
+def ingest_stats(raw: DataFrame, chunks: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(ticker, docs, chunks_total, chunks_new, chunks_skipped) of a batch."""
+    of = lambda df, name: df.groupBy("ticker").agg(F.count("*").alias(name))
+    out = of(raw, "docs").join(of(chunks, "chunks_total"), "ticker", "left").join(of(fresh, "chunks_new"), "ticker", "left").na.fill(0, ["chunks_total", "chunks_new"])
+    return out.withColumn("chunks_skipped", F.col("chunks_total") - F.col("chunks_new"))
+
+
+def same_dimension(vectors: DataFrame, column: str, dims: int) -> DataFrame:
+    """vectors as they are; a vector of another length ends the job with an error."""
+    return vectors.withColumn(column, F.when((F.size(column) == dims) | F.col(column).isNull(), F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"not {dims} dimensions: "), F.size(column).cast("string"))).cast(vectors.schema[column].dataType)))

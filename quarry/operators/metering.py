@@ -62,3 +62,18 @@ def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def changed(latest: DataFrame, watch: DataFrame) -> DataFrame:
     """Watched keys whose latest mark differs from the remembered one; a first mark is a baseline and no change."""
     return latest.join(watch, "key").where("last is not null and latest <> last")
+
+
+def by_kind(usage: DataFrame, ask: str) -> DataFrame:
+    """(org_id, asks, uploads, tokens, kinds): conditional counts, the tokens of asks, and the kinds seen, sorted."""
+    is_ask = F.col("kind") == ask
+    return usage.groupBy("org_id").agg(
+        F.count_if(is_ask).alias("asks"), F.count_if(~is_ask).alias("uploads"), F.round(F.coalesce(F.sum(F.when(is_ask, F.col("tokens"))), F.lit(0.0)), 2).alias("tokens"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")
+    )
+
+
+def cost(calls: DataFrame, prices: DataFrame, default: float) -> DataFrame:
+    """(kind, cost, cached) of calls (kind, tokens, cached): cached ones cost nothing, unknown kinds the default price a million tokens."""
+    priced = calls.join(prices, "kind", "left")
+    paid = F.when(F.col("cached"), 0.0).otherwise(F.col("tokens") / 1000000 * F.coalesce("price", F.lit(default)))
+    return priced.groupBy("kind").agg(F.round(F.sum(paid), 6).alias("cost"), F.count_if("cached").alias("cached"))

@@ -53,6 +53,41 @@ def companyfacts(raw: DataFrame) -> DataFrame:
     return two.select("cik", "taxonomy", "concept", "unit", F.inline("e")).where("val is not null and end is not null and accn is not null")
 
 
-def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows to append: those whose keys the target doesn't have, once each."""
-    return rows.dropDuplicates(keys).join(target.select(*keys).distinct(), keys, "left_anti")
+def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """Rows to append: those whose keys the target doesn't have, once each; of several of a key the first by `order`, any without."""
+    if order is None:
+        once = rows.dropDuplicates(keys)
+    else:
+        once = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+    return once.join(target.select(*keys).distinct(), keys, "left_anti")
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of a list of ids."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """What a deletion of a list of ids leaves."""
+    return rows.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def existing(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Those of the ids that rows have."""
+    return ids.select(key).distinct().join(rows.select(key), key, "left_semi")
+
+
+def in_workspaces(rows: DataFrame, workspaces: list[str]) -> DataFrame:
+    """Rows of these workspaces; a row without one is public."""
+    return rows.where(F.coalesce("workspace_id", F.lit("public")).isin(workspaces))
+
+
+def questions_file(lines: DataFrame) -> DataFrame:
+    """Questions of a JSON-lines text (a column `value`): comments, blank lines, what doesn't parse and rows without a question are left out."""
+    q = lines.where("value not rlike '^\\\\s*(#|//|$)'").select(F.from_json("value", "struct<id:string,question:string,answer:string,evidence:string,ticker:string>").alias("q")).select("q.*")
+    return q.where("trim(coalesce(question, '')) <> ''")
+
+
+def wanted_facts(flat: DataFrame, concepts: DataFrame, taxonomies: tuple[str, ...] = ("us-gaap", "ifrs-full")) -> DataFrame:
+    """Of companyfacts() the concepts asked for, in these taxonomies."""
+    return flat.where(F.col("taxonomy").isin(*taxonomies)).join(concepts.select("concept").distinct(), "concept", "left_semi")

@@ -29,13 +29,15 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def watch_changes(filings: DataFrame) -> DataFrame:
-    """A stream of (key, mark): a row (key, before, after) whenever a key's mark changes; the first is a baseline."""
+    """A stream of (key, mark, ts): a row (key, before, after) whenever a key's mark changes, in the order of ts within a batch; the first is a baseline, and a null mark is none."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        out = []
+        out, seen = [], []
         for batch in batches:
-            for mark in batch.sort_values("mark")["mark"]:
+            seen.append(batch)
+        if seen:
+            for mark in pd.concat(seen).sort_values(["ts", "mark"], kind="stable")["mark"].dropna():
                 if last is not None and mark != last:
                     out.append((key[0], last, mark))
                 last = mark

@@ -14,16 +14,59 @@ def test_numbers(spark):
 
 
 def test_findings_and_charts(spark):
-    df = spark.createDataFrame([(1, "Net sales were $5.2 billion, up 4% from $4.9 billion; again $5.2 billion.")], "id long, text string")
+    df = spark.createDataFrame([(1, "Net sales were $5.2 billion, up 4% from $4.9 billion; again $5.2 billion. In 2023 it had 12 shops and 1.07 times 391,035 (of $7 each), 5-$6.")], "id long, text string")
     found = extract.findings(df).orderBy("pos").collect()
-    assert [r.figure for r in found] == ["$5.2 billion", "4%", "$4.9 billion"]
+    assert [(r.figure, r.kind) for r in found] == [("$5.2 billion", "figure"), ("4%", "ratio"), ("$4.9 billion", "figure"), ("1.07", "ratio"), ("391,035", "figure"), ("$7", "figure"), ("$6", "figure")]
     assert found[0].label == "Net sales were"
-    assert [r.value for r in extract.charts(extract.findings(df)).orderBy("k").collect()] == [5.2e9, 4.9e9]
+    assert [r.label for r in found][1:3] == ["Net sales were $5.2 billion, up", "were $5.2 billion, up 4% from"]
+    assert found[3].label == "2023 it had 12 shops and"
+    assert found[5].label == "shops and 1.07 times 391,035 (of"
+    assert found[6].label == "times 391,035 (of $7 each), 5"
+    assert [r.value for r in extract.charts(extract.findings(df)).orderBy("k").collect()] == [5.2e9, 4.9e9, 391035.0, 7.0, 6.0]
+
+
+def brute_findings(text):
+    """The same by one loop over the text."""
+    import re
+
+    flat, out, seen = " ".join(text.split()), [], set()
+    for m in re.finditer(r"(?i)\$?\d[\d,]*(?:\.\d+)?\s?(?:billion|million|thousand|bn|mm|%)?", flat, re.ASCII):
+        token = m.group(0).strip().rstrip(",.")
+        core, low = token.strip(" ,."), token.lower()
+        if "$" in token or any(w in low for w in ("billion", "million", "thousand", "bn", "mm")):
+            kind = "figure"
+        elif "%" in token:
+            kind = "ratio"
+        elif re.match(r"^\d{1,3}(,\d{3})+$", core):
+            kind = "figure"
+        elif re.match(r"^\d{1,3}\.\d+$", core):
+            kind = "ratio"
+        else:
+            continue
+        if token not in seen:
+            seen.add(token)
+            out.append((token, kind, " ".join(flat[: m.start()].split()[-6:]).strip(" :–-")[-80:]))
+    return out[:10]
+
+
+def test_findings_brute(spark):
+    """All documents and conversations, and made-up texts dense with figures."""
+    import random
+
+    rng = random.Random(3)
+    bits = ["net", "sales", "$5", "1,234", "3.5%", "12 million", "7.25", "in", "2021", "(", "-", "9bn,", "a-4.1b", "$1,000.50.", "x"]
+    texts = [" ".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(150)] + ["".join(rng.choices(bits, k=8)) for _ in range(80)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got: dict = {}
+    for r in extract.findings(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append((r.figure, r.kind, r.label))
+    assert got == {i: f for i, t in enumerate(texts) if (f := brute_findings(t))}
 
 
 def test_officers_and_subsidiaries(spark):
-    df = spark.createDataFrame([(1, "Subsidiaries of the registrant\nName   Jurisdiction\nAcme Foods LLC   Delaware\nBlue River Trust   Ireland\nacme foods llc   Texas\nsome prose that goes on"), (2, "Signed by Jane Q. Doe, Chief Financial Officer, and John Roe, President.")], "id long, text string")
-    assert {r.name for r in extract.subsidiaries(df).where("id = 1").collect()} == {"Acme Foods LLC", "Blue River Trust"}
+    lines = ["Subsidiaries of the registrant", "Name   Jurisdiction", "Acme Foods LLC   Delaware", "Blue River Trust   Ireland", "acme foods llc   Texas", "some prose that goes on", "Acme Labs Inc Delaware", "Name Brands Inc", "State of the Art Ltd", "• Harbor Light Group New York", "Nova | Spain", "12", "List of subsidiaries Inc"]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "Signed by Jane Q. Doe, Chief Financial Officer, and John Roe, President.")], "id long, text string")
+    assert {r.name for r in extract.subsidiaries(df).where("id = 1").collect()} == {"Acme Foods LLC", "Blue River Trust", "Acme Labs Inc", "Name Brands Inc", "State of the Art Ltd", "Harbor Light Group"}
     assert {(r.name, r.title) for r in extract.officers(df).collect()} == {("Jane Q. Doe", "Chief Financial Officer"), ("John Roe", "President")}
 
 

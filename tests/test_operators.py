@@ -64,7 +64,7 @@ def test_screen_skips_unknown(spark):
 
 
 def brute_cut(scores, top):
-    s = sorted(scores, reverse=True)
+    s = sorted(scores, reverse=True)[:top]
     if len(s) <= 3 or s[0] == s[-1]:
         return min(top, len(s))
     gaps = [round(a - b, 6) for a, b in zip(s, s[1:], strict=False)]
@@ -75,10 +75,11 @@ def brute_cut(scores, top):
 
 def test_adaptive_k(spark):
     rng = random.Random(3)
-    lists = {0: [9, 8.5, -6, -7, -8], 1: [9, 8, 7, 6, 5, 4], 2: [9, 1, 0.9, 0.8]} | {i: [round(rng.uniform(0, 9), rng.choice([0, 2])) for _ in range(rng.randint(1, 9))] for i in range(3, 80)}
+    lists = {0: [9, 8.5, -6, -7, -8], 1: [9, 8, 7, 6, 5, 4], 2: [9, 1, 0.9, 0.8], 500: [9, 5, 4.9, 4.8, 4.7, 4.6, 4.5, -9]} | {i: [round(rng.uniform(0, 9), rng.choice([0, 2])) for _ in range(rng.randint(1, 9))] for i in range(3, 80)}
     df = spark.createDataFrame([(q, i, float(s)) for q, x in lists.items() for i, s in enumerate(x)], "qid long, id long, score double")
     got = {r.qid: r["count"] for r in search.adaptive_k(df, 6).groupBy("qid").count().collect()}
     assert got == {q: brute_cut(x, 6) for q, x in lists.items()}
+    assert got[500] == 3
 
 
 def test_rrf(spark):
@@ -118,14 +119,47 @@ def test_overlap(spark):
 
 
 def test_arithmetic(spark):
-    df = spark.createDataFrame([("2 + 2 = 4 and 10 / 4 = 2.51 but 3 * 3 = 10 or 1 / 0 = 5",)], "t string")
-    assert [c.ok for c in df.select(T.arithmetic_claims(F.col("t")).alias("c")).first().c] == [True, True, False, False]
+    df = spark.createDataFrame([("2 + 2 = 4 and 10 / 4 = 2.51 but 3 * 3 = 10 or 1 / 0 = 5; 1,000 + 2,000 = 9,999 and 1,000 + 2,000 = 3,000",)], "t string")
+    assert [c.ok for c in df.select(T.arithmetic_claims(F.col("t")).alias("c")).first().c] == [True, True, False, True, False, True]
+
+
+GATE = [
+    ("good", "Revenue was 1,234 in total.", "total revenue was 1234", True),
+    ("figure", "Revenue was 9,876 in total.", "total revenue was 1234", False),
+    ("empty", "", "x", False),
+    ("blank", " \n ", "x", False),
+    ("null answer", None, "x", False),
+    ("no evidence", "Revenue was 391,035 million.", None, False),
+    ("blank evidence", "All is well here today.", "  ", False),
+    ("sum", "So 2 + 2 = 5 holds.", "so holds 2 2 5", False),
+    ("commas", "So 1,000 + 2,000 = 9,999 holds.", "so holds 1000 2000 9999", False),
+    ("near sum", "So 10 / 4 = 2.51 holds.", "so holds 10 4 2.51", True),
+    ("share", "It grew by 45% then.", "it grew then", False),
+    ("scaled", "It was $12 billion then.", "it was then 13 billion", False),
+    ("small count", "It had 12 parts in all.", "it had parts in all", True),
+    ("prose doubt", "Revenue was 1234 in total. Zebras quietly admire purple submarines. It was in total.", "revenue was 1234 in total it", True),
+    ("cited doubt", "Zebras quietly admire purple submarines [1].", "revenue was 1234", True),
+    ("all doubt", "Zebras quietly admire purple submarines.", "revenue was 1234", False),
+    ("doubt with a figure", "Revenue was in total. It was so. Zebras admire purple submarines 1234 times.", "revenue 1234 was in total it was so", False),
+]
 
 
 def test_verdict(spark):
-    rows = [("good", "Revenue was 1,234 in total.", "total revenue was 1234"), ("figure", "Revenue was 9,876 in total.", "total revenue was 1234"), ("empty", "", "x"), ("sum", "So 2 + 2 = 5 holds.", "so holds 2 2 5")]
-    got = {r.id: r.passed for r in gate.verdict(spark.createDataFrame(rows, "id string, answer string, evidence string")).collect()}
-    assert got == {"good": True, "figure": False, "empty": True, "sum": False}
+    got = {r.id: r for r in gate.verdict(spark.createDataFrame([r[:3] for r in GATE], "id string, answer string, evidence string")).collect()}
+    assert {k: r.passed for k, r in got.items()} == {k: ok for k, _, _, ok in GATE}
+    assert (got["empty"].score, got["empty"].reason) == (0.0, "Empty answer.")
+    assert got["no evidence"].reason == "No evidence to support the answer."
+    assert got["prose doubt"].score == 0.667
+
+
+def test_evaluated(spark):
+    df = spark.createDataFrame([("2+3*4",), ("1/0",), ("open('x')",), (None,)], "expression string")
+    assert [(r.value, r.ok) for r in gate.evaluated(df).collect()] == [(14.0, True), (None, False), (None, False), (None, False)]
+
+
+def test_parts(spark):
+    df = spark.createDataFrame([("What is A and B?",), ("apples AND Apples",), ("x",), ("a versus b. as well as c compared to d",)], "q string")
+    assert [r.p for r in df.select(T.parts(F.col("q")).alias("p")).collect()] == [["What is A and B?", "What is A", "B"], ["apples AND Apples", "apples"], ["x"], ["a versus b. as well as c compared to d", "a", "b"]]
 
 
 @pytest.mark.parametrize(("expression", "value"), [("2+3*4", 14.0), ("2**3", 8.0), ("-(1+1)", -2.0), ("7 % 4", 3.0), ("1/0", None), ("abs(1)", None), ("x", None), ("9**999", None), ("", None)])
