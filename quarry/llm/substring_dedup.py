@@ -247,7 +247,7 @@ def scanned(docs: DataFrame, words: int, group_mb: float, id_col: str, text_col:
     groups = int(size / (group_mb * 1e6)) + 1
     buckets = max(24, int(size / 25e6) + 1)
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    by_group, by_bucket = max(cores, int(size / 32e6) + 1), max(cores, int(size / 100e6) + 1)  # tasks of some tens of MB at any size
+    by_group, by_bucket = max(cores, int(size / 8e6) + 1), max(cores, int(size / 25e6) + 1)  # tasks of some MB at any size
     top = F.lit((1 << 63) - 1)
     kept = [F.col(c).alias(f"c{k}") for k, c in enumerate(rest)]
     # dealt by id and text, so that the rows of one id (or of none) don't all meet in one group
