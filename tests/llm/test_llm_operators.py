@@ -12,15 +12,17 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import exact_dedup, lexicon, packing, queries, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts
+from quarry.llm import exact_dedup, lexicon, packing, queries, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, token_counts, toxicity
 from quarry.llm.common import components
 from quarry.llm.learn import auc
 
 SF = "/root/testdata/sf0.001"
 BIG = "/root/testdata/sf0.01"
+LARGE = "/root/testdata/sf0.1"
 SP = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -76,10 +78,38 @@ def test_substring_brute(spark, words):
     assert {r.doc_id: (r.n_words, r.n_removed, " ".join(r.text.split())) for r in out.collect()} == want
 
 
+def test_substring_ranges_are_linear():
+    """However many ranges there are, a group's rows are at most its keys, and its answers find their keys again."""
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, dtype="u8"))
+    for buckets in (1, 24, 10**9):
+        table = substring_dedup.packed(3, [keys], np.zeros(len(keys), "u1"), buckets)
+        assert table.num_rows <= min(buckets, len(keys))
+        assert sum(len(x) for x in table["ids"].to_pylist()) == 8 * len(keys)
+        want = np.random.default_rng(2).random(len(keys)) < 0.5
+        bits = [np.packbits(want[np.searchsorted(keys, np.frombuffer(x, "u8"))]).tobytes() for x in table["ids"].to_pylist()]
+        answers = substring_dedup.table_of("answers", table["g"].to_pylist(), table["bucket"].to_pylist(), bits)
+        answers = answers.append_column("level", [[0] * answers.num_rows]).take(list(range(answers.num_rows))[::-1])
+        assert (substring_dedup.unpacked(answers, 0, keys, buckets) == want).all()
+
+
+def test_substring_keeps_columns(spark):
+    """Microseconds, maps, binaries, decimals, large longs beside nulls and nested values come through the stage as they were."""
+    import datetime
+    import decimal
+
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [(i, f"{text} {i}", datetime.datetime(2024, 1, 1, 0, 0, 0, 123456), {1: "x", 2: None}, b"\x00\xff", decimal.Decimal("1.23"), [1, None], None if i else 2**60 + 1, (1, "z"), "c", None) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ts timestamp, m map<int,string>, b binary, d decimal(10,2), a array<int>, big long, st struct<p:int,q:string>, c0 string, n_chars int")
+    df = df.withColumn("ntz", df.ts.cast("timestamp_ntz"))
+    out = substring_dedup.drop_repeats(df)
+    assert out.schema == df.schema
+    rest = [c for c in df.columns if c not in ("text", "n_chars")]
+    assert sorted(map(str, out.select(*rest).collect())) == sorted(map(str, df.select(*rest).collect()))
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {0: (rows[0][1], None)} | {i: (str(i), 1) for i in range(1, 4)}
+
+
 def test_exact_tells_equal_addresses_apart(spark, monkeypatch):
     """With one address for all chunks, digests alone keep them apart."""
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "a. " * 400), (5, "a. " * 401)], "doc_id long, text string")
     assert {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
@@ -183,12 +213,40 @@ def test_sentencepiece(spark, unigram):
     assert [counter[w][0] for w in words if w] == [len(x) for w, x in zip(words, got, strict=True) if w]
 
 
+def test_whole_texts(spark, unigram):
+    """Whole documents against the library: ids, counts and scores. The library adds 32-bit scores over a whole text, so texts where that decides are left to the exact arithmetic here, and must be few."""
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["é\n\nfoo a𝒳b", "ßßé%%% aaaaaaaaaaaa", "漢字 漢字"]
+    codec, counter = sentencepiece_codec.codec(SP), token_counts.counter(SP)
+    got = [x.tolist() for x in codec.encode(texts)]
+    want = [unigram.encode(t) for t in texts]
+    same = [a == b for a, b in zip(got, want, strict=True)]
+    assert sum(same) > 0.97 * len(texts)
+    scores = {i: s for p, (i, s) in codec.lexicon.pieces.items()}
+    for text, ids, lib, ok in zip(texts, got, want, same, strict=True):
+        counts = [counter[c] for c in lexicon.chunks(text)]
+        assert sum(n for n, _ in counts) == len(ids)
+        if all(i in scores for i in ids):  # no byte pieces
+            assert sum(s for _, s in counts) == pytest.approx(sum(scores[i] for i in ids), abs=1e-6)
+            if not ok and all(i in scores for i in lib):
+                assert sum(scores[i] for i in ids) >= sum(scores[i] for i in lib) - 1e-4
+
+
+def test_collision_goes_on(spark, monkeypatch):
+    """With a hash that many substrings share, results are the same."""
+    words = ["hello", "worlds", "ouen", "the", "é漢", "thtion", "aaaa"]
+    want = [x.tolist() for x in sentencepiece_codec.Codec(lexicon.load(SP)).encode(words)]
+    codec = sentencepiece_codec.Codec(lexicon.load(SP))
+    monkeypatch.setattr(codec, "spelt", lambda ids: b"never")
+    assert [x.tolist() for x in codec.encode(words)] == want
+
+
 def test_tokens(spark):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", "  a\n\n b'll don't 12,3 \t​ 漢字🙂", "a" * 5000, "1 " * 500]
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", "  a\n\n b'll don't 12,3 \t​ 漢字🙂", "a" * 5000, "1 " * 500, "hi <|endoftext|> there", "<|endoftext|><|endoftext|>\n<|endoftext"]
     for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"):
         coder = packing.encoding(public_tokenizers.path(name))
-        assert [coder.encode_ordinary(t) for t in texts] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+        plain = [t for t in texts if name.endswith(".json") or "<|endoftext|>" not in t]  # the other file has no special tokens
+        assert [coder.encode_to_numpy(t, allowed_special="all").tolist() for t in plain] == [own.encode(t, add_special_tokens=False).ids for t in plain]
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -196,7 +254,7 @@ def test_pack_plan(seed):
     rng = np.random.default_rng(seed)
     size = 128
     counts = np.bincount(np.clip(rng.lognormal(3, 1.2, 20_000 if seed < 4 else 7).astype(int) + 1, 1, size), minlength=size + 1)
-    plan = packing.pack_plan(counts, size)
+    plan, by_pattern = packing.pack_plan(counts, size)
     used = np.zeros(size + 1, int)
     for lengths, n in plan:
         assert sum(lengths) <= size
@@ -205,7 +263,22 @@ def test_pack_plan(seed):
             used[v] += n
     assert (used == counts).all()
     bound = -(-int((counts * np.arange(size + 1)).sum()) // size)
-    assert sum(n for _, n in plan) <= max(bound * 1.02, bound + 1, counts[size // 2 + 1 :].sum() * 1.02)
+    assert sum(n for _, n in plan) <= max(bound * 1.02, bound + 2, counts[size // 2 + 1 :].sum() * 1.02)
+    assert all(sum(lengths) == size for lengths, _ in plan[:by_pattern])
+
+
+def test_most_pieces_go_by_patterns(spark):
+    """On whole tables over half of the pieces that are shorter than a sequence have their place by a pattern, and there are hardly more sequences than tokens need."""
+    for folder in (BIG, LARGE):
+        rows = packing.tokenised(spark.read.parquet(f"{folder}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")).groupBy("length").count().collect()
+        counts = np.zeros(packing.SEQUENCE + 1, "i8")
+        for length, n in rows:
+            counts[length] = n
+        plan, by_pattern = packing.pack_plan(counts)
+        placed = sum(len(lengths) * n for lengths, n in plan[:by_pattern] if len(lengths) > 1)
+        assert placed > 0.5 * counts[: packing.SEQUENCE].sum()
+        bound = -(-int((counts * np.arange(packing.SEQUENCE + 1)).sum()) // packing.SEQUENCE)
+        assert sum(n for _, n in plan) <= bound * 1.005 + 1
 
 
 def test_packing_query(spark):
@@ -272,11 +345,35 @@ def test_one_each(spark):
 
 
 def test_quality(spark):
-    known = labels(spark, "quality")
-    got = [(known[r.doc_id], r.score) for r in queries.op4_quality_classifier(spark, BIG).collect() if r.doc_id in known]
-    y, score = np.array(got).T
-    assert auc(y, score) > 0.97
-    assert (score[y == 1] >= 0.5).mean() > 0.97
+    """Documents whose label is not shown to it are scored as their label says; the two views see different columns."""
+    labels_ = spark.read.parquet(f"{LARGE}/labels.parquet")
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet")
+    hidden = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    model = quality_classifier.fit(docs, labels_.where(~hidden))
+    known = {r.doc_id: r.quality for r in labels_.where(hidden).collect()}
+    got = {r.doc_id: r for r in quality_classifier.score(docs, model).collect()}
+    y, score = np.array([(k, got[i].score) for i, k in known.items()]).T
+    assert auc(y, score) > 0.98
+    assert (score[y == 1] >= 0.5).mean() > 0.99
+    assert (score[y == 0] < 0.5).mean() > 0.9
+    other = {r.doc_id: r.metadata_score for r in quality_classifier.score(docs.withColumn("text", F.lit("x")), model).collect()}
+    assert all(other[i] == r.metadata_score for i, r in got.items())
+
+
+def test_quality_teaches_from_all(spark):
+    """The surest of all unlabelled documents teach, wherever they stand; labelled ones never do."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    known = spark.read.parquet(f"{BIG}/labels.parquet")
+    model = quality_classifier.fit(docs, known, rounds=0)
+    model.scales[:] = [[1, 0], [1, 0]]
+    got = quality_classifier.sure(docs, known, model, 20, 0.5, 0.5)[0].collect()
+    seen = labels(spark, "quality")
+    read = docs.select(*quality_classifier.fields(docs)).collect()
+    scores = model.raw({c: [r[c] for r in read] for c in quality_classifier.FIELDS})[:, 0]
+    raw = {r["doc_id"]: v for r, v in zip(read, scores, strict=True) if r["doc_id"] not in seen}
+    best = sorted(raw.values())
+    assert {r.doc_id for r in got} <= raw.keys()
+    assert sorted(raw[r.doc_id] for r in got if r.y == 1) == pytest.approx(best[-5:])
 
 
 def test_rules(spark):
@@ -286,12 +383,113 @@ def test_rules(spark):
     assert got[0, False] > 0.7 * (got[0, True] + got[0, False])
 
 
+def test_rules_kept_brute(spark):
+    """kept and content_share of every document against a plain Viterbi over its lines."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    field = quality_rules.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    for r in quality_rules.apply_rules(docs, field).collect():
+        bits, sizes = quality_rules.line_features(texts[r.doc_id])
+        best = {0: (0.0, [0]), 1: (float(quality_rules.expand(bits[:1])[0] @ field.w), [1])} if len(bits) else None
+        for b in bits[1:]:
+            s = float(quality_rules.expand(np.array([b]))[0] @ field.w)
+            best = {k: max(((v + field.t[p, k] + s * k, [*path, k]) for p, (v, path) in best.items()), key=lambda x: x[0]) for k in (0, 1)}
+        path = max(best.values(), key=lambda x: x[0])[1] if best else []
+        share = sum(n for n, k in zip(sizes, path, strict=True) if not k) / sizes.sum() if len(sizes) else 1.0
+        assert r.content_share == pytest.approx(share)
+        assert r.kept == (not r.base_failed and share >= 0.5)
+
+
+def test_rules_long_document(spark):
+    """A document of very many lines is trained on in stretches."""
+    many = "\n".join(f"line {i} of a text that goes on." for i in range(20_000))
+    junk = "\n".join(f"| a | b{i} | c |" for i in range(300))
+    docs = spark.createDataFrame([(1, many), (2, junk), (3, many[:5000])], "doc_id long, text string")
+    assert max(len(b) for b in quality_rules.stretches(quality_rules.line_features(many.encode())[0])) == 4 * quality_rules.LINES
+    field = quality_rules.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"), each=40)
+    got = {r.doc_id: r.content_share for r in quality_rules.apply_rules(docs, field).collect()}
+    assert got[1] > 0.9 > 0.1 > got[2]
+
+
+def brute_label_model(votes, n, steps=12, settled=1e-3):
+    """The label model with a row for each document and dense matrices."""
+    m = np.zeros((len(votes), n))
+    for i, v in enumerate(votes):
+        m[i, v] = 1
+    lexical = m[:, : n - toxicity.PATTERNS - 1].sum(axis=1)
+    post, weight, rates, prior = np.where(lexical == 0, 0.02, np.where(lexical == 1, 0.3, 0.95)), np.ones(n), None, None
+    for phase in range(2):
+        for _ in range(steps):
+            new = np.stack([((m * p[:, None]).sum(axis=0) + 0.1) / (p.sum() + 1) for p in (post, 1 - post)])
+            now = float(np.clip(post.mean(), 0.001, 0.999))
+            still = rates is not None and abs(now - prior) < settled and np.abs(new - rates).max() < settled
+            rates, prior = new, now
+            post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + m @ (weight * np.log(rates[0] / rates[1])), -40, 40)))
+            if still:
+                break
+        if not phase:
+            r = np.stack([((m * p[:, None]).sum(axis=0) + 0.1) / (p.sum() + 1) for p in (post, 1 - post)])
+            apart = m - post[:, None] * r[0] - (1 - post)[:, None] * r[1]
+            cov = apart.T @ apart / len(m)
+            spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+            ties = cov / spread / spread[:, None]
+            np.fill_diagonal(ties, 0)
+            weight = 1 / (1 + np.where(ties > 0.5, ties, 0).sum(axis=0))
+            if weight.min() > 1 - 1e-9:
+                break
+    return prior, rates, weight
+
+
+def test_label_model_brute(spark):
+    """Sums over patterns in tasks give what dense matrices over documents do; twin voters count less, and the classes come apart without any label."""
+    rng = np.random.default_rng(4)
+    n, truth, votes = 4 + toxicity.PATTERNS + 1, rng.random(3000) < 0.2, []
+    for t in truth:
+        v = [k for k in range(3) if rng.random() < (0.6 if t else 0.01)]
+        if 2 in v and rng.random() < 0.95:
+            v.append(3)  # a twin of voter 2
+        v += [n - 2] if rng.random() < 0.1 else []
+        votes.append(sorted(v) + ([] if any(k < 4 for k in v) else [n - 1]))
+    table = spark.createDataFrame([(v,) for v in votes], "votes array<int>").groupBy("votes").agg(F.count("*").alias("n"))
+    model = toxicity.label_model(table, n)
+    prior, rates, weight = brute_label_model(votes, n)
+    assert model.prior == pytest.approx(prior, abs=1e-6)
+    assert np.allclose(model.rates, rates, atol=1e-6)
+    assert np.allclose(model.weight, weight, atol=1e-6)
+    assert weight[2] < 0.7 and weight[3] < 0.7 and weight[0] == 1
+    post = model.posterior(votes)
+    assert auc(truth.astype(int), post) > 0.95
+    assert abs(model.rates[0][0] - 0.6) < 0.1
+
+
+def test_scanner():
+    """The remembering scanner finds what terms_of() does."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["idiot", "Idiots", "loweiß", "LOWEI", "path", "pathetic!!", "a", "éé", "idio"], k=rng.randint(0, 12))).encode() for _ in range(300)]
+    vocabulary = rng.sample(sorted(set().union(*map(toxicity.terms_of, texts))), 20)
+    scan = toxicity.Scanner(vocabulary)
+    assert [scan(t) for t in texts] == [toxicity.terms_of(t) & set(vocabulary) for t in texts]
+
+
 def test_toxicity_held_out(spark):
-    known = labels(spark, "toxic")
-    rows = queries.op10_toxicity(spark, BIG).collect()
+    """Labels that were never read, and posteriors that aren't the labels."""
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGE}/labels.parquet").collect()}
+    rows = queries.op10_toxicity(spark, LARGE).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
-    y, score = np.array([(known[r.doc_id], r.score) for r in rows if r.held_out and r.doc_id in known]).T
-    assert auc(y, score) > 0.9
+    y, score, said = np.array([(known[r.doc_id], r.score, r.predicted) for r in rows if r.held_out and r.doc_id in known]).T
+    assert auc(y, score) > 0.93
+    assert said[y == 1].mean() > 0.8
+    assert said[y == 0].mean() < 0.02
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet")
+    labels_ = spark.read.parquet(f"{LARGE}/labels.parquet").where(~toxicity.held_out())
+    voters = toxicity.Voters(toxicity.lexicon(docs.join(labels_, "doc_id").select(F.col("text").cast("binary").alias("text"), F.col("toxic").alias("y"))))
+    votes = toxicity.voted(docs.where(~toxicity.held_out()), voters).cache()
+    model = toxicity.label_model(votes.groupBy("votes").agg(F.count("*").alias("n")), voters.n)
+    post = {r.doc_id: r.p for r in toxicity.posteriors(votes, model).collect()}
+    votes.unpersist()
+    apart = [i for i, k in known.items() if i in post and (post[i] >= 0.5) != (k == 1)]
+    assert len(apart) > 10  # labels are no voter: where votes and labels disagree, the posterior goes with the votes
+    assert len(post) > 2 * len([i for i in known if i in post])  # and most documents that have one have no label
 
 
 def test_pipeline(spark):
