@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import inspect
+import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +23,8 @@ from pyspark.sql.types import StructType
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Folders of sessions that name none.
+_OWN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 #: Tables whose rows take long to work on.
 SPREAD = ("documents", "conversations", "pages")
 
@@ -88,11 +92,15 @@ def utf8(col: str) -> F.Column:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints. It must be named: a folder of one machine would be missed by the others."""
+    """The folder that the session names for checkpoints. Where it names none, as in tests, a new folder of this machine, but only if Spark runs on this machine alone; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder
+    if spark not in _OWN:
+        _OWN[spark] = tempfile.mkdtemp(prefix="checkpoints")
+    return _OWN[spark]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ search for these covers all documents.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -28,6 +29,7 @@ WORDS, SHAPES, WHOLE = 1 << 16, 1 << 12, 64
 CONTENT, META = WHOLE + SHAPES + WORDS, 4096
 #: Letters become a or A, digits 0, bytes beyond ASCII a; other signs and white space stay.
 SHAPE = bytes(97 if 97 <= b < 123 or b > 127 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256))
+RUNS = re.compile(rb"(?s)(.)\1+")
 FIELDS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words remembered by a worker. A share of 1 counts as this much.
 REMEMBERED, SCALE = 300_000, 8.0
@@ -35,8 +37,7 @@ REMEMBERED, SCALE = 300_000, 8.0
 
 def shape_of(word: bytes) -> bytes:
     """The kinds of a word's signs, runs of one kind as one."""
-    s = word.translate(SHAPE)
-    return bytes(b for i, b in enumerate(s) if not i or b != s[i - 1])
+    return RUNS.sub(rb"\1", word.translate(SHAPE))
 
 
 def places(word: bytes) -> tuple[int, int]:
