@@ -114,3 +114,17 @@ def listed(names: DataFrame, most: int = 25) -> DataFrame:
     line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), ", ")
     more = F.max("n") - most
     return first.groupBy("src").agg(F.concat(line, F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise("")).alias("line"))
+
+
+def around(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(ticker, topic, degree) of the network of each company's topics: companies in order of name each add themselves and their topics until `most` nodes are there.
+
+    What is counted is distinct companies and topics by the order of their first edge, so one row for each, not one for each chunk.
+    """
+    pairs = edges.select("ticker", "topic").distinct()
+    first = pairs.groupBy("topic").agg(F.min("ticker").alias("ticker")).select("ticker", F.lit(1).alias("kind"), F.col("topic").alias("node"))
+    every = first.union(pairs.select("ticker").distinct().select("ticker", F.lit(0), F.col("ticker")))
+    kept = every.orderBy("ticker", "kind", "node").limit(most)
+    topics = kept.where("kind = 1").select(F.col("node").alias("topic"))
+    shown = pairs.join(kept.where("kind = 0").select("ticker"), "ticker", "left_semi").join(topics, "topic", "left_semi")
+    return shown.join(pairs.groupBy("topic").agg(F.count("*").alias("degree")), "topic").select("ticker", "topic", "degree")

@@ -51,3 +51,19 @@ def surprises(earnings: DataFrame, newest: int = 6) -> DataFrame:
     """(ticker, d, surprise_pct) of a ticker's newest reported quarters: earned against estimated."""
     done = earnings.where("eps_reported is not null").withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("d"))))
     return done.where(F.col("rn") <= newest).select("ticker", "d", F.when(F.col("eps_estimate") != 0, F.round((F.col("eps_reported") - F.col("eps_estimate")) / F.abs("eps_estimate") * 100, 1)).alias("surprise_pct"))
+
+
+def owned(rows: DataFrame, parents: DataFrame, key: str, org: int | str) -> DataFrame:
+    """Rows whose parent (by key) is an organisation's: messages by their conversation, chunks by their workspace."""
+    return rows.join(parents.where(F.col("org_id") == org).select(key).distinct(), key, "left_semi")
+
+
+def invitations(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """Of invitations (org_id, email, ts) those for which there is a free seat, in the order of ts; taken is seats()'s result."""
+    turn = F.row_number().over(Window.partitionBy("org_id").orderBy("ts", "email"))
+    return wanted.withColumn("turn", turn).join(taken.select("org_id", "free"), "org_id").where("turn <= free").select(*wanted.columns)
+
+
+def newest(rows: DataFrame, key: str, value: int | str, order: str, most: int) -> DataFrame:
+    """A tenant's rows, newest first, at most so many."""
+    return rows.where(F.col(key) == value).orderBy(F.desc(order)).limit(most)

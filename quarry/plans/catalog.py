@@ -1036,3 +1036,22 @@ PACKED = f"""WITH RECURSIVE {TURNS}, r AS (SELECT id, rn, block_seq, n, 0::BIGIN
   SELECT o.id, o.rn, o.block_seq, o.n, CASE WHEN r.total + o.t > 400 THEN r.chunk_seq + 1 ELSE r.chunk_seq END, CASE WHEN r.total + o.t > 400 THEN o.t ELSE r.total + o.t END FROM r JOIN ordered o ON o.id = r.id AND o.rn = r.rn + 1)
 SELECT id, chunk_seq, min(block_seq) AS first_seq, max(block_seq) AS last_seq, sum(n)::BIGINT AS n_chars FROM r GROUP BY id, chunk_seq"""
 ORACLE["greedy_pack"] = PACKED
+
+
+@query("SELECT conv_id, turn, array_to_string(list_transform(list_sort(list_transform(list_distinct(list_filter(ws, lambda w: length(w) >= 2)), lambda w: struct_pack(i := list_position(ws, w), w := w)))[:40], lambda x: x.w), ' | ') AS terms FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM conversations WHERE role = 'user')")
+def or_terms(spark, d):
+    return S.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", search.or_terms(F.col("text")).alias("terms"))
+
+
+@query(rf"""WITH {DENSE}, h AS (SELECT qid, id, rank, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS t, regexp_extract_all(lower(q.text), '[a-z0-9]+') AS asked FROM dense JOIN documents d ON d.doc_id = id JOIN documents q ON q.doc_id = qid WHERE rank <= 3),
+p AS (SELECT qid, rank, asked, string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM h), s AS (SELECT qid, rank, asked, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM p),
+b AS (SELECT qid, rank, s FROM s WHERE s <> '' QUALIFY row_number() OVER (PARTITION BY qid, rank ORDER BY len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')), asked)) DESC, i) = 1)
+SELECT qid, string_agg(s || ' [' || rank || ']', ' ' ORDER BY rank) AS answer FROM b GROUP BY qid""")
+def extractive_answers(spark, d):
+    docs = S.table(spark, d, "documents")
+    return search.extractive(vector_hits(spark, d, 3), docs.select(F.col("doc_id").alias("id"), "text"), asks(spark, d))
+
+
+@query(f"WITH {EDGES}, p AS (SELECT DISTINCT ticker, topic FROM edges), e AS (SELECT min(ticker) AS ticker, 1 AS kind, topic AS node FROM p GROUP BY topic UNION ALL SELECT DISTINCT ticker, 0, ticker FROM p), k AS (SELECT * FROM e ORDER BY ticker, kind, node LIMIT 9) SELECT p.ticker, p.topic, (SELECT count(*) FROM p x WHERE x.topic = p.topic) AS degree FROM p WHERE ticker IN (SELECT node FROM k WHERE kind = 0) AND topic IN (SELECT node FROM k WHERE kind = 1)")
+def network_around(spark, d):
+    return graph.around(edges(spark, d), 9)
