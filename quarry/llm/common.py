@@ -122,18 +122,21 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], n: str, fan: int = 20_000, most: int = 500_000) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], n: str, rows: int | None = None, fan: int = 20_000, most: int = 500_000) -> DataFrame:
     """big.join(small, on), where a key may have any share of big's rows; small has one row a key, and its column n says how many rows of big have it.
 
     Rows of a key with over `fan` are dealt among as many tasks as that asks for, and small's row goes to each of these. The list of such
-    keys is broadcast only if it has `most` or fewer, else joined. Without any it is a plain join.
+    keys is broadcast only if it has `most` or fewer, else joined. Without any it is a plain join; if big is known to have `rows` rows, and
+    these are no more than `fan`, that needs no count.
     """
-    small = cut(small)
+    plain = big.join(small.drop(n), on)
+    if rows is not None and rows <= fan:
+        return plain
     parts = F.ceil(F.col(n) / fan).cast("int")
     often = small.where(F.col(n) > fan).select(*on, parts.alias("_parts"))
     keys = often.count()
     if not keys:
-        return big.join(small.drop(n), on)
+        return plain
     dealt = big.join(F.broadcast(often) if keys <= most else often, on, "left")
     part = F.pmod(F.xxhash64(*big.columns, F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int")
     each = small.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(n)
@@ -147,17 +150,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     join that deals the edges of a node with very many neighbours among tasks. Each round is checkpointed. Empty edges: no rows.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    state = lambda e: e.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = state(edges)
     for _ in range(rounds):
+        if not before[0]:
+            break
         # large-star: neighbours larger than a node go to the smallest node around it
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = cut(spread_join(both, low, ["a"], "n").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
+        large = spread_join(both, low, ["a"], "n", 2 * before[0]).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # small-star: neighbours not larger than a node, and the node, go to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, low, ["b"], "n")
+        small = spread_join(large, low, ["b"], "n", before[0])  # no more than there were
         edges = cut(small.select(F.col("m").alias("a"), "b").union(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = state(edges)
         if now == before:
             break
         before = now

@@ -101,7 +101,6 @@ def shards(points: DataFrame, n: int, shard: int = SHARD, large: int = LARGE, ro
 
 def blocks(sharded: DataFrame, large: int) -> DataFrame:
     """(shard, point): shards of over `large` points as pairs of blocks of about half that; each pair of points still meets, no task has many more than `large`."""
-    sharded = cut(sharded)
     dense = sharded.groupBy("shard").agg(F.ceil(F.count("*") * 2 / large).cast("int").alias("k")).where("k > 2")
     k, block = F.col("k"), F.pmod(F.xxhash64("point"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64("shard", F.least(block, j), F.greatest(block, j)))
