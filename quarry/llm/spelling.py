@@ -49,20 +49,22 @@ def mask(word: str) -> Column:
     return F.expr(f"aggregate(transform(split({word}, ''), c -> {place}), 0, (m, p) -> m ^ shiftleft(1, (p % 3) * {BAND} + p div 3))")
 
 
-def keys(length: Column, part: int, flips: list[int]) -> list[Column]:
-    """Of each flip the key of band `part` and, with that flip, the band after it, at this length."""
-    band = lambda k: F.shiftright("mask", BAND * (k % 3)).bitwiseAND(2**BAND - 1)
-    base = (length.cast("long") * 3 + part) * 2**BOTH + band(part) * 2**BAND
-    return [base + band(part + 1).bitwiseXOR(F.lit(f)) for f in flips]
+def keys(made: DataFrame, choices: list[int]) -> DataFrame:
+    """made with a key of band `part`, the band after it and the length, for each part and each of `choices`: 0 for what the word has, 1 to 9 with that bit of the second band flipped, 10 for a word longer by one."""
+    part, choice = F.expr("(c div 16)").cast("int"), F.col("c") % 16
+    flip = F.when(choice.between(1, BAND), F.expr("shiftleft(1, c % 16 - 1)")).otherwise(0)
+    longer = F.when(choice > BAND, 1).otherwise(0)
+    each = made.withColumn("c", F.explode(F.array(*[F.lit(16 * p + x) for p in range(3) for x in choices])))
+    band = lambda shift: F.expr(f"shiftright(mask, ((c div 16 + {shift}) % 3) * {BAND}) & {2**BAND - 1}")
+    return each.withColumn("key", ((F.col("len") + longer).cast("long") * 3 + part) * 2**BOTH + band(0) * 2**BAND + band(1).bitwiseXOR(flip))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): of words (word, n) each pair that differs by one inserted, deleted or replaced code point, once. Words have 4 code points or more."""
-    made = words.select("word", "n", mask("word").alias("mask"), F.char_length("word").alias("len"))
-    stored = made.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"), F.explode(F.array(*[keys(F.col("len"), p, [0])[0] for p in range(3)])).alias("key"))
-    flips = [0, *(1 << i for i in range(BAND))]
-    asks = [k for p in range(3) for k in keys(F.col("len"), p, flips) + keys(F.col("len") + 1, p, [0])]
-    asked = made.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("mask").alias("a_mask"), F.explode(F.array(*asks)).alias("key"))
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = cut(words.repartition(parts, "word").select("word", "n", mask("word").alias("mask"), F.char_length("word").alias("len")))
+    stored = keys(made, [0]).select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"), "key")
+    asked = keys(made, [*range(BAND + 2)]).select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("mask").alias("a_mask"), "key")
     a, b, apart = F.col("a"), F.col("b"), F.bit_count(F.col("a_mask").bitwiseXOR(F.col("b_mask")))
     ends = lambda w: (F.substring(w, 1, 2), F.substring(w, -2, 2))  # noqa: E731  one edit leaves the first two or the last two as they are
     same_ends = (ends(a)[0] == ends(b)[0]) | (ends(a)[1] == ends(b)[1])
