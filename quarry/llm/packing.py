@@ -50,6 +50,21 @@ def encoding(path: str):  # noqa: ANN201
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.lru_cache(maxsize=2)
+def library(path: str):  # noqa: ANN201
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def ids_of(text: str, path: str) -> np.ndarray:
+    """Ids of a text. Runs of white space of about a million signs are more than tiktoken's rule can match; such a text goes through the tokenizers library itself."""
+    try:
+        return encoding(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, "u4")
+
+
 def pieces(ids: np.ndarray, size: int = SEQUENCE) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole sequences at its end, and what remains first."""
     n = len(ids)
@@ -63,9 +78,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 0, size: int = SEQUENCE,
     """doc_id, piece, start, length, ids_crc32 for each piece."""
 
     def run(x: dict[str, list]) -> dict[str, list]:
-        coder, rows = encoding(path), []
+        rows = []
         for ident, text in zip(x["doc_id"], x["text"], strict=True):
-            ids = np.append(coder.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
+            ids = np.append(ids_of(text or "", path), end_id).astype("<u4")
             rows += [(ident, i, at, n, zlib.crc32(ids[at : at + n].tobytes())) for i, (at, n) in enumerate(pieces(ids, size))]
         return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), map(list, zip(*rows, strict=True)), strict=True)) if rows else {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
 
