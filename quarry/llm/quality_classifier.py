@@ -16,6 +16,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -129,7 +130,7 @@ def dense(x: np.ndarray) -> Rows:
 
 
 def featured(docs: DataFrame, ids: DataFrame) -> list[tuple]:
-    """(doc_id, y, content features, metadata features) of one row of each of ids (doc_id, y), a small table."""
+    """(doc_id, y, content features, metadata features) of one row of each of ids (doc_id, y), a small table of one row an id."""
     sample = one_each(docs.select(*fields(docs)).join(F.broadcast(ids), "doc_id"), [*FIELDS[1:], "y"])
 
     def run(x: dict[str, list]) -> dict[str, list]:
@@ -139,8 +140,8 @@ def featured(docs: DataFrame, ids: DataFrame) -> list[tuple]:
     return sorted(((i, y, bytes(a), bytes(b)) for i, y, a, b in got), key=lambda r: r[:2])
 
 
-def sure(docs: DataFrame, labels: DataFrame, model: Model, teach: int, rate: float, certain: float) -> list[DataFrame]:
-    """For each view (doc_id, y) of the unlabelled documents that it is surest of: at most `teach` of either class, in the classes' proportion, over `certain`."""
+def sure(docs: DataFrame, labels: DataFrame, model: Model, teach: int, rate: float, certain: float) -> DataFrame:
+    """(doc_id, y) of the unlabelled documents that a view is surest of: at most `teach` of either class and view, in the classes' proportion, over `certain`. y has two bits for each view: what it says, and whether it is sure."""
 
     def run(x: dict[str, list]) -> dict[str, list]:
         p = sigmoid(model.raw(x))
@@ -152,8 +153,8 @@ def sure(docs: DataFrame, labels: DataFrame, model: Model, teach: int, rate: flo
     for v in range(2):
         p = F.col(f"p{v}")
         top = lambda cond, order, y, n: free.where(cond).orderBy(order, F.xxhash64("doc_id"), "doc_id").limit(max(1, n)).select("doc_id", F.lit(y).alias("y"))
-        out.append(top(p > certain, p.desc(), 1, int(teach * max(rate, 1 - rate) * rate)).union(top(p < 1 - certain, p.asc(), 0, int(teach * max(rate, 1 - rate) * (1 - rate)))))
-    return out
+        out += [top(p > certain, p.desc(), 3 << 2 * v, int(teach * max(rate, 1 - rate) * rate)), top(p < 1 - certain, p.asc(), 2 << 2 * v, int(teach * max(rate, 1 - rate) * (1 - rate)))]
+    return reduce(DataFrame.union, out).groupBy("doc_id").agg(F.sum("y").cast("int").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, teach: int = 1000, rounds: int = 2, certain: float = 0.9, column: str = "quality") -> Model:
@@ -175,9 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, teach: int = 1000,
         if step == rounds:
             break
         now = Model(models[0], models[1], np.zeros(3), one)
-        for v, chosen in enumerate(sure(docs, labels, now, teach, rate, certain)):
-            for r in featured(docs, chosen):
-                taught[1 - v].setdefault(r[0], r)
+        for i, said, *views in featured(docs, cut(sure(docs, labels, now, teach, rate, certain))):
+            for v in range(2):
+                if said >> 2 * v & 2:
+                    taught[1 - v].setdefault(i, (i, said >> 2 * v & 1, *views))
     held = np.flatnonzero(aside)
     held = held if len(set(y[held].tolist())) == 2 else np.arange(len(y))
     raw = np.stack([rows_of([got[i][2 + v] for i in held]).dot(models[v][0]) + models[v][1] for v in range(2)], axis=1)
