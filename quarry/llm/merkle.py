@@ -71,8 +71,8 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def descend(nodes: DataFrame, above: DataFrame) -> DataFrame:
-    """nodes (g, idx, n, node, ...) with at and others: of each level up to the top the node's place among its siblings, and these siblings' digests in one text. above: (g, idx, at, others) of the buckets."""
-    schema = StructType([*nodes.schema.fields]).add("at", ArrayType(IntegerType())).add("others", ArrayType(StringType()))
+    """nodes (g, idx, n, node, ...) with at, others and subroot: of each level up to the top the node's place among its siblings, and these siblings' digests in one text. above: (g, idx, at, others, subroot) of the buckets; subroot goes down as it is."""
+    schema = StructType([*nodes.schema.fields]).add("at", ArrayType(IntegerType())).add("others", ArrayType(StringType())).add("subroot", "string")
     arrow, names = arrow_schema(schema), nodes.columns
 
     def run(rows: pa.Table, upper: pa.Table) -> pa.Table:
@@ -88,9 +88,9 @@ def descend(nodes: DataFrame, above: DataFrame) -> DataFrame:
                 i //= FANOUT
             at.append(places + upper["at"][0].as_py())
             others.append(texts + upper["others"][0].as_py())
-        return pa.table([*rows.columns, pa.array(at, arrow.field("at").type), pa.array(others, arrow.field("others").type)], schema=arrow)
+        return pa.table([*rows.columns, pa.array(at, arrow.field("at").type), pa.array(others, arrow.field("others").type), pa.array([upper["subroot"][0].as_py()] * len(rows), pa.string())], schema=arrow)
 
-    keyed = above.select("g", F.col("idx").alias("bucket"), "at", "others")
+    keyed = above.select("g", F.col("idx").alias("bucket"), "at", "others", "subroot")
     return buckets(nodes).groupBy("g", "bucket").cogroup(keyed.groupBy("g", "bucket")).applyInArrow(lean(run), schema)
 
 
@@ -118,21 +118,15 @@ def manifest(docs: DataFrame, cols: list[str] | None = None, id_col: str = "doc_
     subroots = lower[-1].select(F.lit("").alias("g"), F.col("g").alias("of"), "node")
     upper = reduced(cut(numbered(subroots, ["of"])))
     root = upper[-1].select(F.col("node").alias("root"))
-    nothing = F.array().cast("array<int>"), F.array().cast("array<string>")
-    above = upper[-1].select("g", "idx", nothing[0].alias("at"), nothing[1].alias("others"))
+    nothing = [F.array().cast("array<int>").alias("at"), F.array().cast("array<string>").alias("others"), F.lit(None).cast("string").alias("subroot")]
+    tops = upper[-1].select("*", *nothing)
     for nodes in reversed(upper[:-1]):
-        above = cut(descend(nodes, above))
-    tops = above if len(upper) > 1 else upper[0].select("*", nothing[0].alias("at"), nothing[1].alias("others"))
-    above = tops.select(F.col("of").alias("g"), F.lit(0).cast("long").alias("idx"), "at", "others")
+        tops = cut(descend(nodes, tops))
+    above = tops.select(F.col("of").alias("g"), F.lit(0).cast("long").alias("idx"), "at", "others", F.col("node").alias("subroot"))
     for nodes in reversed(lower[1:-1]):
         above = cut(descend(nodes, above))
-    subroot = tops.select(F.col("of").alias("g"), F.col("node").alias("subroot"))
-    if len(lower) > 1:
-        # each bucket learns its group's subroot and the root; rows get both with their bucket's proof
-        out = descend(rows, above)
-    else:
-        out = rows.join(above.drop("idx"), "g")
-    out = out.join(subroot, "g").crossJoin(F.broadcast(root))  # one row
+    out = descend(rows, above) if len(lower) > 1 else rows.join(above.drop("idx"), "g")  # each row a group of its own
+    out = out.crossJoin(F.broadcast(root))  # one row
     return out.select(F.col("id").alias(id_col), F.col("group").alias(group_col), *[F.col(f"extra.{k}").alias(k) for k in keep], F.col("node").alias("leaf"), "subroot", "root", "at", "others")
 
 
