@@ -44,6 +44,33 @@ def verdict(answers: DataFrame, overlap: float = OVERLAP, least: float = LEAST)
     return r.withColumn("passed", F.col("missing").isNull() & ~hard & (F.col("score") >= least)).withColumn("reason", reason).drop("missing")
 
 
+def grounded_before(answers: DataFrame, passages: DataFrame, overlap: float = OVERLAP, start: int = 3) -> DataFrame:
+    """(key, at, figures, ungrounded, unsupported) of each of answers (key, at, text), against all passages (key, at, text) of its key before it.
+
+    Counts distinct figures that can be looked up, those whose digits no earlier passage holds, and sentences (as in verdict()) too few of
+    whose words earlier passages have. Nothing is gathered by key: figures meet passages by key and the first digits (as many as `start`, of
+    each place in a passage's digits), words by key and word, where the word's first passage is known. A long history is so dealt among tasks.
+    """
+    text = F.coalesce("text", F.lit(""))
+    said = answers.select("key", "at", text.alias("text"))
+    figs = said.select("key", "at", F.explode(F.array_distinct(F.filter(figures(F.col("text")), groundable))).alias("figure")).withColumn("digits", digits(F.col("figure")))
+    asked = figs.select("key", "at", "digits", F.left("digits", F.lit(start)).alias("gram")).distinct()
+    strings = passages.select("key", F.col("at").alias("before"), digits(text).alias("held")).where("held <> ''")
+    places = F.sequence(F.lit(1), F.length("held"))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(start)), lambda n: F.col("held").substr(i, n)))))
+    held = strings.select("key", "before", "held", F.explode(grams).alias("gram"))
+    found = asked.join(held, ["key", "gram"]).where((F.col("before") < F.col("at")) & F.col("held").contains(F.col("digits"))).select("key", "at", "digits").distinct().withColumn("ok", F.lit(1))
+    figured = figs.join(found, ["key", "at", "digits"], "left").groupBy("key", "at").agg(F.count("*").alias("figures"), F.sum(F.when(F.col("ok").isNull(), 1).otherwise(0)).alias("ungrounded"))
+    bare = lambda s: F.trim(F.regexp_replace(s, r"\[\d+\]", ""))
+    first = passages.select("key", "at", F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("key", "term").agg(F.min("at").alias("first"))
+    parts = said.select("key", "at", F.posexplode(F.filter(F.transform(sentences(F.col("text")), F.trim), lambda s: (s != "") & ~s.rlike(r"\[\d+\]"))).alias("i", "s"))
+    words = parts.select("key", "at", "i", F.explode(tokens(bare(F.col("s")))).alias("term"))
+    known = words.join(first, ["key", "term"], "left").groupBy("key", "at", "i").agg(F.count("*").alias("n"), F.count(F.when(F.col("first") < F.col("at"), 1)).alias("known"))
+    loose = known.where((F.col("n") >= WORDS) & (F.col("known") < overlap * F.col("n"))).groupBy("key", "at").agg(F.count("*").alias("unsupported"))
+    out = said.select("key", "at").join(figured, ["key", "at"], "left").join(loose, ["key", "at"], "left")
+    return out.na.fill(0, ["figures", "ungrounded", "unsupported"])
+
+
 def around(text: Column, at: Column, n: Column, window: int) -> Column:
     """The n characters of a text from `at` (1 and up) with `window` on either side, and ellipses where the text goes on."""
     first, last = F.greatest(F.lit(1), at - window), F.least(F.length(text), at + n - 1 + window)

@@ -18,7 +18,6 @@ FLAGS = {
     "risk_factors": "(?i)risk factors",
 }
 SEVERITY = {"going_concern": "high", "material_weakness": "high", "restatement": "high", "litigation": "medium"}
-PROBE = "going concern substantial doubt restatement material weakness in internal control litigation legal proceedings investigation"
 
 
 def flagged(hits: DataFrame, chunks: DataFrame, patterns: dict[str, str] = FLAGS, window: int = 90) -> DataFrame:
