@@ -1,11 +1,10 @@
 """Spelling variants by bands of letter-parity masks.
 
 A word's mask has a bit for each letter, set if the letter stands in the word an odd number of times. One replaced letter flips two bits
-of it (none if both share a bit), one inserted or deleted letter flips one. The mask's 27 bits are three bands of nine. Of at most two
-flips some band has none, and the band after it one at most (that band, where it has none either, or one of its nine single flips). So
-words meet in a join on an equal band, the next band, and the length: each word asks for the next band as it is and with each of its
-bits flipped, and, one code point longer, as it is (one flip leaves two bands equal). What meets is verified by edit distance within the
-join, so that only true pairs come out of it, each once. A word asks 33 times however many words there are.
+of it (none if both share a bit), one inserted or deleted letter flips one. The mask's 27 bits are three bands of nine, and of at most two
+flips some band has none: words meet in a join on an equal band. The length filter is part of the key (a word asks at its own length and at
+one more), and so are two letters at either end, as one edit leaves the first two or the last two as they are. What meets is verified by
+mask, ends and edit distance within the join, so that only true pairs come out of it, each once, by the first band and end that agree.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ LETTERS, LEAST = r"[A-Za-zÀ-ÿ]", 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters by how often they stand in texts; neighbours in this order go to different bands, so that bands tell words apart about equally well.
 COMMON = "etaoinshrdlcumwfgypbvkjxqz"
-#: Bits of a band, and bits of two.
-BAND, BOTH = 9, 18
+#: Bits of a band.
+BAND = 9
 
 
 def lowered(run: Column) -> Column:
@@ -49,28 +48,26 @@ def mask(word: str) -> Column:
     return F.expr(f"aggregate(transform(split({word}, ''), c -> {place}), 0, (m, p) -> m ^ shiftleft(1, (p % 3) * {BAND} + p div 3))")
 
 
-def keys(made: DataFrame, choices: list[int]) -> DataFrame:
-    """made with a key of band `part`, the band after it and the length, for each part and each of `choices`: 0 for what the word has, 1 to 9 with that bit of the second band flipped, 10 for a word longer by one."""
-    part, choice = F.expr("(c div 16)").cast("int"), F.col("c") % 16
-    flip = F.when(choice.between(1, BAND), F.expr("shiftleft(1, c % 16 - 1)")).otherwise(0)
-    longer = F.when(choice > BAND, 1).otherwise(0)
-    each = made.withColumn("c", F.explode(F.array(*[F.lit(16 * p + x) for p in range(3) for x in choices])))
-    band = lambda shift: F.expr(f"shiftright(mask, ((c div 16 + {shift}) % 3) * {BAND}) & {2**BAND - 1}")
-    return each.withColumn("key", ((F.col("len") + longer).cast("long") * 3 + part) * 2**BOTH + band(0) * 2**BAND + band(1).bitwiseXOR(flip))
+def keyed(made: DataFrame, longer: list[int]) -> DataFrame:
+    """made with c (twice the band, and one more for the last letters) and key (that band, these letters, and the length and what each of `longer` adds)."""
+    each = made.withColumn("c", F.explode(F.array(*map(F.lit, range(6))))).withColumn("more", F.explode(F.array(*map(F.lit, longer))))
+    band = F.expr(f"shiftright(mask, (c div 2) * {BAND}) & {2**BAND - 1}")
+    end = F.when(F.col("c") % 2 == 0, F.substring("word", 1, 2)).otherwise(F.substring("word", -2, 2))
+    return each.withColumn("key", F.xxhash64(F.col("len") + F.col("more"), band, end)).drop("more", "len")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): of words (word, n) each pair that differs by one inserted, deleted or replaced code point, once. Words have 4 code points or more."""
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = cut(words.repartition(parts, "word").select("word", "n", mask("word").alias("mask"), F.char_length("word").alias("len")))
-    stored = keys(made, [0]).select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"), "key")
-    asked = keys(made, [*range(BAND + 2)]).select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("mask").alias("a_mask"), "key")
-    a, b, apart = F.col("a"), F.col("b"), F.bit_count(F.col("a_mask").bitwiseXOR(F.col("b_mask")))
-    ends = lambda w: (F.substring(w, 1, 2), F.substring(w, -2, 2))  # noqa: E731  one edit leaves the first two or the last two as they are
-    same_ends = (ends(a)[0] == ends(b)[0]) | (ends(a)[1] == ends(b)[1])
-    first = (apart > 0) | (F.shiftright(asked["key"], BOTH) % 3 == 0)  # equal masks meet in all three bands
+    stored = keyed(made, [0]).select("c", "key", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"))
+    asked = keyed(made, [0, 1]).select("c", "key", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("mask").alias("a_mask"))
+    a, b, c, flips = F.col("a"), F.col("b"), asked["c"], F.col("a_mask").bitwiseXOR(F.col("b_mask"))
+    same = lambda band: F.shiftright(flips, BAND * band).bitwiseAND(2**BAND - 1) == 0
+    first = F.when(same(0), 0).when(same(1), 2).otherwise(4) + F.when(F.substring(a, 1, 2) == F.substring(b, 1, 2), 0).otherwise(1)
     one_way = (F.char_length(a) < F.char_length(b)) | (a < b)
-    return asked.join(stored, (asked["key"] == stored["key"]) & (apart <= 2) & first & one_way & same_ends & (F.levenshtein(a, b, 1) == 1)).select("a", "a_n", "b", "b_n")
+    meets = (asked["c"] == stored["c"]) & (asked["key"] == stored["key"])
+    return asked.join(stored, meets & (F.bit_count(flips) <= 2) & one_way & (c == first) & (F.levenshtein(a, b, 1) == 1)).select("a", "a_n", "b", "b_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
