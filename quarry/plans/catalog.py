@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import facts as X
-from quarry.operators import evaluate, extract, gate, graph, ingest, insights, market, metering, search, tenancy, valuation
+from quarry.operators import ann, evaluate, extract, gate, graph, ingest, insights, market, metering, search, tenancy, valuation
 from quarry.operators import questions as Q
 from quarry.sources import tables as S
 from quarry.streaming import windows
@@ -160,6 +160,34 @@ def dense_batch_topk(spark, d):
     return vector_hits(spark, d, 5)
 
 
+def vector_index(spark, d, folder):
+    """The vectors' index in a folder, and the stated questions."""
+    e = S.table(spark, d, "embeddings")
+    ann.write_index(e, folder, ann.default_cells(e.count()))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+@query(f"WITH {DENSE} SELECT * FROM dense WHERE rank <= 5")
+def indexed_batch_topk(spark, d):
+    """Exact, over the index: cells are left out by their widest angle."""
+    with S.scratch(spark) as folder:
+        asks_ = vector_index(spark, d, folder)
+        return S.cut(ann.search(spark, folder, asks_, 5))
+
+
+#: The share of cells that a question reads: over 0.9 of the ten nearest vectors are found, on these tables without any structure.
+PROBED = 0.35
+
+
+@query()
+def ann_batch_topk(spark, d):
+    """Approximate, over the index: each question reads its nearest cells."""
+    with S.scratch(spark) as folder:
+        asks_ = vector_index(spark, d, folder)
+        cells = spark.read.parquet(f"{folder}/cells").count()
+        return S.cut(ann.search(spark, folder, asks_, 10, probes=max(1, round(PROBED * cells))))
+
+
 FUSED = f"""{ONE}, {BM25}, {DENSE}, fused AS (SELECT qid, id, x.rank AS dense_rank, l.rank AS lexical_rank, round(coalesce(1.0 / (60 + x.rank), 0) + coalesce(1.0 / (60 + l.rank), 0), 9) AS rrf
   FROM (SELECT * FROM dense WHERE rank <= 30 AND qid = 0) x FULL JOIN (SELECT * FROM lexical WHERE rank <= 30) l USING (qid, id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM fused)"""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +22,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
 
 
+#: The folder of a local session that names none.
+_OWN: dict[str, str] = {}
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; a local session that names none gets a new one of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quarry") if spark.sparkContext.applicationId not in _OWN else "")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() in the shared folder: what is used several times is worked out once, and survives the loss of executors."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared(df.sparkSession))
+    return df.checkpoint()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A new folder under the shared one, removed at the end."""
+    folder = f"{shared(spark)}/{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filed facts: a line item is a value of a concept (its return flag) of a ticker (its supplier), filed when ordered."""
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
