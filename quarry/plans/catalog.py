@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import facts as X
-from quarry.operators import ann, evaluate, extract, gate, graph, ingest, insights, market, metering, search, tenancy, valuation
+from quarry.operators import ann, asof, evaluate, extract, fielded, gate, graph, ingest, insights, market, metering, search, segments, tenancy, valuation
 from quarry.operators import questions as Q
 from quarry.sources import tables as S
 from quarry.streaming import windows
@@ -1138,3 +1138,96 @@ def extractive_answers(spark, d):
 @query(f"WITH {EDGES}, p AS (SELECT DISTINCT ticker, topic FROM edges), e AS (SELECT min(ticker) AS ticker, 1 AS kind, topic AS node FROM p GROUP BY topic UNION ALL SELECT DISTINCT ticker, 0, ticker FROM p), k AS (SELECT * FROM e ORDER BY ticker, kind, node LIMIT 9) SELECT p.ticker, p.topic, (SELECT count(*) FROM p x WHERE x.topic = p.topic) AS degree FROM p WHERE ticker IN (SELECT node FROM k WHERE kind = 0) AND topic IN (SELECT node FROM k WHERE kind = 1)")
 def network_around(spark, d):
     return graph.around(edges(spark, d), 9)
+
+
+# ---- an index that lives, fields, as-of ---------------------------------------------------------------------------------------------
+
+
+def grown(spark, d, folder, gone: bool, merged: bool = False):
+    """An index built of every third document, grown by the others, then without those that the benchmark names; some come back with other texts."""
+    docs, index = S.table(spark, d, "documents").select("doc_id", "text"), segments.Index(spark, folder)
+    index.append(docs.where("doc_id % 3 = 0"))
+    index.append(docs.where("doc_id % 3 > 0"))
+    if gone:
+        named = S.table(spark, d, "benchmark").select(F.col("item_id").alias("id"))
+        index.delete(named)
+        again = docs.join(named.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").where("doc_id % 2 = 0")
+        index.append(again.select("doc_id", F.concat(F.lit("returned license "), "text").alias("text")))
+    if merged:
+        index.merge()
+        index.vacuum()
+    return index
+
+
+ALIVE = "alive AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT item_id FROM benchmark) THEN 'returned license ' || text ELSE text END AS text FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark) OR doc_id % 2 = 0)"
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term")
+def index_append(spark, d):
+    """Document frequencies of an index that was appended to."""
+    with S.scratch(spark) as folder:
+        return S.cut(grown(spark, d, folder, gone=False).read()["terms"].select("term", "df"))
+
+
+@query(f"WITH {ALIVE} SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM alive) GROUP BY term")
+def index_delete(spark, d):
+    """Document frequencies after deletions and returns."""
+    with S.scratch(spark) as folder:
+        return S.cut(grown(spark, d, folder, gone=True).read()["terms"].select("term", "df"))
+
+
+INDEXED = f"WITH {ALIVE}, {BENCH}, {BM25.replace('FROM documents', 'FROM alive')} SELECT qid, id, score, rank FROM lexical WHERE rank <= 5"
+
+
+def indexed(spark, d, merged):
+    asked_ = S.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
+    with S.scratch(spark) as folder:
+        index = grown(spark, d, folder, gone=True, merged=merged)
+        return S.cut(search.ranked(index.read(asked_), asked_, 5).select("qid", "id", "score", "rank"))
+
+
+@query(INDEXED)
+def indexed_bm25(spark, d):
+    """A ranking over the segments of an index, equal to one over the live documents."""
+    return indexed(spark, d, merged=False)
+
+
+@query(INDEXED)
+def merged_bm25(spark, d):
+    """The same after the segments were merged into one."""
+    return indexed(spark, d, merged=True)
+
+
+FIELDS = {"source": 4.0, "lang": 2.0, "text": 1.0}
+
+
+def stem_sql(word: str) -> str:
+    for ending, becomes in fielded.ENDINGS:
+        word = f"regexp_replace({word}, '{ending}', '\\1{becomes}')"
+    return word
+
+
+def words_sql(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+'), lambda w: NOT list_contains({fielded.STOP!r}, w))"
+
+
+@query(f"""WITH f AS ({" UNION ALL ".join(f"SELECT doc_id AS id, {w} AS weight, {words_sql(c)} AS ws, '{c}' AS field FROM documents" for c, w in FIELDS.items())}), m AS (SELECT field, avg(len(ws)) AS mean FROM f GROUP BY field),
+p AS (SELECT id, term, sum(weight * tf / (0.25 + 0.75 * dl / mean)) AS w FROM (SELECT id, field, weight, len(ws) AS dl, {stem_sql("word")} AS term, count(*) AS tf FROM (SELECT *, unnest(ws) AS word FROM f) GROUP BY ALL) JOIN m USING (field) GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT DISTINCT qid, {stem_sql("word")} AS term FROM (SELECT item_id AS qid, unnest({words_sql("text || ' src' || item_id || ' en reported copies'")}) AS word FROM benchmark)),
+s AS (SELECT qid, id, round(sum(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * w * 2.2 / (w + 1.2)), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term) GROUP BY qid, id)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5""".replace("(SELECT *, unnest(ws) AS word FROM f) GROUP BY ALL", "(SELECT *, unnest(ws) AS word FROM f) GROUP BY ALL"))
+def fielded_topk(spark, d):
+    """Benchmark passages with a source and a language, over source, language and text."""
+    b = S.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat("text", F.lit(" src"), F.col("item_id").cast("string"), F.lit(" en reported copies")).alias("qtext"))
+    return fielded.bm25f(S.table(spark, d, "documents"), b, FIELDS, 5)
+
+
+@query("""WITH asks AS (SELECT l_orderkey AS orderkey, l_linenumber AS line, 'S' || l_suppkey AS ticker, o_orderdate::DATE AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+filings AS (SELECT 'S' || l_suppkey AS ticker, o_orderdate::DATE + 30 AS day, max(l_extendedprice) AS val, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A' GROUP BY ALL)
+SELECT orderkey, line, ticker, asks.day, val, lines FROM asks ASOF LEFT JOIN filings USING (ticker, day)""")
+def facts_as_of(spark, d):
+    """For each order line the newest of its supplier's filings, a month after other orders, that was there on its day."""
+    f = S.facts(spark, d)
+    filings = f.where("concept = 'A'").groupBy("ticker", F.date_add("filed", 30).alias("day")).agg(F.max("val").alias("val"), F.count("*").alias("lines"))
+    asks_ = f.select("ticker", F.col("filed").alias("day"), F.col("seq1").alias("orderkey"), F.col("seq2").alias("line"))
+    return asof.as_of(asks_, filings, ["ticker"], "day", ["val", "lines"])
