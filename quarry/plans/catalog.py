@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import facts as X
-from quarry.operators import ann, asof, evaluate, extract, fielded, gate, graph, ingest, insights, market, metering, search, segments, tenancy, valuation
+from quarry.operators import ann, asof, evaluate, extract, fielded, gate, graph, hybrid, ingest, insights, market, metering, phrases as P, search, security, segments, sketches, tenancy, valuation, walks
 from quarry.operators import questions as Q
 from quarry.sources import tables as S
 from quarry.streaming import windows
@@ -227,28 +228,44 @@ def asks(spark, d):
     return S.table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("qtext"))
 
 
-def batch_fused(spark, d, q):
-    dense = vector_hits(spark, d, 30).join(q.select("qid").distinct(), "qid", "left_semi")
-    return search.rrf(dense, search.bm25(S.table(spark, d, "documents"), q, 30))
+MANY = f"qt AS (SELECT doc_id AS qid, term, count(*) AS qtf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents WHERE doc_id % 100 = 0) GROUP BY ALL)"
+BATCH = f"""{BM25}, {DENSE.replace("q.vec_id % 100 = 0", "q.vec_id IN (SELECT qid FROM qt)")}, fused AS (SELECT qid, id, x.rank AS dense_rank, l.rank AS lexical_rank, round(coalesce(1.0 / (60 + x.rank), 0) + coalesce(1.0 / (60 + l.rank), 0), 9) AS rrf
+  FROM (SELECT * FROM dense WHERE rank <= 30) x FULL JOIN (SELECT * FROM lexical WHERE rank <= 30) l USING (qid, id)), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM fused)"""
+AGAIN = """qn AS (SELECT qid, count(*) AS n FROM own GROUP BY qid), hits AS (SELECT r.qid, r.id, round(coalesce(count(p.term) / any_value(n) + 0.1 * sum((1 + ln(p.tf)) / sqrt(dl)), 0), 6) AS score
+  FROM ranked r JOIN qn USING (qid) LEFT JOIN (SELECT own.qid, post.id, term, tf FROM post JOIN own USING (term)) p ON p.qid = r.qid AND p.id = r.id LEFT JOIN lens ON lens.id = r.id GROUP BY r.qid, r.id)"""
 
 
-def batch_reranked(spark, d, q):
-    return search.lexical_rerank(batch_fused(spark, d, q), S.table(spark, d, "documents"), q)
+def indexes(spark, d, folder):
+    """Both indexes of the corpus in a folder."""
+    index = segments.Index(spark, f"{folder}/words")
+    index.append(S.table(spark, d, "documents").select("doc_id", "text"))
+    vector_index(spark, d, f"{folder}/vectors")
+    return f"{folder}/vectors", index
 
 
-@query()
+def batch(spark, d):
+    """The stated questions with their vectors, where there are any."""
+    e = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return asks(spark, d).join(e, "qid", "left").withColumn("question", F.col("qtext"))
+
+
+@query(f"WITH {MANY}, {BATCH} SELECT qid, id, rrf::DOUBLE AS rrf, dense_rank, lexical_rank, rank FROM ranked")
 def rrf_batch(spark, d):
-    return batch_fused(spark, d, asks(spark, d))
+    with S.scratch(spark) as folder:
+        return hybrid.candidates(spark, *indexes(spark, d, folder), batch(spark, d))
 
 
-@query()
+@query(f"WITH {MANY}, {BATCH}, own AS (SELECT DISTINCT qid, term FROM qt), {AGAIN} SELECT * FROM hits")
 def rerank_batch(spark, d):
-    return batch_reranked(spark, d, asks(spark, d))
+    with S.scratch(spark) as folder:
+        vectors, index = indexes(spark, d, folder)
+        return S.cut(hybrid.reranked(index, hybrid.candidates(spark, vectors, index, batch(spark, d)), asks(spark, d)))
 
 
-@query()
+@query(f"WITH {MANY}, {BATCH}, own AS (SELECT DISTINCT qid, term FROM qt), {AGAIN}, {ADAPT} SELECT * FROM cutted")
 def hybrid_batch(spark, d):
-    return search.adaptive_k(batch_reranked(spark, d, asks(spark, d)), 6)
+    with S.scratch(spark) as folder:
+        return S.cut(hybrid.retrieve(spark, *indexes(spark, d, folder), batch(spark, d)))
 
 
 @query(f"WITH {DENSE}, hits AS (SELECT qid, id, score FROM dense WHERE rank <= 12), {ADAPT} SELECT * FROM cutted")
@@ -709,10 +726,13 @@ def fiscal_years(spark, d):
     return asked(spark, d).select("qid", Q.fiscal_year(F.col("question")).alias("fy"))
 
 
-@query(f"""WITH {FACTS}, {QUESTIONS}, s AS (SELECT qid, 'S' || regexp_extract(question, '\\bS(\\d+)\\b', 1) AS ticker FROM q WHERE regexp_matches(question, '\\bS\\d+\\b')), known AS (SELECT qid, ticker FROM s SEMI JOIN (SELECT 'S' || s_suppkey AS ticker FROM supplier) USING (ticker)),
+NUMERIC = f"""s AS (SELECT qid, 'S' || regexp_extract(question, '\\bS(\\d+)\\b', 1) AS ticker FROM q WHERE regexp_matches(question, '\\bS\\d+\\b')), known AS (SELECT qid, ticker FROM s SEMI JOIN (SELECT 'S' || s_suppkey AS ticker FROM supplier) USING (ticker)),
 named AS (SELECT qid, arg_max('S' || s_suppkey, length(s_name)) AS ticker FROM q JOIN supplier ON contains(lower(question), lower(s_name)) GROUP BY qid), t AS (SELECT qid, coalesce(known.ticker, named.ticker) AS ticker FROM known FULL JOIN named USING (qid)),
-m AS (SELECT qid, arg_max(metric, length(alias)) AS metric FROM q JOIN (VALUES {values(ALIASES)}) a(alias, metric) ON contains(lower(question), alias) GROUP BY qid), y AS (SELECT qid, {YEAR} AS fy FROM q)
-SELECT qid, t.ticker, metric, period_end, val FROM t JOIN m USING (qid) JOIN y USING (qid) JOIN resolved r ON r.ticker = t.ticker AND r.concept = metric AND (fy IS NULL OR fy = year(period_end)) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY period_end DESC) = 1""")
+m AS (SELECT qid, arg_max(metric, length(alias)) AS metric FROM q JOIN (VALUES {values(ALIASES)}) a(alias, metric) ON contains(lower(question), alias) GROUP BY qid), y AS (SELECT qid, {YEAR} AS fy FROM q),
+nums AS (SELECT qid, t.ticker, metric, period_end, val FROM t JOIN m USING (qid) JOIN y USING (qid) JOIN resolved r ON r.ticker = t.ticker AND r.concept = metric AND (fy IS NULL OR fy = year(period_end)) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY period_end DESC) = 1)"""
+
+
+@query(f"WITH {FACTS}, {QUESTIONS}, {NUMERIC} SELECT * FROM nums")
 def numeric_answer(spark, d):
     companies = S.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("name"))
     return Q.numeric_answers(asked(spark, d), companies, spark.createDataFrame(ALIASES, "alias string, metric string"), resolved(spark, d), SYMBOL)
@@ -1231,3 +1251,126 @@ def facts_as_of(spark, d):
     filings = f.where("concept = 'A'").groupBy("ticker", F.date_add("filed", 30).alias("day")).agg(F.max("val").alias("val"), F.count("*").alias("lines"))
     asks_ = f.select("ticker", F.col("filed").alias("day"), F.col("seq1").alias("orderkey"), F.col("seq2").alias("line"))
     return asof.as_of(asks_, filings, ["ticker"], "day", ["val", "lines"])
+
+
+@query(rf"""WITH {FACTS}, {QUESTIONS}, {EXPANDED}, {NUMERIC}, wide AS (SELECT qid, any_value(question) || ' ' || coalesce(string_agg(DISTINCT term, ' ') FILTER (NOT contains(low, term)), '') AS qtext FROM q JOIN (SELECT qid, low, unnest(CASE WHEN len(ts) > 0 THEN ts ELSE [NULL] END) AS term FROM terms) USING (qid) GROUP BY qid),
+qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({TOKENS.replace("text", "qtext")}) AS term FROM wide) GROUP BY ALL), {BATCH}, own AS (SELECT DISTINCT qid, unnest({TOKENS.replace("text", "question")}) AS term FROM q), {AGAIN}, {ADAPT},
+best3 AS (SELECT c.qid, c.id, c.rank, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS flat, regexp_extract_all(lower(q.question), '[a-z0-9]+') AS asked FROM cutted c JOIN documents d ON d.doc_id = c.id JOIN q ON q.qid = c.qid WHERE c.rank <= 3),
+split AS (SELECT qid, rank, asked, string_split(regexp_replace(flat, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM best3), each AS (SELECT qid, rank, asked, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS i FROM split),
+chosen AS (SELECT qid, rank, sentence FROM each WHERE sentence <> '' QUALIFY row_number() OVER (PARTITION BY qid, rank ORDER BY len(list_intersect(list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9]+')), asked)) DESC, i) = 1),
+ext AS (SELECT qid, string_agg(sentence || ' [' || rank || ']', ' ' ORDER BY rank) AS answer FROM chosen GROUP BY qid),
+fact AS (SELECT qid, ticker || ' reported ' || metric || ' of ' || printf('%.2f', val) || ' USD for the period ending ' || period_end || '. [F]' AS fact FROM nums)
+SELECT qid, concat_ws(' ', fact, answer) AS answer FROM q LEFT JOIN fact USING (qid) LEFT JOIN ext USING (qid) WHERE concat_ws(' ', fact, answer) <> ''""")
+def hybrid_answers(spark, d):
+    """Every supplier's question: widened, looked for in both indexes, ranked again, cut, and answered with its fact and the best sentences."""
+    q = asked(spark, d)
+    more = spark.createDataFrame([(i, *r) for i, r in enumerate(SYNONYMS)], "pos int, key string, synonym string")
+    vectors = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    facts = numeric_answer(spark, d).withColumnRenamed("metric", "concept")
+    lines = facts.select("qid", extract.fact_line().alias("line"))
+    texts = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    with S.scratch(spark) as folder:
+        asked_ = S.cut(q.join(Q.widened(q, more), "qid").join(vectors, "qid", "left"))
+        hits = S.cut(hybrid.retrieve(spark, *indexes(spark, d, folder), asked_))
+    return hybrid.answers(hits, texts, q, lines)
+
+
+# ---- tenants, walks, sketches, phrases ----------------------------------------------------------------------------------------------
+
+POLICIES = [
+    security.Policy("nation", "n_nationkey"), security.Policy("customer", "c_nationkey", "nation", "n_nationkey"), security.Policy("supplier", "s_nationkey", "nation", "n_nationkey"), security.Policy("orders", "o_custkey", "customer", "c_custkey"),
+    security.Policy("lineitem", "l_orderkey", "orders", "o_orderkey"), security.Policy("events", "user_id", "customer", "c_custkey"),
+]
+KEYS = {"nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
+OF_ORG = """nation0 AS (SELECT n_nationkey AS k, n_nationkey AS org FROM nation), customer0 AS (SELECT c_custkey AS k, c_nationkey AS org FROM customer), supplier0 AS (SELECT s_suppkey AS k, s_nationkey AS org FROM supplier), orders0 AS (SELECT o_orderkey AS k, org FROM orders JOIN customer0 ON o_custkey = k),
+lineitem0 AS (SELECT l_orderkey AS k, org FROM lineitem JOIN orders0 ON l_orderkey = k), events0 AS (SELECT event_id AS k, org FROM events JOIN customer0 ON user_id = k)"""
+
+
+def secured(spark, d):
+    return security.Secured({t: S.table(spark, d, t) for t in KEYS}, POLICIES)
+
+
+def counted(tables: dict[str, DataFrame]) -> DataFrame:
+    each = [df.agg(F.count("*").alias("n"), F.sum(F.col(KEYS[t]).cast("long")).alias("keys")).select(F.lit(t).alias("table"), "n", "keys") for t, df in tables.items()]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+@query(f"WITH {OF_ORG} " + " UNION ALL ".join(f"SELECT {o} AS org, '{t}' AS \"table\", count(*) AS n, sum(k)::BIGINT AS keys FROM {t}0 WHERE org = {o}" for o in (3, 7) for t in KEYS))
+def secured_rows(spark, d):
+    """What two tenants see of every table, by their nation, through up to two parents."""
+    s = secured(spark, d)
+    return functools.reduce(DataFrame.unionByName, [counted({t: s.view(t, o) for t in KEYS}).select(F.lit(o).alias("org"), "table", "n", "keys") for o in (3, 7)])
+
+
+@query(f"WITH {OF_ORG} " + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) - count(*) AS n, ((SELECT sum({KEYS[t]}) FROM {t}) - coalesce(sum(k), 0))::BIGINT AS keys FROM {t}0 WHERE org = 7" for t in KEYS))
+def erased_rows(spark, d):
+    """What is left of every table once a tenant and all that hangs on it are gone."""
+    return counted(secured(spark, d).erased(7))
+
+
+TYPED = """typed AS (SELECT 'R' || n_regionkey AS src, 'owns' AS relation, 'N' || n_nationkey AS dst FROM nation UNION ALL SELECT 'N' || s_nationkey, 'owns', 'S' || s_suppkey FROM supplier
+UNION ALL SELECT 'S' || s_suppkey, 'faces', 'N' || (s_suppkey * 7 % 25) FROM supplier UNION ALL SELECT 'S' || s_suppkey, 'has_officer', c_name FROM supplier JOIN customer ON c_custkey = s_suppkey)"""
+
+
+def typed(spark, d):
+    n, s, c = (S.table(spark, d, t) for t in ("nation", "supplier", "customer"))
+    name = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string"))
+    edge = lambda df, a, relation, b: df.select(a.alias("src"), F.lit(relation).alias("relation"), b.alias("dst"))
+    s = s.withColumn("faced", F.col("s_suppkey") * 7 % 25)
+    owns = edge(n, name("R", "n_regionkey"), "owns", name("N", "n_nationkey")).union(edge(s, name("N", "s_nationkey"), "owns", name("S", "s_suppkey")))
+    return owns.union(edge(s, name("S", "s_suppkey"), "faces", name("N", "faced"))).union(edge(s.join(c, F.col("c_custkey") == F.col("s_suppkey")), name("S", "s_suppkey"), "has_officer", F.col("c_name")))
+
+
+WALKED = f"""WITH RECURSIVE {TYPED}, w AS (SELECT DISTINCT src AS start, src AS node, 0 AS hop, NULL::VARCHAR AS relation, [src] AS path FROM typed WHERE src LIKE 'R%'
+UNION ALL SELECT w.start, e.dst, w.hop + 1, e.relation, list_append(w.path, e.dst) FROM w JOIN (SELECT DISTINCT * FROM typed) e ON e.src = w.node WHERE hop < 4 AND NOT list_contains(w.path, e.dst))"""
+
+
+def walked(spark, d):
+    e = typed(spark, d)
+    return walks.walks(e, e.where("src like 'R%'").select(F.col("src").alias("node")), 4)
+
+
+@query(f"{WALKED} SELECT start, node, hop, relation, array_to_string(path, ' > ') AS path FROM w")
+def graph_walks(spark, d):
+    """What regions reach in four steps over nations, suppliers, the nations these face, and officers."""
+    return walked(spark, d).withColumn("path", F.array_join("path", " > "))
+
+
+@query(f"{WALKED} SELECT start, node, hop, array_to_string(path, ' > ') AS path FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY hop, path) = 1)")
+def nearest_walks(spark, d):
+    return walks.nearest(walked(spark, d)).withColumn("path", F.array_join("path", " > "))
+
+
+@query(f"WITH {TYPED}, o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k, count(*) OVER (PARTITION BY src) AS n FROM (SELECT DISTINCT src, dst FROM typed WHERE relation = 'owns')) SELECT src, string_agg(dst, ', ' ORDER BY k) || CASE WHEN max(n) > 3 THEN ' +' || (max(n) - 3) || ' more' ELSE '' END AS line FROM o WHERE k <= 3 GROUP BY src")
+def subsidiary_lists(spark, d):
+    """What each region and nation owns: the first three by name, and how many more."""
+    return graph.listed(typed(spark, d).where("relation = 'owns'").select("src", F.col("dst").alias("name")), 3)
+
+
+RANGES = [(1, "2024-01-01", "2024-01-31"), (2, "2024-01-05", "2024-01-12"), (3, "2024-01-20", "2024-01-20"), (4, "2023-12-01", "2024-03-01")]
+
+
+@query(f"""WITH r AS (SELECT rid, a::DATE AS first, b::DATE AS last FROM (VALUES {", ".join(map(str, RANGES))}) v(rid, a, b)) SELECT rid, event_type AS kind, count(*) AS n, count(DISTINCT user_id) AS exact_ids, true AS ids_ok, true AS q_50_ok, true AS q_90_ok
+FROM events JOIN r ON ts::DATE BETWEEN first AND last GROUP BY ALL""")
+def sketched_ranges(spark, d):
+    """Ranges of days from daily sketches beside exact counts: whether distinct users and ranks of quantiles keep to the stated errors."""
+    e = S.table(spark, d, "events")
+    ranges = spark.createDataFrame(RANGES, "rid int, first string, last string").select("rid", F.to_date("first").alias("first"), F.to_date("last").alias("last"))
+    with S.scratch(spark) as folder:
+        sketches.daily(e, "event_type", "user_id", "value").write.parquet(folder)
+        told = S.cut(sketches.merged(spark.read.parquet(folder), ranges))
+    day = F.to_date("ts")
+    rows = e.join(F.broadcast(ranges), (day >= F.col("first")) & (day <= F.col("last"))).select("rid", F.col("event_type").alias("kind"), "user_id", "value")
+    rank = lambda q: F.avg((F.col("value") <= F.col(q)).cast("int")).alias(f"{q}_rank")
+    real = rows.join(F.broadcast(told), ["rid", "kind"]).groupBy("rid", "kind", "n", "ids", "q_50", "q_90").agg(F.countDistinct("user_id").alias("exact_ids"), rank("q_50"), rank("q_90"))
+    near = lambda c, share: (F.abs(F.col(c) - share) <= sketches.RANK_ERROR + F.lit(1.0) / F.col("n")).alias(c.replace("_rank", "_ok"))
+    return real.select("rid", "kind", "n", "exact_ids", (F.abs(F.col("ids") - F.col("exact_ids")) <= sketches.ERROR * F.col("exact_ids") + 0.5).alias("ids_ok"), near("q_50_rank", 0.5), near("q_90_rank", 0.9))
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, {TOKENS} AS ws FROM documents), p AS (SELECT DISTINCT array_to_string(ws[1:2 + id % 3], ' ') AS phrase, ws[1:2 + id % 3] AS g FROM d WHERE len(ws) > 4),
+r AS (SELECT id, i - 1 AS at_, ws[i:i + n - 1] AS g FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d), range(2, 5) t(n) WHERE i + n - 1 <= len(ws)) SELECT id, phrase, at_ AS "at" FROM r JOIN p USING (g)""")
+def phrase_hits(spark, d):
+    """How texts begin, by two to four words, as phrases; where all texts have them."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    ws = docs.select("id", T.tokens(F.coalesce("text", F.lit(""))).alias("ws")).where(F.size("ws") > 4)
+    return P.hits(docs, ws.select(F.array_join(F.slice("ws", F.lit(1), (2 + F.col("id") % 3).cast("int")), " ").alias("phrase")))
