@@ -12,6 +12,7 @@ from quarry.functions import text as T
 from quarry.operators import facts as X
 from quarry.operators import ann, asof, evaluate, extract, fielded, gate, graph, hybrid, ingest, insights, market, metering, phrases as P, search, security, segments, sketches, tenancy, valuation, walks
 from quarry.operators import questions as Q
+from quarry.sources import companyfacts
 from quarry.sources import tables as S
 from quarry.streaming import windows
 
@@ -1367,10 +1368,33 @@ def sketched_ranges(spark, d):
     return real.select("rid", "kind", "n", "exact_ids", (F.abs(F.col("ids") - F.col("exact_ids")) <= sketches.ERROR * F.col("exact_ids") + 0.5).alias("ids_ok"), near("q_50_rank", 0.5), near("q_90_rank", 0.9))
 
 
-@query(f"""WITH d AS (SELECT doc_id AS id, {TOKENS} AS ws FROM documents), p AS (SELECT DISTINCT array_to_string(ws[1:2 + id % 3], ' ') AS phrase, ws[1:2 + id % 3] AS g FROM d WHERE len(ws) > 4),
-r AS (SELECT id, i - 1 AS at_, ws[i:i + n - 1] AS g FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d), range(2, 5) t(n) WHERE i + n - 1 <= len(ws)) SELECT id, phrase, at_ AS "at" FROM r JOIN p USING (g)""")
+@query(f"""WITH d AS (SELECT doc_id AS id, {TOKENS} AS ws FROM documents), p AS (SELECT DISTINCT array_to_string(ws[1:2 + id % 3], ' ') AS phrase FROM d WHERE len(ws) > 4),
+r AS (SELECT id, i - 1 AS at_, array_to_string(ws[i:i + n - 1], ' ') AS phrase FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d), range(2, 5) t(n) WHERE i + n - 1 <= len(ws)) SELECT id, phrase, at_ AS "at" FROM r JOIN p USING (phrase)""")
 def phrase_hits(spark, d):
     """How texts begin, by two to four words, as phrases; where all texts have them."""
     docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     ws = docs.select("id", T.tokens(F.coalesce("text", F.lit(""))).alias("ws")).where(F.size("ws") > 4)
     return P.hits(docs, ws.select(F.array_join(F.slice("ws", F.lit(1), (2 + F.col("id") % 3).cast("int")), " ").alias("phrase")))
+
+
+def filed_json(spark, d, folder):
+    """Every supplier's facts as a company-facts file, and files that are none."""
+    f = S.facts(spark, d)
+    cik = F.substring("ticker", 2, 20).cast("long")
+    day = lambda c: F.col(c).cast("string").alias(c.removeprefix("period_"))
+    entry = F.struct(day("period_start"), day("period_end"), "val", F.concat_ws("-", "seq1", "seq2").alias("accn"), "form", day("filed"))
+    units = f.groupBy(cik.alias("cik"), "concept", "unit").agg(F.collect_list(entry).alias("e"))
+    concepts = units.groupBy("cik", "concept").agg(F.map_from_entries(F.collect_list(F.struct("unit", "e"))).alias("units"))
+    whole = concepts.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("units").alias("about")))).alias("c"))
+    body = F.when(F.col("cik") % 10 == 0, "{not json").otherwise(F.to_json(F.struct("cik", F.create_map(F.lit("us-gaap"), "c").alias("facts"))))
+    whole.select("cik", body.alias("value")).write.partitionBy("cik").text(folder)
+
+
+@query(f"WITH {FACTS} SELECT substr(ticker, 2)::BIGINT AS cik, concept, count(*) AS n, round(sum(val), 2) AS total FROM facts WHERE concept IN ('A', 'R') AND substr(ticker, 2)::BIGINT % 10 <> 0 GROUP BY ALL")
+def companyfacts_rows(spark, d):
+    """Two concepts of every company, read from its JSON file; one file in ten is broken and has none."""
+    companyfacts.register(spark)
+    with S.scratch(spark) as folder:
+        filed_json(spark, d, folder)
+        rows = spark.read.format("companyfacts").option("suffix", ".txt").load(folder).where(F.col("concept").isin("A", "R"))
+        return S.cut(rows.groupBy("cik", "concept").agg(F.count("*").alias("n"), F.round(F.sum("val"), 2).alias("total")))

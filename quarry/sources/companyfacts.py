@@ -1,6 +1,6 @@
 """A reader of folders of company-facts JSON: spark.read.format("companyfacts").load(folder), after register(spark).
 
-A file is one partition. Filters on cik leave out whole files by their names (CIK<number>.json); filters on taxonomy and concept leave out
+A file is one partition. Filters on cik leave out whole files by their names (CIK<number>.json, or a folder cik=<number>); filters on taxonomy and concept leave out
 what needs no look at its entries. A file that can't be parsed is one row with its error, so a batch goes on and the rest of it is not lost.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 SCHEMA = "cik long, taxonomy string, concept string, unit string, start string, end string, val double, accn string, form string, filed string, file string, error string"
-NAME = re.compile(r"CIK0*(\d+)\.json$")
+#: The number of a company in a file's name, or in that of a folder by company.
+NAME = re.compile(r"CIK0*(\d+)\.json$|/cik=(\d+)/[^/]*$")
 ENTRY = ("start", "end", "val", "accn", "form", "filed")
 
 
@@ -25,13 +26,13 @@ class File(InputPartition):
     path: str
 
 
-def files(folder: str) -> list[str]:
-    """JSON files under a folder of any file system that Arrow knows; a list of names comes to the driver, as Spark's own readers have it."""
+def files(folder: str, suffix: str = ".json") -> list[str]:
+    """Files of this suffix under a folder of any file system that Arrow knows; a list of names comes to the driver, as Spark's own readers have it."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
     found = system.get_file_info(fs.FileSelector(path, recursive=True))
-    return sorted(f.path for f in found if f.is_file and f.path.endswith(".json"))
+    return sorted(f.path for f in found if f.is_file and f.path.endswith(suffix))
 
 
 def opened(folder: str, path: str) -> bytes:
@@ -43,8 +44,8 @@ def opened(folder: str, path: str) -> bytes:
 
 
 class Reader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, suffix: str):
+        self.folder, self.suffix = folder, suffix
         self.wanted: dict[str, set] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
@@ -59,12 +60,14 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[File]:
         cik = self.wanted.get("cik")
-        return [File(p) for p in files(self.folder) if cik is None or not (m := NAME.search(p)) or int(m[1]) in cik]
+        return [File(p) for p in files(self.folder, self.suffix) if cik is None or not (m := NAME.search(p)) or int(m[1] or m[2]) in cik] or [File("")]
 
     def takes(self, name: str, value: object) -> bool:
         return name not in self.wanted or value in self.wanted[name]
 
     def read(self, partition: File) -> Iterator[tuple]:
+        if not partition.path:  # Spark wants one partition at least
+            return
         try:
             body = json.loads(opened(self.folder, partition.path))
             cik, taxonomies = int(body["cik"]), body["facts"]
@@ -89,7 +92,7 @@ class CompanyFacts(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options["path"])
+        return Reader(self.options["path"], self.options.get("suffix", ".json"))
 
 
 def register(spark: SparkSession) -> None:
