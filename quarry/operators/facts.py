@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def annual(facts: DataFrame, form: str = "10-K", days: tuple[int, int] = (300, 400)) -> DataFrame:
     """Facts of a form that cover about a year; those of an instant stay."""
     return facts.where((F.col("form") == form) & (F.col("period_start").isNull() | F.datediff("period_end", "period_start").between(*days)))
@@ -56,6 +57,19 @@ def cagr(points: DataFrame) -> DataFrame:
     return real.where("n > 1 and first > 0 and last > 0").select("ticker", F.round(F.pow(F.col("last") / F.col("first"), 1.0 / (F.col("n") - 1)) - 1, 6).alias("cagr"))
 
 
+def screen_rows(years: DataFrame) -> DataFrame:
+    """Each ticker's newest year of (ticker, year, revenue, cost, gross) with what is computed from it: margin, cost_share, growth, fcf, fcf_margin, cagr (percent), years. One pass over each ticker's years."""
+    by = Window.partitionBy("ticker").orderBy("year")
+    change = lambda new, old: F.when(old != 0, F.round((new - old) / F.abs(old) * 100, 2))
+    y = years.withColumn("old", F.lag("revenue").over(by)).withColumn("first", F.first("revenue").over(by)).withColumn("span", F.col("year") - F.first("year").over(by)).withColumn("years", F.count("*").over(Window.partitionBy("ticker")))
+    y = y.withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("year")))).where("rn = 1").withColumn("free", F.col("revenue") - F.coalesce("cost", F.lit(0.0)))
+    whole = (F.col("first") > 0) & (F.col("revenue") > 0) & (F.col("span") > 0)
+    return y.select(
+        "ticker", F.col("year").cast("long").alias("year"), "revenue", "cost", "gross", percent(F.col("gross"), F.col("revenue")).alias("margin"), percent(F.col("cost"), F.col("revenue")).alias("cost_share"), change(F.col("revenue"), F.col("old")).alias("growth"),
+        F.round("free", 2).alias("fcf"), percent(F.col("free"), F.col("revenue")).alias("fcf_margin"), F.when(whole, F.round((F.pow(F.col("revenue") / F.col("first"), 1 / F.col("span")) - 1) * 100, 2)).alias("cagr"), "years",
+    )
+
+
 OPS = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
 
 

@@ -200,6 +200,7 @@ def context(rows: DataFrame, labels: dict[str, str] | None = None) -> Column:
     """One sentence that says where a chunk is from: ticker, kind of document, title, section and date, as far as known."""
     kind = F.coalesce(*[F.when(F.col("doc_type") == k, v) for k, v in (labels or {}).items()], F.col("doc_type"))
     own = lambda c, a, b: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(a), F.col(c).cast("string"), F.lit(b))).otherwise("") if c in rows.columns else F.lit("")
+    # fixed value: the frame of the sentence
     return F.concat(F.lit("This excerpt is from "), "ticker", F.lit("'s "), kind, own("title", ' titled "', '"'), own("section", ', section "', '"'), own("filing_date", ", filed ", ""), F.lit("."))
 
 

@@ -52,6 +52,7 @@ def compliance(questions: DataFrame, hits: DataFrame, flags: DataFrame, findings
     loose = uncited(findings, hits).groupBy("qid").agg(F.count("*").alias("n_uncited"))
     r = scan_report(questions, hits, flags).join(loose, "qid", "left").na.fill(0, ["n_uncited"])
     none = F.col("scanned") == 0
+    # fixed values: what the report says
     reason = F.when(none, "No supporting evidence was retrieved for this query.").when(F.col("n_uncited") > 0, F.concat("n_uncited", F.lit(" finding(s) lacked a valid citation and were flagged."))).otherwise("")
     return r.select("qid", F.when(none, "insufficient_evidence").otherwise("ok").alias("verdict"), "n_flags", "n_uncited", reason.alias("reason"))
 

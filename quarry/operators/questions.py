@@ -58,6 +58,14 @@ def numeric_answers(questions: DataFrame, companies: DataFrame, aliases: DataFra
     return hit.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("period_end")))).where("rn = 1").select("qid", "ticker", "metric", "period_end", "val")
 
 
+def answers_first_derived(questions: DataFrame, companies: DataFrame, ratios: DataFrame, shares: DataFrame, aliases: DataFrame, points: DataFrame, symbol: str = r"\b[A-Z]{1,5}\b") -> DataFrame:
+    """(qid, ticker, metric, period_end, value, unit): a derived metric that a question names (ratios: alias, metric; shares: ticker, concept, period_end, value, unit) before a filed figure (aliases, points)."""
+    pick = lambda names, rows: numeric_answers(questions, companies, names, rows.withColumn("val", F.struct("value", "unit")), symbol)
+    first, then = pick(ratios, shares), pick(aliases, points)
+    every = first.withColumn("place", F.lit(1)).unionByName(then.withColumn("place", F.lit(2)))
+    return every.groupBy("qid").agg(F.min_by(F.struct("ticker", "metric", "period_end", "val.value", "val.unit"), "place").alias("a")).select("qid", "a.*")
+
+
 def expanded(questions: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(qid, terms): what a search for the question also looks for, without what it says already, each once, in order.
 

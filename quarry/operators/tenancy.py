@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,29 @@ def invitations(wanted: DataFrame, taken: DataFrame) -> DataFrame:
 def newest(rows: DataFrame, key: str, value: int | str, order: str, most: int) -> DataFrame:
     """A tenant's rows, newest first, at most so many."""
     return rows.where(F.col(key) == value).orderBy(F.desc(order)).limit(most)
+
+
+def said_in(meta: Column) -> tuple[Column, Column]:
+    """Verdict and route out of an answer's JSON: {"gate": {"verdict": ...}, "route": ...}; null where it has none."""
+    return F.get_json_object(meta, "$.gate.verdict"), F.get_json_object(meta, "$.route")
+
+
+def conversation_text(turns: DataFrame) -> DataFrame:
+    """(conv_id, markdown) of (conv_id, turn, role, text, meta): turns in order under their roles, an answer's verdict and route beside its role."""
+    verdict, route = said_in(F.col("meta"))
+    head = F.concat(F.lit("## "), "role", F.coalesce(F.concat(F.lit(" ("), F.concat_ws(", ", verdict, route), F.lit(")")), F.lit("")))
+    line = F.struct("turn", F.concat(F.when(verdict.isNull() & route.isNull(), F.concat(F.lit("## "), "role")).otherwise(head), F.lit("\n"), "text").alias("line"))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda t: t["line"]), "\n").alias("markdown"))
+
+
+CSV = {"header": "true", "quoteAll": "true", "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "nullValue": "\\N", "emptyValue": ""}
+
+
+def write_csv(turns: DataFrame, folder: str) -> None:
+    """Turns with verdict and route as CSV files: every value in quotes, quotes doubled, \\N for null."""
+    verdict, route = said_in(F.col("meta"))
+    turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), verdict.alias("verdict"), route.alias("route")).write.mode("overwrite").options(**CSV).csv(folder)
+
+
+def read_csv(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("conv_id long, turn int, role string, text string, verdict string, route string").options(**CSV).csv(folder)

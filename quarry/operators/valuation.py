@@ -78,6 +78,12 @@ def money(value: Column, unit: Column) -> Column:
     return F.when(unit == "percent", F.format_string("%.2f%%", value)).when(unit == "USD/shares", F.concat(F.lit("$"), F.format_number(value, 2), F.lit(" per share"))).when(unit == "shares", F.concat(whole(value), F.lit(" shares"))).otherwise(F.concat(F.lit("$"), whole(value)))
 
 
+def peers(companies: DataFrame, quoted: DataFrame, latest: DataFrame) -> DataFrame:
+    """(ticker, name, price, change, change_pct, market_cap, pe, revenue, margin) of companies (ticker, name, shares): quotes and newest fundamentals where there are any."""
+    out = companies.join(quoted.select("ticker", "price", "change", "change_pct", "pe"), "ticker", "left").join(latest.select("ticker", "revenue", "gross"), "ticker", "left")
+    return out.select("ticker", "name", "price", "change", "change_pct", F.round(F.col("price") * F.col("shares"), 2).alias("market_cap"), "pe", "revenue", F.when(F.col("revenue") != 0, F.round(F.col("gross") / F.col("revenue") * 100, 2)).alias("margin"))
+
+
 def income_links(rows: DataFrame) -> DataFrame:
     """(ticker, year, source, target, value): what revenue splits into, down to net income, from (ticker, year, revenue, cogs, gross, rnd, sga, operating, net).
 

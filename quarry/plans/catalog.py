@@ -464,8 +464,11 @@ EXTRA = [(5, " Check: 10 + 5 = 99."), (4, " Check: 10 + 5 = 15."), (7, " Prospec
 ANSWERS = rf"""{FACTS}, lined AS (SELECT ticker, ticker || ':' || concept || ':' || year(period_end) AS id, concept, period_end, val, ticker || ' reported ' || concept || ' of ' || printf('%.2f', val) || ' USD for the period ending ' || period_end || '.' AS line, row_number() OVER (PARTITION BY ticker ORDER BY concept, period_end) AS n FROM resolved),
 told AS (SELECT ticker, string_agg(line, ' ' ORDER BY concept, period_end) AS evidence FROM lined GROUP BY ticker),
 a AS (SELECT id, n, CASE WHEN n % 17 = 0 THEN '' ELSE CASE WHEN n % 3 = 0 THEN replace(line, printf('%.2f', val), printf('%.2f', val + 1111.11)) ELSE line END {"".join(f" || CASE WHEN n % {k} = 0 THEN '{t}' ELSE '' END" for k, t in EXTRA)} END AS answer, CASE WHEN n % 13 <> 0 THEN evidence END AS evidence FROM lined JOIN told USING (ticker)),
-f AS (SELECT *, list_filter(list_transform(regexp_extract_all(answer, '(?i)\$?\d[\d,]*(?:\.\d+)?\s?(?:billion|million|thousand|bn|mm|%)?'), lambda t: rtrim(trim(t), ',.')), lambda t: regexp_matches(t, '(?i)[$%]|billion|million|thousand|bn|mm') OR length(regexp_replace(t, '\D', '', 'g')) >= 3) AS figures FROM a),
+{{JUDGED}}"""
+#: Of answers a (id, answer, evidence) the figures, and those without ground.
+JUDGED = r"""f AS (SELECT *, list_filter(list_transform(regexp_extract_all(answer, '(?i)\$?\d[\d,]*(?:\.\d+)?\s?(?:billion|million|thousand|bn|mm|%)?'), lambda t: rtrim(trim(t), ',.')), lambda t: regexp_matches(t, '(?i)[$%]|billion|million|thousand|bn|mm') OR length(regexp_replace(t, '\D', '', 'g')) >= 3) AS figures FROM a),
 g AS (SELECT *, list_filter(figures, lambda t: NOT contains(regexp_replace(coalesce(evidence, ''), '\D', '', 'g'), regexp_replace(t, '\D', '', 'g'))) AS ungrounded FROM f)"""
+ANSWERS = ANSWERS.replace("{JUDGED}", JUDGED)
 
 
 @query(f"WITH {ANSWERS} SELECT id, len(figures)::BIGINT AS figures, len(ungrounded)::BIGINT AS ungrounded FROM g")
@@ -486,7 +489,7 @@ def answers(spark, d):
     return lined.join(told, "ticker").select(ident.alias("id"), F.when(n % 17 == 0, "").otherwise(text).alias("answer"), F.when(n % 13 != 0, F.col("evidence")).alias("evidence"))
 
 
-VERDICT = rf"""WITH {ANSWERS}, k AS (SELECT *, list_distinct(regexp_extract_all(lower(coalesce(evidence, '')), '[a-z0-9]+')) AS known,
+VERDICT_OF = r"""k AS (SELECT *, list_distinct(regexp_extract_all(lower(coalesce(evidence, '')), '[a-z0-9]+')) AS known,
   list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS parts FROM g),
 u AS (SELECT *, list_filter(parts, lambda s: len(regexp_extract_all(lower(regexp_replace(s, '\[\d+\]', '', 'g')), '[a-z0-9]+')) >= 4 AND NOT regexp_matches(s, '\[\d+\]')
   AND len(list_filter(regexp_extract_all(lower(s), '[a-z0-9]+'), lambda w: list_contains(known, w))) < 0.18 * len(regexp_extract_all(lower(s), '[a-z0-9]+'))) AS loose,
@@ -499,6 +502,7 @@ w AS (SELECT *, CASE WHEN missing IS NOT NULL THEN 0 ELSE round(greatest(0, 1 -
 SELECT id, n_sentences::INTEGER AS n_sentences, n_ungrounded::INTEGER AS n_ungrounded, n_unsupported::INTEGER AS n_unsupported, n_wrong::INTEGER AS n_wrong, n_material::INTEGER AS n_material, score,
   missing IS NULL AND n_ungrounded = 0 AND n_wrong = 0 AND n_material = 0 AND score >= 0.34 AS passed,
   coalesce(missing, nullif(concat_ws('; ', CASE WHEN n_ungrounded > 0 THEN n_ungrounded || ' ungrounded figure(s)' END, CASE WHEN n_unsupported > 0 THEN n_unsupported || ' unsupported statement(s)' END), ''), 'All claims grounded in cited evidence.') AS reason FROM w"""
+VERDICT = f"WITH {ANSWERS}, {VERDICT_OF}"
 
 
 @query(VERDICT)
@@ -1398,3 +1402,191 @@ def companyfacts_rows(spark, d):
         filed_json(spark, d, folder)
         rows = spark.read.format("companyfacts").option("suffix", ".txt").load(folder).where(F.col("concept").isin("A", "R"))
         return S.cut(rows.groupBy("cik", "concept").agg(F.count("*").alias("n"), F.round(F.sum("val"), 2).alias("total")))
+
+
+# ---- risks by year, calculations, roles, texts made of tables -------------------------------------------------------------------------
+
+
+def filed_chunks(spark, d):
+    """Chunks with a section and a filing date, by their number."""
+    k = F.col("chunk_id")
+    return S.chunks(spark, d).select("*", F.when(k % 4 > 0, "Item 1A. Risk Factors").otherwise("Item 7.").alias("section"), F.make_date((2021 + k % 3).cast("int"), F.lit(3), F.lit(1)).alias("filing_date"))
+
+
+RISKS = f"""risk AS (SELECT doc_id, upper(source) AS ticker, (2021 + doc_id % 3)::VARCHAR AS year, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, text FROM documents WHERE doc_id % 4 > 0),
+yrs AS (SELECT ticker, year, row_number() OVER (PARTITION BY ticker ORDER BY year DESC) AS place FROM (SELECT DISTINCT ticker, year FROM risk))"""
+
+
+@query(f"""WITH {EDGES}, {RISKS}, m AS (SELECT e.ticker, topic, year, chunk_id FROM edges e JOIN risk ON doc_id = chunk_id), y AS (SELECT ticker, year, row_number() OVER (PARTITION BY ticker ORDER BY year DESC) AS place FROM (SELECT DISTINCT ticker, year FROM m)),
+b AS (SELECT ticker, topic, count(*) FILTER (place = 1) AS n1, count(*) FILTER (place = 2) AS n2 FROM m JOIN y USING (ticker, year) WHERE place <= 2 GROUP BY ALL)
+SELECT ticker, topic, CASE WHEN n2 = 0 THEN 'new' WHEN n1 = 0 THEN 'removed' ELSE 'escalated' END AS change FROM b WHERE (n2 = 0 OR n1 = 0 OR n1 > n2) AND ticker IN (SELECT ticker FROM y WHERE place = 2)""")
+def risk_diff(spark, d):
+    """What each company's risk sections of its newest year say more, anew or no longer, against the year before."""
+    risky = insights.risk_sections(filed_chunks(spark, d))
+    mentions = graph.topic_edges(risky, phrases(spark)).join(risky.select("chunk_id", "year"), "chunk_id").select("ticker", "year", "topic")
+    return insights.risk_changes(mentions)
+
+
+@query(f"WITH {RISKS}, f AS (SELECT r.*, row_number() OVER (PARTITION BY ticker, year ORDER BY doc_id) AS k FROM risk r JOIN yrs USING (ticker, year) WHERE place <= 2) SELECT ticker, year, string_agg(left(text, 900), chr(10) || chr(10) ORDER BY k) AS text FROM f WHERE k <= 12 GROUP BY ALL")
+def risk_texts(spark, d):
+    """The risk sections of each company's two newest years, cut for a reader."""
+    return insights.risk_text(insights.newest_years(insights.risk_sections(filed_chunks(spark, d)), 2))
+
+
+@query("SELECT user_id AS ticker, min(ts::DATE) FILTER (ts::DATE > DATE '2024-01-20' AND event_id % 4 = 0) AS next FROM events GROUP BY user_id")
+def next_earnings(spark, d):
+    e = S.table(spark, d, "events").select(F.col("user_id").alias("ticker"), F.to_date("ts").alias("d"), F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("eps_reported"))
+    return market.next_earnings(e, "2024-01-20")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN value::DOUBLE WHEN 3 THEN value::DOUBLE END AS value FROM events")
+def coerced_numbers(spark, d):
+    """Numbers among what isn't one."""
+    k, v = F.col("event_id") % 4, F.col("value").cast("string")
+    text = F.when(k == 0, v).when(k == 1, F.concat(v, F.lit(" n/a"))).when(k == 2, "NaN").otherwise(F.concat(F.lit(" "), v))
+    return S.table(spark, d, "events").select("event_id", market.number(text).alias("value"))
+
+
+ROLES = [("AUTOMOBILE", 1), ("BUILDING", 2), ("FURNITURE", 3), ("MACHINERY", 4)]
+
+
+@query(f"SELECT c_custkey, c_mktsegment AS role FROM customer JOIN (VALUES {values(ROLES)}) r(role, rank) ON role = c_mktsegment WHERE rank >= 2")
+def roles_at_least(spark, d):
+    """Members whose role ranks as high as one or higher; a role that isn't ranked has none."""
+    c = S.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("role"))
+    return tenancy.ranked_at_least(c, spark.createDataFrame(ROLES, "role string, rank int"), "BUILDING").select("c_custkey", "role")
+
+
+@query("""WITH u AS (SELECT n_nationkey AS org, greatest(0, 40 - count(c_custkey)) AS free FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 3000) ON c_nationkey = n_nationkey GROUP BY 1),
+w AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_name) AS turn FROM customer WHERE c_acctbal <= 3000) SELECT c_nationkey AS org_id, c_custkey FROM w JOIN u ON org = c_nationkey WHERE turn <= free""")
+def invited(spark, d):
+    """Invitations that still find a seat, in their order."""
+    c = S.table(spark, d, "customer").select(F.col("c_nationkey").alias("org_id"), F.col("c_name").alias("email"), F.col("c_acctbal").alias("ts"), "c_custkey")
+    limits = S.table(spark, d, "nation").select(F.col("n_nationkey").alias("org_id"), F.lit(40).alias("seats"))
+    taken = tenancy.seats(c.where("ts > 3000"), c.limit(0).withColumn("status", F.lit("pending")), limits)
+    return tenancy.invitations(c.where("ts <= 3000"), taken).select("org_id", "c_custkey")
+
+
+@query(f"""WITH {FACTS}, y AS (SELECT ticker, year, revenue, gross, lag(revenue) OVER w AS old, first_value(revenue) OVER w AS first, year - first_value(year) OVER w AS years FROM yearly WINDOW w AS (PARTITION BY ticker ORDER BY year))
+SELECT ticker, year, round(CASE WHEN old <> 0 THEN (revenue - old) / abs(old) * 100 END, 4) AS change_pct, round(CASE WHEN first > 0 AND revenue > 0 AND years > 0 THEN (pow(revenue / first, 1.0 / years) - 1) * 100 END, 4) AS cagr_pct, round(CASE WHEN revenue <> 0 THEN gross / revenue END, 6) AS ratio FROM y""")
+def calculated(spark, d):
+    by = Window.partitionBy("ticker").orderBy("year")
+    y = yearly(spark, d).withColumn("old", F.lag("revenue").over(by)).withColumn("first", F.first("revenue").over(by)).withColumn("years", F.col("year") - F.first("year").over(by))
+    made = [valuation.percent_change(F.col("old"), F.col("revenue")), valuation.cagr_percent(F.col("first"), F.col("revenue"), F.col("years")), valuation.ratio(F.col("gross"), F.col("revenue"))]
+    return y.select("ticker", F.col("year").cast("long").alias("year"), *[F.round(c, n).alias(a) for c, n, a in zip(made, (4, 4, 6), ("change_pct", "cagr_pct", "ratio"), strict=True)])
+
+
+@query(f"""WITH {FACTS} SELECT ticker, concept, period_end, CASE concept WHEN 'A' THEN '$' || format('{{:,}}', round_even(val, 0)::BIGINT) WHEN 'N' THEN '$' || format('{{:,}}', trunc(val)::BIGINT) || right(printf('%.2f', val), 3) || ' per share' ELSE printf('%.2f', val) || '%' END AS said FROM resolved""")
+def formatted_facts(spark, d):
+    """Values as text: money, money a share, percent."""
+    unit = F.when(F.col("concept") == "A", "USD").when(F.col("concept") == "N", "USD/shares").otherwise("percent")
+    return resolved(spark, d).select("ticker", "concept", "period_end", valuation.money(F.col("val"), unit).alias("said"))
+
+
+NAMES, TITLES = ["Jane Doe", "John Q. Roe", "Mary Ann", "bob low"], ["Chief Financial Officer", "President", "General Counsel", "a clerk"]
+
+
+@query(f"SELECT s_suppkey AS id, {NAMES!r}[s_suppkey % 4 + 1] AS name, {TITLES!r}[s_suppkey // 4 % 4 + 1] AS title FROM supplier WHERE s_suppkey % 4 < 3 AND s_suppkey // 4 % 4 < 3 UNION ALL SELECT s_suppkey, 'Ann Bee', 'Chairwoman' FROM supplier")
+def officers_found(spark, d):
+    """Who signs for each supplier; some names and titles are none."""
+    k = F.col("s_suppkey")
+    pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), (i % 4 + 1).cast("int"))
+    text = F.concat(F.lit("Signed by "), pick(NAMES, k), F.lit(", our "), pick(TITLES, F.floor(k / 4)), F.lit(", and by Ann Bee, the Chairwoman."))
+    return extract.officers(S.table(spark, d, "supplier").select(k.alias("id"), text.alias("text")))
+
+
+@query("SELECT DISTINCT s_nationkey AS id, s_name || CASE s_suppkey % 4 WHEN 0 THEN ' LLC' ELSE ' Inc' END AS name FROM supplier WHERE s_suppkey % 4 < 2")
+def subsidiaries_found(spark, d):
+    """What each nation's list names: lines with a place, bullets, headings, prose, and lines that stand twice."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    line = F.when(k % 4 == 0, F.concat(name, F.lit(" LLC   Delaware"))).when(k % 4 == 1, F.concat(F.lit("• "), name, F.lit(" Inc | Spain"))).when(k % 4 == 2, "List of subsidiaries").otherwise("what follows is a line of prose")
+    s = S.table(spark, d, "supplier").select(F.col("s_nationkey").alias("id"), F.when(k % 4 < 2, F.concat(line, F.lit("\n"), F.upper(line))).otherwise(line).alias("line"), k)
+    texts = s.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return extract.subsidiaries(texts)
+
+
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN turn WHEN 1 THEN turn END::BIGINT AS found FROM conversations")
+def json_found(spark, d):
+    """A number out of answers that hold JSON: fenced, in prose, broken, none."""
+    t = F.col("turn")
+    body = F.concat(F.lit('{"turn": '), t.cast("string"), F.lit("}"))
+    text = F.when(t % 4 == 0, F.concat(F.lit("So:\n```json\n"), body, F.lit("\n```\nDone."))).when(t % 4 == 1, F.concat(F.lit("It is "), body, F.lit(" then."))).when(t % 4 == 2, F.lit('{"turn": ')).otherwise("none")
+    return S.table(spark, d, "conversations").select("conv_id", "turn", F.get_json_object(extract.loose_json(text), "$.turn").cast("long").alias("found"))
+
+
+@query(r"""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN CASE WHEN turn % 4 = 1 THEN 'passed' ELSE 'failed' END END AS verdict, CASE WHEN role = 'assistant' THEN 'simple' END AS route, text FROM conversations)
+SELECT conv_id, string_agg('## ' || role || CASE WHEN verdict IS NOT NULL THEN ' (' || verdict || ', ' || route || ')' ELSE '' END || chr(10) || text, chr(10) ORDER BY turn) AS markdown FROM m GROUP BY conv_id""")
+def verdict_export(spark, d):
+    """Conversations as text, with the verdict and the route that each answer's JSON has."""
+    meta = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.struct(F.when(F.col("turn") % 4 == 1, "passed").otherwise("failed").alias("verdict")).alias("gate"), F.lit("simple").alias("route"))))
+    return tenancy.conversation_text(S.table(spark, d, "conversations").withColumn("meta", meta))
+
+
+@query("SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN CASE WHEN turn % 4 = 1 THEN 'passed' ELSE 'failed' END END AS verdict, coalesce(text, '') AS text FROM conversations")
+def csv_export(spark, d):
+    """The same as rows of CSV files, written and read back."""
+    meta = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.struct(F.when(F.col("turn") % 4 == 1, "passed").otherwise("failed").alias("verdict")).alias("gate"))))
+    with S.scratch(spark) as folder:
+        tenancy.write_csv(S.table(spark, d, "conversations").withColumn("meta", meta), folder)
+        return S.cut(tenancy.read_csv(spark, folder).select("conv_id", "turn", "role", "verdict", "text"))
+
+
+RATIO_ALIASES, FIGURE_ALIASES = [("margin", "R/A"), ("profit margin", "R/A"), ("cost share", "N/A")], [("net sales", "A"), ("gross profit", "R"), ("cost of sales", "N")]
+WANTED = ["What is the profit margin of S", "How much were the net sales of S", "Tell me the cost share and net sales of S", "And the weather of S"]
+
+
+@query(f"""WITH {FACTS}, q AS (SELECT s_suppkey AS qid, {WANTED!r}[s_suppkey % 4 + 1] || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN ' in FY96' ELSE '' END AS question, CASE WHEN s_suppkey % 3 = 0 THEN 2096 END AS fy FROM supplier),
+m AS (SELECT qid, arg_max(metric, length(alias)) AS metric FROM q JOIN (VALUES {values(RATIO_ALIASES)}) a(alias, metric) ON contains(lower(question), alias) GROUP BY qid), p AS (SELECT qid, arg_max(metric, length(alias)) AS metric FROM q JOIN (VALUES {values(FIGURE_ALIASES)}) a(alias, metric) ON contains(lower(question), alias) GROUP BY qid),
+r AS (SELECT x.ticker, x.period_end, x.concept || '/A' AS metric, round(x.val / y.val * 100, 2) AS value, 'percent' AS unit FROM resolved x JOIN resolved y USING (ticker, period_end) WHERE x.concept IN ('R', 'N') AND y.concept = 'A' AND y.val <> 0),
+every AS (SELECT qid, metric, period_end, value, unit, 1 AS place FROM q JOIN m USING (qid) JOIN r USING (metric) WHERE r.ticker = 'S' || qid AND (fy IS NULL OR fy = year(period_end)) UNION ALL SELECT qid, metric, period_end, val, 'USD', 2 FROM q JOIN p USING (qid) JOIN resolved c ON c.concept = metric WHERE c.ticker = 'S' || qid AND (fy IS NULL OR fy = year(period_end)))
+SELECT qid, 'S' || qid AS ticker, metric, period_end, value, unit FROM every QUALIFY row_number() OVER (PARTITION BY qid ORDER BY place, period_end DESC) = 1""")
+def derived_answer(spark, d):
+    """Questions that name a derived metric get it; else the filed figure they name. A year that isn't there has no answer."""
+    k = F.col("s_suppkey")
+    text = F.concat(F.element_at(F.array(*map(F.lit, WANTED)), (k % 4 + 1).cast("int")), k.cast("string"), F.when(k % 3 == 0, " in FY96").otherwise(""))
+    q = S.table(spark, d, "supplier").select(k.alias("qid"), text.alias("question"))
+    companies = S.table(spark, d, "supplier").select(F.concat(F.lit("S"), k.cast("string")).alias("ticker"), F.col("s_name").alias("name"))
+    p = S.cut(resolved(spark, d))
+    share = lambda c: valuation.derived(p, c, "A").withColumn("concept", F.lit(f"{c}/A"))
+    table = lambda rows: spark.createDataFrame(rows, "alias string, metric string")
+    return Q.answers_first_derived(q, companies, table(RATIO_ALIASES), share("R").unionByName(share("N")), table(FIGURE_ALIASES), p.withColumn("value", F.col("val")), SYMBOL)
+
+
+TEN = ["revenue", "cost", "gross", "margin", "cost_share", "growth", "fcf", "fcf_margin", "cagr", "years"]
+
+
+@query(f"""WITH {FACTS}, y AS (SELECT *, revenue - coalesce(cost, 0) AS fcf, lag(revenue) OVER w AS old, count(*) OVER (PARTITION BY ticker) AS years, first_value(revenue) OVER w AS first, year - first_value(year) OVER w AS span, row_number() OVER (PARTITION BY ticker ORDER BY year DESC) AS rn FROM yearly WINDOW w AS (PARTITION BY ticker ORDER BY year)),
+t AS (SELECT ticker, year, revenue, cost, gross, round(gross / nullif(revenue, 0) * 100, 2) AS margin, round(cost / nullif(revenue, 0) * 100, 2) AS cost_share, round((revenue - old) / abs(nullif(old, 0)) * 100, 2) AS growth, round(fcf, 2) AS fcf, round(fcf / nullif(revenue, 0) * 100, 2) AS fcf_margin, CASE WHEN first > 0 AND revenue > 0 AND span > 0 THEN round((pow(revenue / first, 1.0 / span) - 1) * 100, 2) END AS cagr, years FROM y WHERE rn = 1)
+SELECT * FROM t WHERE growth > -50 AND margin <= 400 AND years >= 2""")
+def screener_table(spark, d):
+    """All ten fields of each company's newest year, in one job, and those that pass three filters."""
+    return X.screen(X.screen_rows(yearly(spark, d)), [("growth", ">", -50.0), ("margin", "<=", 400.0), ("years", ">=", 2)], "revenue").select("ticker", "year", *TEN)
+
+
+@query(f"""WITH {FACTS}, {PRICES}, {SCREEN}, l AS (SELECT ticker, arg_max(close, d) AS c1, count(*) AS n FROM prices GROUP BY ticker), m AS (SELECT ticker, close AS c2 FROM prices QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY d DESC) = 2),
+q AS (SELECT 'S' || ticker AS ticker, c1 AS price, c2 AS previous, c1 / 20 - 2 AS eps FROM l LEFT JOIN m USING (ticker))
+SELECT s.ticker, s_name AS name, price, round(price - previous, 4) AS change, CASE WHEN previous <> 0 THEN round((price - previous) / previous * 100, 2) END AS change_pct, round(price * (1000 + s_suppkey), 2) AS market_cap, CASE WHEN eps > 0 THEN round(price / eps, 2) END AS pe, revenue, CASE WHEN revenue <> 0 THEN round(gross / revenue * 100, 2) END AS margin
+FROM (SELECT *, 'S' || s_suppkey AS ticker FROM supplier) s LEFT JOIN q USING (ticker) LEFT JOIN latest ON latest.ticker = s.ticker""")
+def peer_rows(spark, d):
+    """Every company with its quote, market value, P/E and newest fundamentals, whatever of these there is."""
+    s = S.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), F.col("s_name").alias("name"), (F.col("s_suppkey") + 1000).alias("shares"))
+    p = S.prices(spark, d).withColumn("ticker", F.concat(F.lit("S"), F.col("ticker").cast("string")))
+    eps = p.groupBy("ticker").agg((F.max_by("close", "d") / 20 - 2).alias("eps"))
+    quoted = market.quotes(eps.select("ticker", F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("previous"), "eps"), p)
+    return valuation.peers(s, quoted, latest_year(spark, d))
+
+
+@query(f"""WITH {BENCH}, {BM25}, top3 AS (SELECT qid, id, rank, text FROM lexical JOIN documents ON doc_id = id WHERE rank <= 3), a AS (SELECT qid AS id, trim(regexp_replace(left(any_value(text) FILTER (rank = 1), 200), '\\s+', ' ', 'g')) || CASE WHEN qid % 3 > 0 THEN ' [1]' ELSE ' Nobody expects any stranger conclusions whatsoever.' END AS answer, string_agg(text, ' ' ORDER BY rank) AS evidence FROM top3 GROUP BY qid),
+{JUDGED}, verdicts AS (WITH {VERDICT_OF}), hit AS (SELECT DISTINCT qid FROM top3 JOIN benchmark b ON item_id = qid WHERE contains(lower(trim(regexp_replace(top3.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))))),
+each AS (SELECT item_id, (hit.qid IS NOT NULL)::INTEGER AS context_hit, (item_id % 2)::INTEGER AS answer_match, coalesce(passed, false)::INTEGER AS faithful, coalesce(regexp_matches(a.answer, '\\[\\d+\\]'), false)::INTEGER AS has_citation FROM benchmark LEFT JOIN hit ON hit.qid = item_id LEFT JOIN a ON a.id = item_id LEFT JOIN verdicts v ON v.id = item_id)
+SELECT count(*) AS n, round(avg(context_hit), 4) AS context_hit, round(avg(answer_match), 4) AS answer_match, round(avg(faithful), 4) AS faithful, round(avg(has_citation), 4) AS has_citation, round(avg(1 - faithful), 4) AS refused FROM each""")
+def eval_summary(spark, d):
+    """Retrieval, answers and the gate over all benchmark questions: an answer is the beginning of the best document, with a marker or with a sentence that nothing supports."""
+    b = S.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("gold"))
+    texts = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = S.cut(search.bm25(texts, b.select("qid", F.col("gold").alias("qtext")), 3, "id"))
+    told = hits.join(texts, "id").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("ts"))
+    said = F.concat(T.squeeze(F.left(F.col("ts")[0]["text"], F.lit(200))), F.when(F.col("qid") % 3 > 0, " [1]").otherwise(" Nobody expects any stranger conclusions whatsoever."))
+    made = S.cut(told.select("qid", said.alias("answer"), F.array_join(F.transform("ts", lambda x: x["text"]), " ").alias("evidence")))
+    verdicts = gate.verdict(made.withColumnRenamed("qid", "id"))
+    return evaluate.summary(evaluate.rows(b, hits, texts, made.withColumn("matched", F.col("qid") % 2 == 1), verdicts))
