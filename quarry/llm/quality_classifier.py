@@ -36,28 +36,36 @@ FIELDS = ["doc_id", "text", "lang", "source", "n_chars"]
 REMEMBERED, SCALE = 300_000, 8.0
 
 
-def shape_of(word: bytes) -> bytes:
-    """The kinds of a word's signs, runs of one kind as one."""
-    return RUNS.sub(rb"\1", word.translate(SHAPE))
+class Shapes(dict):
+    """Features of words' kinds of signs, by these signs one by one; there are few, and each is worked out once."""
+
+    def __missing__(self, signs: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[signs] = at = WHOLE + zlib.crc32(RUNS.sub(rb"\1", signs)) % SHAPES
+        return at
+
+
+SHAPE_AT = Shapes()
 
 
 def places(word: bytes) -> tuple[int, int]:
-    """Features of a word: itself, in lower case, and its shape."""
-    return WHOLE + SHAPES + zlib.crc32(word.lower()) % WORDS, WHOLE + zlib.crc32(shape_of(word)) % SHAPES
+    """Features of a word: itself, in lower case, and its shape: the kinds of its signs, runs of one kind as one."""
+    return WHOLE + SHAPES + zlib.crc32(word.lower()) % WORDS, SHAPE_AT[word.translate(SHAPE)]
 
 
-def whole(words: list[bytes], counts: Counter) -> dict[int, float]:
+def whole(words: list[bytes], distinct: int) -> dict[int, float]:
     n = len(words)
     if not n:
         return {}
     pairs = len(set(zip(words, words[1:], strict=False)))
-    return {0: math.log10(n), 1 + min(9, 10 * len(counts) // n): 1.0, 12 + min(9, 10 * pairs // max(1, n - 1)): 1.0, 24 + min(15, sum(map(len, words)) // n): 1.0}
+    return {0: math.log10(n), 1 + min(9, 10 * distinct // n): 1.0, 12 + min(9, 10 * pairs // max(1, n - 1)): 1.0, 24 + min(15, sum(map(len, words)) // n): 1.0}
 
 
 def content_view(text: bytes) -> dict[int, float]:
     words = text.split()
     counts = Counter(words)
-    out = whole(words, counts)
+    out = whole(words, len(counts))
     for w, k in counts.items():
         for at in places(w):
             out[at] = out.get(at, 0.0) + SCALE * k / len(words)
@@ -69,26 +77,34 @@ def metadata_view(lang: str | None, source: str | None, n_chars: int | None) ->
     return {zlib.crc32(x.encode()) % META: 1.0 for x in (f"lang {lang}", f"source {source}", f"size {size}", f"lang {lang} size {size}")}
 
 
+class Adds(dict):
+    """What each word adds to a score, worked out when first asked for."""
+
+    def __init__(self, w: np.ndarray):
+        super().__init__()
+        self.w = w.tolist()
+
+    def __missing__(self, word: bytes) -> float:
+        at, shape = places(word)
+        self[word] = adds = self.w[at] + self.w[shape]
+        return adds
+
+
 class ContentScorer:
     """The content view's raw score of a text; what a word adds is remembered."""
 
     def __init__(self, w: np.ndarray, b: float):
-        self.w, self.b, self.known = w, b, {}
+        self.w, self.b, self.adds = w, b, None
 
     def __getstate__(self) -> dict:
-        return {"w": self.w, "b": self.b, "known": {}}
+        return {"w": self.w, "b": self.b, "adds": None}
 
     def __call__(self, text: bytes) -> float:
+        if self.adds is None or len(self.adds) > REMEMBERED:
+            self.adds = Adds(self.w)
         words = text.split()
-        counts, known, total = Counter(words), self.known, 0.0
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word, k in counts.items():
-            adds = known.get(word)
-            if adds is None:
-                known[word] = adds = float(sum(self.w[i] for i in places(word)))
-            total += k * adds
-        return self.b + SCALE * total / max(1, len(words)) + sum(self.w[i] * v for i, v in whole(words, counts).items())
+        total = sum(map(self.adds.__getitem__, words))
+        return self.b + SCALE * total / max(1, len(words)) + sum(self.w[i] * v for i, v in whole(words, len(set(words))).items())
 
 
 def fields(docs: DataFrame) -> list[F.Column]:
