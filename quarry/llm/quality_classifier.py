@@ -212,7 +212,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, content_score, metadata_score, score, accepted (score at least 0.5).
 
     Null and empty texts have no content features and are scored by the rest; null metadata is a value of its own, and so is that of a
-    table without such columns. Repeated rows score alike, texts of any length are read whole, and an empty table gives no rows.
+    table without such columns. Repeated rows score alike, a null id has its row (and teaches no view), texts of any length are read
+    whole, columns beyond those of documents are not read, and an empty table gives no rows.
     """
 
     def run(x: dict[str, list]) -> dict[str, list]:

@@ -174,8 +174,8 @@ def apply_rules(docs: DataFrame, field: Field | None, share: float = 0.5) -> Dat
     """One row per row of docs: doc_id, the base counts, base_failed, kept, content_share.
 
     Null and empty texts have no words, fail the base rules and are not kept; their content_share is 1. Repeated rows give equal rows.
-    Paths that score alike go to content, a share of exactly `share` is kept, and texts of any length are read whole. An empty table
-    gives no rows.
+    Paths that score alike go to content, a share of exactly `share` is kept, and texts of any length are read whole. A null id has its
+    row; other columns are not read. An empty table gives no rows.
     """
 
     def one(data: bytes) -> tuple:

@@ -150,7 +150,7 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, ids (array). Null and empty texts have no ids; repeated rows give equal rows; an empty table gives no rows."""
+    """One row per row of docs: doc_id, ids (array). Null and empty texts have no ids; repeated rows give equal rows, a null id its own row; texts of any length are cut whole; other columns are not read; an empty table gives no rows."""
 
     def run(x: dict[str, list]) -> dict[str, list]:
         return {"doc_id": x["doc_id"], "ids": [i.tolist() for i in codec(path).encode([t or "" for t in x["text"]])]}
@@ -168,7 +168,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """encode() and decode() in one pass: doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), same (whether decoding gives the text)."""
+    """encode() and decode() in one pass: doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), same (whether decoding gives the text). Rows as in encode()."""
 
     def run(x: dict[str, list]) -> dict[str, list]:
         own = codec(path)

@@ -158,7 +158,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_
 
     component_id is the smallest id among documents reachable over links of 3 or fewer differing bits. Null and empty texts, and texts
     without words, have the fingerprint 0 and link as any other. A null id is never a component_id unless its class has no other. Repeated
-    rows each give a row. An empty table gives no rows.
+    rows each give a row. Texts of any length are read whole, other columns are not. An empty table gives no rows.
     """
     prints = cut(fingerprints(docs, shingle, id_col, text_col))
     points = cut(prints.groupBy("point").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))  # combines map-side: a point of very many documents is one row from each task

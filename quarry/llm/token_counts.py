@@ -67,7 +67,8 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, score (of the best cut of the whole text).
 
-    Null and empty texts have 0 tokens and a score of 0. Repeated rows give equal rows; an empty table gives no rows.
+    Null and empty texts have 0 tokens and a score of 0. Repeated rows give equal rows, a null id its own row; texts of any length
+    are cut whole; other columns are not read. An empty table gives no rows.
     """
 
     def run(x: dict[str, list]) -> dict[str, list]:

@@ -332,7 +332,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Null and empty texts have the vote of silence alone and score by it and the bias. Repeated rows score alike, a score of exactly 0.5
-    is predicted 1, a text of any length is scored whole, and an empty table gives no rows.
+    is predicted 1, a text of any length is scored whole, and an empty table gives no rows. A null id counts as the empty text and is held
+    out so. Other columns are not read.
     """
 
     def run(x: dict[str, list]) -> dict[str, list]:
