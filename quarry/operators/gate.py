@@ -78,10 +78,11 @@ def around(text: Column, at: Column, n: Column, window: int) -> Column:
 
 
 def flags(texts: DataFrame, patterns: dict[str, str], window: int = 90) -> DataFrame:
-    """(id, flag, snippet): the first match of each pattern in a text with single blanks, with `window` characters on either side."""
-    table = F.array(*[F.struct(F.lit(k).alias("flag"), F.regexp_instr("flat", F.lit(p)).alias("at"), F.length(F.regexp_extract("flat", p, 0)).alias("n")) for k, p in patterns.items()])
+    """(id, flag, snippet): the first match of each pattern in a text with single blanks, with `window` characters on either side. What has been matched is taken out for hits alone."""
+    table = F.array(*[F.struct(F.lit(k).alias("flag"), F.regexp_instr("flat", F.lit(p)).alias("at")) for k, p in patterns.items()])
     hit = texts.select("id", squeeze(F.col("text")).alias("flat")).select("id", "flat", F.inline(table)).where("at > 0")
-    return hit.select("id", "flag", around(F.col("flat"), F.col("at"), F.col("n"), window).alias("snippet"))
+    found = F.coalesce(*[F.when(F.col("flag") == k, F.length(F.regexp_extract("flat", p, 0))) for k, p in patterns.items()])
+    return hit.select("id", "flag", around(F.col("flat"), F.col("at"), found, window).alias("snippet"))
 
 
 def evaluated(rows: DataFrame, column: str = "expression") -> DataFrame:

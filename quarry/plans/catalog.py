@@ -196,7 +196,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id)
 
 
 def fused(spark, d):
-    return search.rrf(vector_hits(spark, d, 30).where("qid = 0"), lexical(spark, d, 30))
+    return S.cut(search.rrf(vector_hits(spark, d, 30).where("qid = 0"), lexical(spark, d, 30)))
 
 
 @query(f"WITH {FUSED} SELECT qid, id, rrf::DOUBLE AS rrf, dense_rank, lexical_rank, rank FROM ranked")
@@ -848,7 +848,7 @@ c AS (SELECT 1::BIGINT AS qid, 'shared' AS branch, chunk_id FROM edges SEMI JOIN
 SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY chunk_id) <= 8""")
 def graph_retrieve(spark, d):
     companies = spark.createDataFrame([(f"SRC{i}", f"src{i}") for i in range(3, 10)] + [("SRC1", "src1"), ("SRC2", "src2")], "ticker string, name string")
-    return graph.graph_evidence(edges(spark, d), spark.createDataFrame(GRAPH_ASK, "qid long, question string"), companies, phrases(spark))
+    return graph.graph_evidence(S.cut(edges(spark, d)), spark.createDataFrame(GRAPH_ASK, "qid long, question string"), companies, phrases(spark))
 
 
 @query(f"WITH {EDGES}, t AS (SELECT topic, count(DISTINCT ticker) AS degree FROM edges GROUP BY topic ORDER BY degree DESC, topic LIMIT 4) SELECT DISTINCT ticker, topic, degree FROM edges JOIN t USING (topic)")
