@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import squeeze
-from quarry.operators import gate
+from quarry.operators import gate, search
 
 # What a red flag reads like, how severe it is (medium if not named), and what is asked to find them.
 FLAGS = {
@@ -27,6 +27,13 @@ def flagged(hits: DataFrame, chunks: DataFrame, patterns: dict[str, str] = FLAGS
     return marked.join(found, "id").groupBy("qid", "flag", "marker").agg(F.min(F.struct("id", "snippet")).alias("f")).select("qid", "flag", "marker", "f.id", "f.snippet")
 
 
+def probed(built: dict[str, DataFrame], chunks: DataFrame, probe: str, most: int = 10) -> DataFrame:
+    """(qid, id, rank): of each company (qid: ticker of chunks: id, ticker) its `most` chunks that answer a probe question best. All companies at once: the question is asked of the whole index, ranks are by company."""
+    spark = chunks.sparkSession
+    found = search.scores(built, spark.createDataFrame([(0, probe)], "qid int, qtext string")).drop("qid")
+    return search.top_k(found.join(chunks.select("id", F.col("ticker").alias("qid")), "id"), most).select("qid", "id", "rank")
+
+
 def red_flags(hits: DataFrame, chunks: DataFrame, sources: DataFrame, patterns: dict[str, str] = FLAGS, severity: dict[str, str] = SEVERITY) -> DataFrame:
     """flagged() with severity, and title and source_url of the cited chunk (sources: id, title, source_url), empty where it has none."""
     level = F.coalesce(*[F.when(F.col("flag") == k, v) for k, v in severity.items()], F.lit("medium"))

@@ -1590,3 +1590,32 @@ def eval_summary(spark, d):
     made = S.cut(told.select("qid", said.alias("answer"), F.array_join(F.transform("ts", lambda x: x["text"]), " ").alias("evidence")))
     verdicts = gate.verdict(made.withColumnRenamed("qid", "id"))
     return evaluate.summary(evaluate.rows(b, hits, texts, made.withColumn("matched", F.col("qid") % 2 == 1), verdicts))
+
+
+#: What red flags are looked for with: an own question in the words of the tables' prose.
+PROBE = "license copyright notice contact mail rights"
+PROBED_HITS = f"""qt AS (SELECT 0::BIGINT AS qid, term, count(*) AS qtf FROM (SELECT unnest(regexp_extract_all(lower('{PROBE}'), '[a-z0-9]+')) AS term) GROUP BY term), {BM25}, {FLAT}, {FLAGGED},
+cited AS (SELECT upper(source) AS ticker, id, row_number() OVER (PARTITION BY upper(source) ORDER BY score DESC, id) AS rank FROM scored JOIN documents ON doc_id = id QUALIFY rank <= 10),
+red AS (SELECT ticker AS qid, flag, '[' || rank || ']' AS marker, CASE WHEN flag IN ('going_concern', 'material_weakness', 'restatement') THEN 'high' ELSE 'medium' END AS severity, snippet FROM cited JOIN flagged USING (id))"""
+
+
+@query(f"WITH {PROBED_HITS} SELECT * FROM red")
+def company_red_flags(spark, d):
+    """Flags in the ten chunks of each company that answer the probe best."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.upper("source").alias("ticker"), "text")
+    built = search.built_for(docs, spark.createDataFrame([(0, PROBE)], "qid int, qtext string"), "id")
+    hits = S.cut(insights.probed(built, docs, PROBE))
+    return insights.red_flags(hits, docs, docs.limit(0).select("id", F.lit("").alias("title"), F.lit("").alias("source_url")), FLAGS).select("qid", "flag", "marker", "severity", "snippet")
+
+
+@query(ORACLE["risk_diff"].replace("WITH ", f"WITH {PRICES}, {PROBED_HITS}, diff AS (WITH ", 1) + """), l AS (SELECT ticker, arg_max(close, d) AS c1 FROM prices GROUP BY ticker), m AS (SELECT ticker, close AS c2 FROM prices QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY d DESC) = 2),
+w AS (SELECT DISTINCT upper(source) AS ticker FROM documents), f AS (SELECT qid, count(*) AS n_flags, count(*) FILTER (severity = 'high') AS n_high FROM red GROUP BY qid), c AS (SELECT ticker, count(*) AS n_changes FROM diff GROUP BY ticker)
+SELECT w.ticker, c1 AS price, CASE WHEN c2 <> 0 THEN round((c1 - c2) / c2 * 100, 2) END AS change_pct, coalesce(n_flags, 0) AS n_flags, coalesce(n_high, 0) AS n_high, coalesce(n_changes, 0) AS n_changes, coalesce(n_high, 0) + coalesce(n_changes, 0) AS notable
+FROM w LEFT JOIN l ON 'SRC' || l.ticker = w.ticker LEFT JOIN m ON 'SRC' || m.ticker = w.ticker LEFT JOIN f ON f.qid = w.ticker LEFT JOIN c ON c.ticker = w.ticker""")
+def watch_digest(spark, d):
+    """Each company's quote, flags and changed risks in one row."""
+    p = S.prices(spark, d).withColumn("ticker", F.concat(F.lit("SRC"), F.col("ticker").cast("string")))
+    none = F.lit(None).cast("double")
+    quoted = market.quotes(p.select("ticker").distinct().select("ticker", none.alias("price"), none.alias("previous"), none.alias("eps")), p)
+    watched = S.chunks(spark, d).select("ticker")
+    return market.digest(watched, quoted, company_red_flags(spark, d).withColumnRenamed("qid", "ticker"), risk_diff(spark, d))
