@@ -15,6 +15,7 @@ Nothing is learnt from held-out rows (crc32 of the id, mod 5, is 0), neither fro
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -145,10 +146,25 @@ def stem(term: bytes) -> bytes:
     return term.rpartition(b"*")[2].rpartition(b"<")[2][: STARTS[0]]
 
 
-def lexicon(sample: DataFrame, least: int = 5, share: float = 0.03, significant: float = 5.0) -> list[bytes]:
-    """Of the terms with a strength over `significant` that `share` of the toxic texts of (text, y) have, the strongest of each stem."""
+def discovered(terms: DataFrame, rate: float) -> float:
+    """The strength from which on at most `rate` of the terms (z) are expected to be there by chance, by Benjamini and Hochberg's rule; infinite if there is none.
+
+    It falls with the share of terms that tell something and rises with the number of terms looked at, so it needs no change with the sample's size.
+    """
+    steps = terms.groupBy(F.floor(F.greatest("z", F.lit(0.0)) * 100).alias("step")).agg(F.count("*").alias("n")).collect()  # strengths in hundredths: some thousand rows
+    total, above, least = sum(r["n"] for r in steps), 0, math.inf
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        above += r["n"]
+        if r["step"] > 0 and 0.5 * math.erfc(r["step"] / 100 / math.sqrt(2)) <= rate * above / total:
+            least = r["step"] / 100
+    return least
+
+
+def lexicon(sample: DataFrame, least: int = 5, share: float = 0.03, rate: float = 0.01) -> list[bytes]:
+    """Of the terms that tell toxic texts of (text, y) from others, `rate` of them at most by chance, and that `share` of the toxic ones have, the strongest of each stem."""
     toxic = sample.where("y = 1").select("text").distinct().count()
-    rows = weighed(sample, least).where((F.col("z") > significant) & (F.col("a") >= F.lit(max(least, share * toxic)))).collect()  # at most a few for each toxic text
+    terms = cut(weighed(sample, least))
+    rows = terms.where((F.col("z") >= discovered(terms, rate)) & (F.col("a") >= F.lit(max(least, share * toxic)))).collect()  # at most a few for each toxic text
     best: dict[bytes, bytes] = {}
     for r in sorted(rows, key=lambda r: (-r["z"], len(r["term"]), bytes(r["term"]))):
         best.setdefault(stem(bytes(r["term"])), bytes(r["term"]))
