@@ -7,7 +7,8 @@ repeated letters. Labels choose the voters, and tell at the end which class is w
 
 A generative label model over the votes of every training document, labelled or not, estimates how often each voter votes in either
 class by expectation maximisation, then how voters correlate beyond what the class explains; voters tied to others count less. Its
-sums are taken in tasks, over distinct patterns of votes. The posterior labels of a bounded sample train a sparse linear classifier
+sums are taken in tasks, over distinct patterns of votes. The share of toxic documents is that among the labelled training rows, and what
+a lone vote says to begin with is how often its voter is right there. The posterior labels of a bounded sample train a sparse linear classifier
 over terms and votes, which scores every document.
 
 Nothing is learnt from held-out rows (crc32 of the id, mod 5, is 0), neither from their labels nor from their texts.
@@ -107,10 +108,11 @@ class Scanner:
 
 
 class Voters:
-    """Numbers of the voters: lexicon terms, then patterns, then silence."""
+    """Numbers of the voters: lexicon terms, then patterns, then silence. A lexicon has the share of toxic documents among those with a term."""
 
-    def __init__(self, lexicon: list[bytes]):
+    def __init__(self, lexicon: dict[bytes, float]):
         self.of = {t: i for i, t in enumerate(lexicon)}
+        self.trust = np.array([*lexicon.values()])
         self.n = len(lexicon) + PATTERNS + 1
 
     def votes(self, text: bytes, terms: set[bytes]) -> list[int]:
@@ -160,15 +162,22 @@ def discovered(terms: DataFrame, rate: float) -> float:
     return least
 
 
-def lexicon(sample: DataFrame, least: int = 5, share: float = 0.03, rate: float = 0.01) -> list[bytes]:
-    """Of the terms that tell toxic texts of (text, y) from others, `rate` of them at most by chance, and that `share` of the toxic ones have, the strongest of each stem."""
-    toxic = sample.where("y = 1").select("text").distinct().count()
+def lexicon(sample: DataFrame, least: int = 5, share: float = 0.03, rate: float = 0.01, balance: float | None = None) -> dict[bytes, float]:
+    """Of the terms that tell toxic texts of (text, y) from others, `rate` of them at most by chance, and that `share` of the toxic ones have, the strongest of each stem.
+
+    With each the share of toxic texts among those that have it, where `balance` of all texts are toxic (by default as in the sample). As a
+    voter says toxic, it must be right more often than not: terms under one half are left out.
+    """
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.countDistinct("text").alias("n")).collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    balance = (n1 + 0.5) / (n1 + n0 + 1) if balance is None else balance
     terms = cut(weighed(sample, least))
-    rows = terms.where((F.col("z") >= discovered(terms, rate)) & (F.col("a") >= F.lit(max(least, share * toxic)))).collect()  # at most a few for each toxic text
-    best: dict[bytes, bytes] = {}
-    for r in sorted(rows, key=lambda r: (-r["z"], len(r["term"]), bytes(r["term"]))):
-        best.setdefault(stem(bytes(r["term"])), bytes(r["term"]))
-    return list(best.values())
+    toxic, clean = balance * (F.col("a") + 0.5) / (n1 + 1), (1 - balance) * (F.col("b") + 0.5) / (n0 + 1)
+    kept = terms.where((F.col("z") >= discovered(terms, rate)) & (F.col("a") >= F.lit(max(least, share * n1)))).withColumn("trust", toxic / (toxic + clean))
+    best: dict[bytes, tuple] = {}
+    for r in sorted(kept.where("trust >= 0.5").collect(), key=lambda r: (-r["z"], len(r["term"]), bytes(r["term"]))):  # at most a few for each toxic text
+        best.setdefault(stem(bytes(r["term"])), (bytes(r["term"]), r["trust"]))
+    return dict(best.values())
 
 
 class LabelModel:
@@ -183,10 +192,11 @@ class LabelModel:
         return sigmoid(np.array([base + self.says[v].sum() for v in (np.asarray(v, int) for v in votes)]))
 
 
-def first_guess(votes: Iterable[list[int]], n: int) -> np.ndarray:
-    """Before anything is known: two lexicon votes or more are likely toxic, one may be, none isn't. A voter that never votes beside another stays at that guess."""
-    lexical = np.array([sum(k < n - PATTERNS - 1 for k in v) for v in votes])
-    return np.where(lexical == 0, 0.02, np.where(lexical == 1, 0.3, 0.95))
+def first_guess(votes: Iterable[list[int]], n: int, trust: np.ndarray | None = None) -> np.ndarray:
+    """Before anything is known: two lexicon votes or more are likely toxic, one is as its voter is trusted, none isn't. A voter that never votes beside another stays near that guess."""
+    trust = np.full(n - PATTERNS - 1, 0.3) if trust is None else trust
+    lexical = [[k for k in v if k < n - PATTERNS - 1] for v in votes]
+    return np.array([0.02 if not v else trust[v[0]] if len(v) == 1 else 0.95 for v in lexical])
 
 
 def moments(votes: list[list[int]], count: list[int], post: np.ndarray, n: int) -> dict[str, np.ndarray]:
@@ -231,15 +241,15 @@ def vector(sums: dict[int, float], size: int) -> np.ndarray:
     return out
 
 
-def rates_of(s: np.ndarray, n: int) -> tuple[float, np.ndarray]:
-    """Prior and rates from moments as one vector (3 totals, then v, then pv)."""
+def rates_of(s: np.ndarray, n: int, balance: float | None = None) -> tuple[float, np.ndarray]:
+    """Prior (`balance` if it is known) and rates from moments as one vector (3 totals, then v, then pv)."""
     total, toxic = s[0], s[1]
     v, pv = s[3 : 3 + n], s[3 + n :]
-    return float(np.clip(toxic / max(total, 1), 0.001, 0.999)), np.stack([(pv + 0.1) / (toxic + 1), (v - pv + 0.1) / (total - toxic + 1)])
+    return float(np.clip(toxic / max(total, 1) if balance is None else balance, 0.001, 0.999)), np.stack([(pv + 0.1) / (toxic + 1), (v - pv + 0.1) / (total - toxic + 1)])
 
 
 def weights_of(s: np.ndarray, both: np.ndarray, n: int, tied: float = 0.5) -> np.ndarray:
-    """1 for a voter on its own; one whose residuals (what the class doesn't explain) correlate with others' by more than `tied` counts as its share of them."""
+    """1 for a voter on its own; one whose residuals (what the class doesn't explain) correlate with others' by more than `tied` counts as its share of them. Silence is tied to all by what it is, and counts whole."""
     total, toxic, square = s[:3]
     v, pv = s[3 : 3 + n], s[3 + n :]
     _, (r1, r0) = rates_of(s, n)
@@ -249,15 +259,20 @@ def weights_of(s: np.ndarray, both: np.ndarray, n: int, tied: float = 0.5) -> np
     spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     ties = cov / spread / spread[:, None]
     np.fill_diagonal(ties, 0)
+    ties[-1, :] = ties[:, -1] = 0
     return 1 / (1 + np.where(ties > tied, ties, 0).sum(axis=0))
 
 
-def label_model(patterns: DataFrame, n: int, steps: int = 12, settled: float = 1e-3) -> LabelModel:
-    """From (votes array<int>, n long), the patterns of votes and how many documents have each: accuracies first, then correlations, then accuracies again with those."""
+def label_model(patterns: DataFrame, n: int, steps: int = 12, settled: float = 1e-3, balance: float | None = None, trust: np.ndarray | None = None) -> LabelModel:
+    """From (votes array<int>, n long), the patterns of votes and how many documents have each: accuracies first, then correlations, then accuracies again with those.
+
+    Most documents have the vote of silence alone. Unless `balance` fixes the share of the toxic class, that share can grow with each step
+    until they are all toxic. `trust` has what a lone vote of each lexicon voter says to begin with.
+    """
 
     def sums(model: LabelModel | None) -> np.ndarray:
         def fn(votes: list, count: list) -> np.ndarray:
-            post = first_guess(votes, n) if model is None else model.posterior(votes)
+            post = first_guess(votes, n, trust) if model is None else model.posterior(votes)
             m = moments(votes, count, post, n)
             return np.concatenate([m["n"], m["v"], m["pv"]])
 
@@ -267,7 +282,7 @@ def label_model(patterns: DataFrame, n: int, steps: int = 12, settled: float = 1
     for phase in range(2):
         for _ in range(steps):
             s = sums(model)
-            prior, rates = rates_of(s, n)
+            prior, rates = rates_of(s, n, balance)
             new = LabelModel(prior, rates, weight)
             still = model is not None and abs(new.prior - model.prior) < settled and float(np.abs(new.rates - model.rates).max()) < settled
             model = new
@@ -312,12 +327,14 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 4000, least: int = 5, sc
     known = labelled(labels.where(held_out() == F.lit(False)), "toxic", each)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(held_out() == F.lit(False))
     by_id = lambda ids, col: cut(one_each(own.select("doc_id", utf8("text").alias("text")).join(F.broadcast(ids), "doc_id"), ["text", col]))
-    voters = Voters(lexicon(by_id(known, "y").select("text", "y"), least))
+    said = labels.where(held_out() == F.lit(False)).agg(F.sum(F.col("toxic").cast("int")).alias("a"), F.count("toxic").alias("n")).first()
+    balance = ((said["a"] or 0) + 0.5) / (said["n"] + 1)
+    voters = Voters(lexicon(by_id(known, "y").select("text", "y"), least, balance=balance))
     nothing = Model(voters, {}, np.zeros(voters.n), -5.0)
     if not voters.of:
         return nothing
     votes = cut(voted(own, voters))
-    labels_of = label_model(cut(votes.groupBy("votes").agg(F.count("*").alias("n"))), voters.n)
+    labels_of = label_model(cut(votes.groupBy("votes").agg(F.count("*").alias("n"))), voters.n, balance=balance, trust=voters.trust)
     post = posteriors(votes, labels_of)
     means = {r["y"]: r["p"] for r in post.join(F.broadcast(known), "doc_id").groupBy("y").agg(F.avg("p").alias("p")).collect()}
     if means.get(1, 1.0) < means.get(0, 0.0):  # labels tell which class is which

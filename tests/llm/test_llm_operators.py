@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import random
 import zlib
 
@@ -434,6 +435,7 @@ def brute_label_model(votes, n, steps=12, settled=1e-3):
             spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             ties = cov / spread / spread[:, None]
             np.fill_diagonal(ties, 0)
+            ties[-1, :] = ties[:, -1] = 0  # silence is the absence of the others
             weight = 1 / (1 + np.where(ties > 0.5, ties, 0).sum(axis=0))
             if weight.min() > 1 - 1e-9:
                 break
@@ -462,6 +464,52 @@ def test_label_model_brute(spark):
     assert abs(model.rates[0][0] - 0.6) < 0.1
 
 
+def test_discovered_brute(spark):
+    """Benjamini and Hochberg's rule over all strengths, to the hundredth; nothing where nothing is to be found."""
+    from statistics import NormalDist
+
+    rng = random.Random(6)
+    for told in (0, 3, 60):
+        z = [rng.gauss(0, 1) for _ in range(5000)] + [rng.uniform(3.5, 9) for _ in range(told)]
+        p = sorted(1 - NormalDist().cdf(x) for x in z)
+        good = [k for k, x in enumerate(p, 1) if x <= 0.01 * k / len(p)]
+        got = toxicity.discovered(spark.createDataFrame([(x,) for x in z], "z double"), 0.01)
+        if not good:
+            assert got == float("inf")
+            continue
+        want = NormalDist().inv_cdf(1 - p[good[-1] - 1])
+        assert want - 0.011 <= got <= want + 0.1
+        assert sum(x >= got for x in z) >= told * 0.8
+
+
+def test_label_model_balance(spark):
+    """Nine tenths of the documents are silent: with the share of the class known they stay out of it, and a voter that never votes beside another goes by its trust."""
+    n, rng = 6 + toxicity.PATTERNS + 1, np.random.default_rng(8)
+    votes = []
+    for t in rng.random(4000) < 0.1:
+        v = [k for k in range(5) if rng.random() < (0.4 if t else 0.002)] or ([5] if t and rng.random() < 0.5 else [])
+        votes.append(v or [n - 1])
+    table = spark.createDataFrame([(v,) for v in votes], "votes array<int>").groupBy("votes").agg(F.count("*").alias("n"))
+    trust = np.array([0.95] * 5 + [0.9])
+    model = toxicity.label_model(table, n, balance=0.1, trust=trust)
+    lone, silent = model.posterior([[5], [n - 1]])
+    assert model.prior == 0.1
+    assert silent < 0.05
+    assert lone > 0.5
+
+
+def test_lexicon_trust(spark):
+    """Terms with the share of toxic texts among those that have them; a term that is wrong more often than right is no voter, however significant."""
+    own = ["".join(x) for x in itertools.product("abcdefghij", repeat=3)]  # words of one text each, or of two
+    rows = [(f"{'foul' if i < 30 else 'mixed'} {own[i]}", 1) for i in range(60)] + [(f"{'mixed' if i < 100 else 'fine'} {own[i]}", 0) for i in range(800)]
+    sample = spark.createDataFrame([(t.encode(), y) for t, y in rows], "text binary, y int")
+    got = toxicity.lexicon(sample)
+    assert list(got) == [b"foul"]
+    balance = 60.5 / 861
+    toxic, clean = balance * 30.5 / 61, (1 - balance) * 0.5 / 801
+    assert got[b"foul"] == pytest.approx(toxic / (toxic + clean))
+
+
 def test_scanner():
     """The remembering scanner finds what terms_of() does."""
     rng = random.Random(2)
@@ -477,8 +525,8 @@ def test_toxicity_held_out(spark):
     rows = queries.op10_toxicity(spark, LARGE).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     y, score, said = np.array([(known[r.doc_id], r.score, r.predicted) for r in rows if r.held_out and r.doc_id in known]).T
-    assert auc(y, score) > 0.93
-    assert said[y == 1].mean() > 0.8
+    assert auc(y, score) > 0.94
+    assert said[y == 1].mean() > 0.88
     assert said[y == 0].mean() < 0.02
     docs = spark.read.parquet(f"{LARGE}/documents.parquet")
     labels_ = spark.read.parquet(f"{LARGE}/labels.parquet").where(~toxicity.held_out())
