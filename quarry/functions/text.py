@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +23,16 @@ def tokens(text: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value as printf does: 412.15 is a little under, so 412.1; Java's format says 412.2."""
+
+    @F.pandas_udf("string")
+    def form(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if pd.isna(x) else f"{x:.{places}f}").astype(object)
+
+    return form(value.cast("double"))
+
+
 
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
