@@ -20,6 +20,8 @@ SCHEMAS = {
     "postings": "id long, term string, tf long, dl int, seq int, slot int", "documents": "id long, dl int, seq int", "terms": "term string, df long, seq int", "gone": "id long, seq int", "totals": "n long, size long, merged boolean, seq int",
 }
 SLOTS = 64
+#: Documents whose postings of a slot are one task's and one file's.
+DOCUMENTS = 50_000
 
 
 def slot(term: str = "term") -> F.Column:
@@ -55,11 +57,21 @@ class Index:
         gone = self._seen("gone").groupBy("id").agg(F.max("seq").alias("gone"))
         return rows.join(gone, "id", "left").where(F.col("gone").isNull() | (F.col("seq") > F.col("gone"))).drop("gone")
 
-    def _write(self, postings: DataFrame | None, documents: DataFrame | None, gone: DataFrame | None, terms: DataFrame, totals: DataFrame) -> None:
+    def _put(self, df: DataFrame, name: str, seq: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/seq={seq}")
+
+    def _put_postings(self, postings: DataFrame, seq: int, n: int) -> DataFrame:
+        """Write the postings of n documents, as many tasks a slot as they need, and read them again."""
+        share, path = max(1, -(-n // DOCUMENTS)), f"{self.folder}/postings/seq={seq}"
+        dealt = postings.select("id", "term", "tf", "dl", slot().alias("slot")).repartition(SLOTS * share, "slot", F.pmod(F.xxhash64("id"), F.lit(share)))
+        dealt.sortWithinPartitions("slot", "term").write.mode("overwrite").partitionBy("slot").parquet(path)
+        return self.spark.read.schema(SCHEMAS["postings"].replace(" seq int,", "")).parquet(path)
+
+    def _write(self, postings: DataFrame | None, documents: DataFrame | None, gone: DataFrame | None, terms: DataFrame, totals: DataFrame, n: int = 0) -> None:
         seq = self._next()
-        put = lambda df, name: df.write.mode("overwrite").parquet(f"{self.folder}/{name}/seq={seq}")
+        put = lambda df, name: self._put(df, name, seq)
         if postings is not None:
-            postings.select("id", "term", "tf", "dl", slot().alias("slot")).repartition("slot").sortWithinPartitions("term").write.mode("overwrite").partitionBy("slot").parquet(f"{self.folder}/postings/seq={seq}")
+            self._put_postings(postings, seq, n)
             put(documents.select("id", "dl"), "documents")
         if gone is not None:
             put(gone.select("id"), "gone")
@@ -71,10 +83,13 @@ class Index:
         one = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         one = one.groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", F.col("t.text").alias("text"))
         self.delete(one.select("id"))
-        built = search.index(one, "id", "text")
-        own = one.select("id", F.size(tokens(F.col("text"))).alias("dl"))
-        totals = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("size"), F.lit(False).alias("merged"))
-        self._write(built["postings"], own, None, one.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), totals)
+        seq = self._next()
+        post = self._put_postings(search.postings(one, "id", "text"), seq, docs.count())
+        own = one.select("id").join(post.select("id", "dl").distinct(), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+        self._put(own, "documents", seq)
+        self._put(post.groupBy("term").agg(F.count("*").alias("df")), "terms", seq)
+        held = self.spark.read.schema("id long, dl int").parquet(f"{self.folder}/documents/seq={seq}")
+        self._put(held.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("size"), F.lit(False).alias("merged")).coalesce(1), "totals", seq)
 
     def delete(self, ids: DataFrame) -> None:
         """Take out the documents of ids (id); ids that aren't there change nothing."""
@@ -88,7 +103,7 @@ class Index:
     def merge(self) -> None:
         """All that is live as one segment. Earlier folders can be removed once no reader uses them; vacuum() does."""
         terms, totals = self._seen("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0"), self._seen("totals").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.lit(True).alias("merged"))
-        self._write(self._live(self._seen("postings")), self._live(self._seen("documents")), None, terms, totals)
+        self._write(self._live(self._seen("postings")), self._live(self._seen("documents")), None, terms, totals, totals.first()["n"] or 0)
 
     def vacuum(self) -> None:
         """Remove the folders of segments before the last merged one; their totals go first."""
