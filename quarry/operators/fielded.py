@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
-from quarry.operators.search import top_k
+from quarry.operators.search import best
+from quarry.sources.tables import cut
 
 #: Words that say nothing about a document.
 STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with"]
@@ -50,7 +51,6 @@ def bm25f(docs: DataFrame, questions: DataFrame, fields: dict[str, float], k: in
     weight, mean = pick(lambda i, c: F.lit(float(fields[c]))), pick(lambda i, c: F.col(f"mean_{i}"))
     part = weight * F.col("tf") / (1 - b + b * F.col("dl") / mean)
     held = own.groupBy("id", "term", "n").agg(F.sum(part).alias("w"))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    scored = held.join(df, "term").join(asked, "term")
-    score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("w") * (k1 + 1) / (F.col("w") + k1)
-    return top_k(scored.groupBy("qid", "id").agg(F.round(F.sum(score), 6).alias("score")), k)
+    df = cut(held.groupBy("term").agg(F.count("*").alias("df"), F.first("n").alias("n")))
+    weights = asked.join(df, "term").select("qid", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("w"))
+    return best(held.select("id", "term", (F.col("w") * (k1 + 1) / (F.col("w") + k1)).alias("v")), weights, k, docs.count(), questions.count())
