@@ -57,3 +57,17 @@ def nearest(found: DataFrame) -> DataFrame:
     """(start, node, hop, path): of walks the shortest to each node, of equal ones the path of smaller names."""
     best = found.groupBy("start", "node").agg(F.min(F.struct("hop", "path")).alias("b"))
     return best.select("start", "node", "b.hop", "b.path")
+
+
+def shortest(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """nearest() of walks() without the other walks: of those of one more step, only the first path to each node not reached before goes on.
+
+    A shortest walk's beginning is a shortest walk too, and of walks of one length the path of smaller names begins with the path of smaller names.
+    """
+    edges, front = known(edges), begun(starts)
+    out = front = cut(front)
+    for hop in range(1, depth + 1):
+        longer = step(front, edges, hop).groupBy("start", "node", "hop").agg(F.min("path").alias("path"))
+        front = cut(longer.join(out.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", "hop", "path"))
+        out = out.select("start", "node", "hop", "path").union(front)
+    return out.select("start", "node", "hop", "path")
