@@ -4,7 +4,7 @@ A text is the set of its shingles of five words. Equal sets are one point from t
 independent minima each; two points of similarity s have one in common with probability 1 - (1 - s ** ROWS) ** BANDS, which is 0.9999 at
 0.8 and more above. Points that share a fingerprint are a bucket. First the points of each bucket are compared with its smallest one;
 in those that then still hold several classes, all are: a large bucket's sets go to one task, which links each class once and makes no
-pairs, and small buckets give pairs across classes. Only pairs whose sets are as similar as asked are linked.
+pairs, and small buckets give pairs across classes. Components are worked out after the first step and, if the second links any, once more. Only pairs whose sets are as similar as asked are linked.
 """
 
 from __future__ import annotations
@@ -79,11 +79,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("common") >= least * (F.col("n") - F.col("common")) - 1e-9).select("a", "b")
 
 
-def mixed(shared: DataFrame, classes: DataFrame, large: bool) -> DataFrame:
-    """(bucket, point, n, root) of buckets that hold several classes: those of over SMALL points, or the others."""
+def mixed(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, point, n, root, size) of buckets that hold several classes."""
     rooted = shared.join(classes, F.col("point") == F.col("node"), "left").select("bucket", "point", "n", F.coalesce("component", "point").alias("root"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("size")).where("one <> other")
-    return cut(rooted.join(several.where((F.col("size") > SMALL) == large).select("bucket"), "bucket", "left_semi"))
+    return cut(rooted.join(several.select("bucket", "size"), "bucket"))
 
 
 def crossing(rest: DataFrame, least: float) -> DataFrame:
@@ -141,9 +141,12 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "
     sets = cut(shingle_sets(rows.join(wanted, "doc_id", "left_semi"), words))
     stars = cut(shared.where("point <> low.point").where(near_sizes(F.col("n"), F.col("low.n"), least)).select(F.col("low.point").alias("a"), F.col("point").alias("b")).distinct())
     edges = cut(confirmed(stars, sets, least))
-    edges = cut(edges.union(linked(mixed(shared, components(edges), True), sets, least)))
-    more = cut(crossing(mixed(shared, components(edges), False), least).join(stars, ["a", "b"], "left_anti"))
-    classes = components(edges.union(confirmed(more, sets, least)))
+    classes = cut(components(edges))
+    rest = mixed(shared, classes)
+    pairs = cut(crossing(rest.where(F.col("size") <= SMALL), least).join(stars, ["a", "b"], "left_anti"))
+    more = cut(linked(rest.where(F.col("size") > SMALL), sets, least).union(confirmed(pairs, sets, least)))
+    if not more.isEmpty():
+        classes = components(edges.union(more))
     rooted = cut(points.join(classes, points["point"] == classes["node"], "left").select("point", "first", "rows", F.coalesce("component", "point").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     named = spread_join(rooted.select("point", "rows", "root"), lowest, ["root"], "n").select("point", "rows", "component_id")

@@ -65,3 +65,14 @@ def test_bucket_of_several_classes(spark, monkeypatch, small):
         docs += [words, edited(rng, words, 4), edited(rng, words, 4)]
     rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
     assert {r.doc_id for r in resemblance.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == kept_brute(rows)
+
+
+def test_components_run_no_more_often_than_links_ask(spark, monkeypatch):
+    """Once where each bucket is one class, twice where its classes differ: each run is many shuffles."""
+    runs, components = [], resemblance.components
+    monkeypatch.setattr(resemblance, "components", lambda edges: runs.append(1) or components(edges))
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(words)), (1, " ".join(edited(rng, words, 2))), (2, "other words")]
+    assert {r.doc_id for r in resemblance.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 2}
+    assert len(runs) == 1
