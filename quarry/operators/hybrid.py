@@ -23,7 +23,7 @@ def candidates(spark: SparkSession, vectors: str, index: Index, questions: DataF
 
 def reranked(index: Index, found: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, id, score) of candidates by the words of questions (qid, qtext), from the index's postings: no text is read again."""
-    own = index.read(questions)["postings"].join(found.select("id").distinct(), "id", "left_semi")
+    own = index.read(questions)["postings"].join(search.small(found.select("id").distinct()), "id", "left_semi")
     return search.rerank_by(own, found, questions)
 
 

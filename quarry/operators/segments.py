@@ -81,10 +81,13 @@ class Index:
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add documents; one whose id is live takes its place. Of repeated ids the text of the smallest hash counts, null ids are left out, a null text has no terms."""
         one = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        one = one.groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", F.col("t.text").alias("text"))
+        twice = search.small(one.groupBy("id").count().where("count > 1").select("id"))
+        if not twice.isEmpty():
+            of_several = one.join(twice, "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", F.col("t.text").alias("text"))
+            one = one.join(twice, "id", "left_anti").union(of_several)
         self.delete(one.select("id"))
         seq = self._next()
-        post = self._put_postings(search.postings(one, "id", "text"), seq, docs.count())
+        post = self._put_postings(search.counted(one, "id", "text"), seq, docs.count())
         own = one.select("id").join(post.select("id", "dl").distinct(), "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
         self._put(own, "documents", seq)
         self._put(post.groupBy("term").agg(F.count("*").alias("df")), "terms", seq)
@@ -93,6 +96,8 @@ class Index:
 
     def delete(self, ids: DataFrame) -> None:
         """Take out the documents of ids (id); ids that aren't there change nothing."""
+        if not self.numbers():
+            return
         hit = cut(self._live(self._seen("documents")).join(ids.select("id").distinct(), "id", "left_semi").select("id", "dl"))
         if hit.isEmpty():
             return
@@ -119,6 +124,7 @@ class Index:
         postings = self._seen("postings")
         if questions is not None:
             asked = questions.select(F.explode(tokens(F.col(qtext))).alias("term")).distinct()
+            asked = search.small(asked.join(self._seen("terms").select("term"), "term", "left_semi"))
             slots = [r["slot"] for r in asked.select(slot().alias("slot")).distinct().collect()]
             postings = postings.where(F.col("slot").isin(slots)).join(asked, "term", "left_semi")
         total = self._seen("totals").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).select("n", (F.col("size") / F.col("n")).alias("avgdl"))
