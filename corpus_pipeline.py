@@ -1,7 +1,7 @@
 """From raw documents to packed sequences: five stages, each written as Parquet and read again by the next.
 
-The near-duplicate stage links texts by the similarity of their five-word shingles (quarry/llm/resemblance.py: MinHash bands propose pairs,
-the exact Jaccard similarity of 0.8 decides), not by op5's fingerprints, which find few pairs at that similarity.
+The near-duplicate stage links texts by the similarity of their five-word shingles (quarry/llm/resemblance.py: op5's fingerprints, linked by
+its vantage-point forests, and MinHash bands, for the many pairs that those don't find, propose; the exact Jaccard similarity of 0.8 decides).
 
 Rows with null ids, null texts, repeated rows and extra columns pass as each stage's operator says. An empty table gives no rows.
 """

@@ -1,6 +1,7 @@
-"""Near copies by the share of their shingles: MinHash bands propose pairs, the exact Jaccard similarity decides.
+"""Near copies by the share of their shingles: op5's fingerprints and MinHash bands propose pairs, the exact Jaccard similarity decides.
 
-A text is the set of its shingles of five words. Equal sets are one point from then on. Each point has BANDS fingerprints of ROWS
+A text is the set of its shingles of five words. Equal sets are one point from then on. Points get op5's fingerprints over these shingles,
+which its vantage-point forests link at 3 or fewer bits (simhash.py). Most pairs at 0.8 are further apart than that, so each point also has BANDS fingerprints of ROWS
 independent minima each; two points of similarity s have one in common with probability 1 - (1 - s ** ROWS) ** BANDS, which is 0.9999 at
 0.8 and more above. Points that share a fingerprint are a bucket. First the points of each bucket are compared with its smallest one;
 in those that then still hold several classes, all are: a large bucket's sets go to one task, which links each class once and makes no
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import components, cut, lean, map_rows, spread_join, unused, utf8
-from quarry.llm.simhash import blocks
+from quarry.llm.simhash import blocks, links, majority, shards
 
 BANDS, ROWS = 24, 5
 #: Pairs of one point, and points of a bucket, that one task gets at most; points of a bucket that gives pairs.
@@ -25,11 +26,20 @@ SALT = np.array([xxhash.xxh64_intdigest(f"salt {k}".encode()) for k in range(BAN
 ODD = np.array([xxhash.xxh64_intdigest(f"odd {k}".encode()) | 1 for k in range(BANDS * ROWS)], "u8")[:, None]
 
 
-def shingles(text: bytes, words: int = 5) -> np.ndarray:
-    """The distinct XXH64 (seed 42) of each run of `words` words, sorted; of all words where they are fewer; none without words."""
+def digests(text: bytes, words: int = 5) -> bytes:
+    """The XXH64 (seed 42) of each run of `words` words, joined; of all words where they are fewer; none without words."""
     ws = text.lower().split()
     runs = map(b" ".join, zip(*(ws[i:] for i in range(words)), strict=False)) if len(ws) >= words else [b" ".join(ws)] if ws else []
-    return np.unique(np.frombuffer(b"".join(xxhash.xxh64_digest(r, 42) for r in runs), ">u8").astype("u8"))
+    return b"".join(xxhash.xxh64_digest(r, 42) for r in runs)
+
+
+def distinct(joined: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(joined, ">u8").astype("u8"))
+
+
+def shingles(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct ones of digests(), sorted."""
+    return distinct(digests(text, words))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -45,13 +55,14 @@ def signed(values: list[int]) -> list[int]:
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """(doc_id, point, n, bands): the hash of the set of shingles, its size and its fingerprints."""
+    """(doc_id, print, point, n, bands): op5's fingerprint, the hash of the set of shingles, its size and its minima's fingerprints."""
 
     def run(x: dict[str, list]) -> dict[str, list]:
-        sets = [shingles(t, words) for t in x["text"]]
-        return {"doc_id": x["doc_id"], "point": signed([xxhash.xxh64_intdigest(s.tobytes()) for s in sets]), "n": [len(s) for s in sets], "bands": [bands(s) for s in sets]}
+        joined = [digests(t, words) for t in x["text"]]
+        sets = [distinct(j) for j in joined]
+        return {"doc_id": x["doc_id"], "print": [majority(j) for j in joined], "point": signed([xxhash.xxh64_intdigest(s.tobytes()) for s in sets]), "n": [len(s) for s in sets], "bands": [bands(s) for s in sets]}
 
-    return map_rows(rows, run, "doc_id long, point long, n long, bands array<long>")
+    return map_rows(rows, run, "doc_id long, print long, point long, n long, bands array<long>")
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -69,6 +80,16 @@ def near_sizes(a: Column, b: Column, least: float) -> Column:
     return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
 
 
+def forest(points: DataFrame, least: float) -> DataFrame:
+    """(a, b) of points (point, n, print) that op5's vantage-point forests link by their fingerprints, or that share one; of each fingerprint its smallest point meets the others."""
+    first = cut(points.groupBy("print").agg(F.min(F.struct("point", "n")).alias("low"), F.count("*").alias("rows")))
+    linked_ = links(shards(first.select(F.col("print").alias("point")), first.count()))
+    side = lambda c: first.select(F.col("print").alias(c), F.col("low").alias(f"low_{c}"))
+    apart = linked_.join(side("a"), "a").join(side("b"), "b").select(F.col("low_a").alias("x"), F.col("low_b").alias("y"))
+    equal = spread_join(points.select("print", "point", "n"), first.where("rows > 1"), ["print"], "rows").where("point <> low.point").select(F.col("low").alias("x"), F.struct("point", "n").alias("y"))
+    return apart.union(equal).where(near_sizes(F.col("x.n"), F.col("y.n"), least)).select(F.col("x.point").alias("a"), F.col("y.point").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of pairs (a, b) whose sets have a Jaccard similarity of `least` or more. A point of very many pairs goes to many tasks."""
     fan = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("k")))
@@ -133,13 +154,14 @@ def similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "
     """(doc_id, component_id) of each id: the smallest id among documents reachable over pairs of similarity `least` or more. Null texts are empty; texts without words are one class. Null ids have no row."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
     prints = cut(sketches(rows, words))
-    points = cut(prints.groupBy("point").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.count("*").alias("rows")))
+    points = cut(prints.groupBy("point").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.min("print").alias("print"), F.count("*").alias("rows")))
     buckets = points.select("point", "n", F.explode("bands").alias("bucket"))
     low = buckets.groupBy("bucket").agg(F.min(F.struct("point", "n")).alias("low"), F.max("point").alias("high")).where("low.point <> high").select("bucket", "low")
     shared = cut(buckets.join(low, "bucket"))
-    wanted = points.join(shared.select("point").distinct(), "point", "left_semi").select(F.col("first").alias("doc_id"))
+    close = cut(forest(points, least))
+    wanted = points.join(shared.select("point").union(close.select("a")).union(close.select("b")).distinct(), "point", "left_semi").select(F.col("first").alias("doc_id"))
     sets = cut(shingle_sets(rows.join(wanted, "doc_id", "left_semi"), words))
-    stars = cut(shared.where("point <> low.point").where(near_sizes(F.col("n"), F.col("low.n"), least)).select(F.col("low.point").alias("a"), F.col("point").alias("b")).distinct())
+    stars = cut(shared.where("point <> low.point").where(near_sizes(F.col("n"), F.col("low.n"), least)).select(F.col("low.point").alias("a"), F.col("point").alias("b")).union(close).distinct())
     edges = cut(confirmed(stars, sets, least))
     classes = cut(components(edges))
     rest = mixed(shared, classes)

@@ -34,7 +34,12 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    flat = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))), "u1").reshape(-1, 8)
+    return majority(b"".join(map(xxhash.xxh64_digest, shingles, repeat(42))))
+
+
+def majority(digests: bytes) -> int:
+    """The fingerprint of the joined digests of a text's shingles; 0 without any."""
+    flat = np.frombuffer(digests, "u1").reshape(-1, 8)
     ones = np.zeros(BITS, "i8")
     for at in range(0, len(flat), 65_536):
         ones += np.unpackbits(flat[at : at + 65_536], axis=1).sum(axis=0, dtype="i4")

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from quarry.llm import resemblance
+from quarry.llm import resemblance, simhash
 
 
 def edited(rng, words, n):
@@ -76,3 +76,20 @@ def test_components_run_no_more_often_than_links_ask(spark, monkeypatch):
     rows = [(0, " ".join(words)), (1, " ".join(edited(rng, words, 2))), (2, "other words")]
     assert {r.doc_id for r in resemblance.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 2}
     assert len(runs) == 1
+
+
+def test_fingerprints_propose_pairs(spark, monkeypatch):
+    """Without any MinHash band in common, texts whose fingerprints differ in 1 to 3 bits, or are the same, are linked through the forests, if they are similar enough."""
+    monkeypatch.setattr(resemblance, "bands", lambda hashes: [int(hashes.sum() >> 2)])
+    rng, rows, apart = random.Random(9), [], []
+    for base in range(8):
+        words = [f"w{rng.randrange(9000)}" for _ in range(1500)]
+        code = simhash.fingerprint(" ".join(words).encode(), 5)
+        while (k := (code ^ simhash.fingerprint(" ".join(copy := edited(rng, words, 2)).encode(), 5)).bit_count()) > 3 or k == 0 and base < 4:
+            pass
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(copy))]
+        apart.append(k)
+    rows += [(90, "x " * 300 + "y"), (91, "x " * 300 + "z")]  # one fingerprint, other sets
+    assert any(apart)
+    got = {r.doc_id for r in resemblance.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {*range(0, 16, 2), 90, 91} == kept_brute(rows)
