@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import inspect
+import math
 import tempfile
 import uuid
 import weakref
@@ -111,6 +112,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """df in no more tasks than `rows` rows ask for, nor in fewer than there are cores: a task of a few rows leaves as many files in a shuffle as a full one."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / each)))
+
+
+def counted(df: DataFrame, each: int = 20_000) -> tuple[DataFrame, int]:
+    """cut(df), to be read in as many tasks as its rows ask for, and its rows."""
+    out = cut(df)
+    rows = few(out, 0).count()
+    return few(out, rows, each), rows
+
+
+def listed(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """df, broadcast if its rows are `most` or fewer, so that what it is joined with stays where it lies."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one that the session names for checkpoints; whoever asks for it removes what it wrote there."""
     return f"{shared(spark)}/{uuid.uuid4().hex}"
@@ -147,21 +165,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a long, b long); component is the smallest node reachable.
 
     Large-star and small-star rounds: each node's smallest neighbour comes from a groupBy that combines map-side, and goes back over a
-    join that deals the edges of a node with very many neighbours among tasks. Each round is checkpointed. Empty edges: no rows.
+    join that deals the edges of a node with very many neighbours among tasks. Each round is checkpointed, and has as many tasks as its
+    edges ask for. Empty edges: no rows.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    state = lambda e: e.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    state = lambda e: few(e, 0).agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = state(edges)
     for _ in range(rounds):
         if not before[0]:
             break
+        rows = before[0]
+        edges = few(edges, rows)
         # large-star: neighbours larger than a node go to the smallest node around it
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = spread_join(both, low, ["a"], "n", 2 * before[0]).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = few(spread_join(both, low, ["a"], "n", 2 * rows).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b"), rows)
+        large = few(large.distinct(), rows)
         # small-star: neighbours not larger than a node, and the node, go to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, low, ["b"], "n", before[0])  # no more than there were
+        small = few(spread_join(large, low, ["b"], "n", rows), rows)  # no more than there were
         edges = cut(small.select(F.col("m").alias("a"), "b").union(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
         now = state(edges)
         if now == before:
@@ -169,6 +191,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    edges = few(edges, before[0])
     return edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component").union(edges.select("a", "a").distinct())
 
 

@@ -16,12 +16,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, cut, lean, map_rows, spread_join, unused, utf8
+from quarry.llm.common import components, counted, few, lean, listed, map_rows, spread_join, unused, utf8
 from quarry.llm.simhash import blocks, links, majority, shards
 
 BANDS, ROWS = 24, 5
 #: Pairs of one point, and points of a bucket, that one task gets at most; points of a bucket that gives pairs.
 FAN, LARGE, SMALL = 1000, 2000, 16
+#: Rows of ids or pairs that are broadcast at most; sets of shingles that a task has about.
+MOST, SETS = 200_000, 2000
 SALT = np.array([xxhash.xxh64_intdigest(f"salt {k}".encode()) for k in range(BANDS * ROWS)], "u8")[:, None]
 ODD = np.array([xxhash.xxh64_intdigest(f"odd {k}".encode()) | 1 for k in range(BANDS * ROWS)], "u8")[:, None]
 
@@ -82,29 +84,30 @@ def near_sizes(a: Column, b: Column, least: float) -> Column:
 
 def forest(points: DataFrame, least: float) -> DataFrame:
     """(a, b) of points (point, n, print) that op5's vantage-point forests link by their fingerprints, or that share one; of each fingerprint its smallest point meets the others."""
-    first = cut(points.groupBy("print").agg(F.min(F.struct("point", "n")).alias("low"), F.count("*").alias("rows")))
-    linked_ = links(shards(first.select(F.col("print").alias("point")), first.count()))
+    first, n = counted(points.groupBy("print").agg(F.min(F.struct("point", "n")).alias("low"), F.count("*").alias("rows")))
+    linked_, rows = counted(links(shards(first.select(F.col("print").alias("point")), n)))
     side = lambda c: first.select(F.col("print").alias(c), F.col("low").alias(f"low_{c}"))
-    apart = linked_.join(side("a"), "a").join(side("b"), "b").select(F.col("low_a").alias("x"), F.col("low_b").alias("y"))
-    equal = spread_join(points.select("print", "point", "n"), first.where("rows > 1"), ["print"], "rows").where("point <> low.point").select(F.col("low").alias("x"), F.struct("point", "n").alias("y"))
+    apart = few(few(linked_.join(side("a"), "a"), rows).join(side("b"), "b"), rows).select(F.col("low_a").alias("x"), F.col("low_b").alias("y"))
+    equal = few(spread_join(points.select("print", "point", "n"), first.where("rows > 1"), ["print"], "rows"), n).where("point <> low.point").select(F.col("low").alias("x"), F.struct("point", "n").alias("y"))
     return apart.union(equal).where(near_sizes(F.col("x.n"), F.col("y.n"), least)).select(F.col("x.point").alias("a"), F.col("y.point").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b) whose sets have a Jaccard similarity of `least` or more. A point of very many pairs goes to many tasks."""
-    fan = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("k")))
-    left = sets.join(fan, F.col("point") == F.col("a")).select("a", F.col("hashes").alias("x"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
-    dealt = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part"))
-    both = dealt.join(sets.select(F.col("point").alias("b"), F.col("hashes").alias("y")), "b").join(left, ["a", "part"])
+def confirmed(pairs: DataFrame, rows: int, sets: DataFrame, least: float) -> DataFrame:
+    """Those of `rows` pairs (a, b) whose sets have a Jaccard similarity of `least` or more. A point of very many pairs goes to many tasks."""
+    fan, n = counted(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("k")))
+    left = sets.join(listed(fan, n, MOST), F.col("point") == F.col("a")).select("a", F.col("hashes").alias("x"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    dealt = pairs.join(listed(fan, n, MOST), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part"))
+    right = few(sets.select(F.col("point").alias("b"), F.col("hashes").alias("y")).join(listed(dealt, rows, MOST), "b"), rows, SETS)
+    both = right.join(few(left, rows, SETS), ["a", "part"])
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("n"))
     return both.where(F.col("common") >= least * (F.col("n") - F.col("common")) - 1e-9).select("a", "b")
 
 
-def mixed(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, point, n, root, size) of buckets that hold several classes."""
-    rooted = shared.join(classes, F.col("point") == F.col("node"), "left").select("bucket", "point", "n", F.coalesce("component", "point").alias("root"))
+def mixed(shared: DataFrame, n: int, classes: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, point, n, root, size) of buckets that hold several classes, of `n` rows, and their rows."""
+    rooted = few(shared.join(classes, F.col("point") == F.col("node"), "left"), n).select("bucket", "point", "n", F.coalesce("component", "point").alias("root"))
     several = rooted.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("size")).where("one <> other")
-    return cut(rooted.join(several.select("bucket", "size"), "bucket"))
+    return counted(rooted.join(several.select("bucket", "size"), "bucket"))
 
 
 def crossing(rest: DataFrame, least: float) -> DataFrame:
@@ -146,33 +149,35 @@ def linked(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         a, b = set_links(pdf["point"].to_numpy("i8"), [np.asarray(h, "i8") for h in pdf["hashes"]], least)
         return pd.DataFrame({"a": a, "b": b}, dtype="i8")
 
-    dealt = blocks(rest.select(F.col("bucket").alias("shard"), "point"), LARGE)
-    return dealt.join(sets, "point").groupBy("shard").applyInPandas(lean(run), "a long, b long").distinct()
+    dealt, rows = counted(blocks(rest.select(F.col("bucket").alias("shard"), "point"), LARGE))
+    return few(sets.join(listed(dealt, rows, MOST), "point"), rows, SETS).groupBy("shard").applyInPandas(lean(run), "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of each id: the smallest id among documents reachable over pairs of similarity `least` or more. Null texts are empty; texts without words are one class. Null ids have no row."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
-    prints = cut(sketches(rows, words))
-    points = cut(prints.groupBy("point").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.min("print").alias("print"), F.count("*").alias("rows")))
+    prints, n_docs = counted(sketches(rows, words))
+    points, n_points = counted(prints.groupBy("point").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.min("print").alias("print"), F.count("*").alias("rows")))
     buckets = points.select("point", "n", F.explode("bands").alias("bucket"))
     low = buckets.groupBy("bucket").agg(F.min(F.struct("point", "n")).alias("low"), F.max("point").alias("high")).where("low.point <> high").select("bucket", "low")
-    shared = cut(buckets.join(low, "bucket"))
-    close = cut(forest(points, least))
-    wanted = points.join(shared.select("point").union(close.select("a")).union(close.select("b")).distinct(), "point", "left_semi").select(F.col("first").alias("doc_id"))
-    sets = cut(shingle_sets(rows.join(wanted, "doc_id", "left_semi"), words))
-    stars = cut(shared.where("point <> low.point").where(near_sizes(F.col("n"), F.col("low.n"), least)).select(F.col("low.point").alias("a"), F.col("point").alias("b")).union(close).distinct())
-    edges = cut(confirmed(stars, sets, least))
-    classes = cut(components(edges))
-    rest = mixed(shared, classes)
-    pairs = cut(crossing(rest.where(F.col("size") <= SMALL), least).join(stars, ["a", "b"], "left_anti"))
-    more = cut(linked(rest.where(F.col("size") > SMALL), sets, least).union(confirmed(pairs, sets, least)))
-    if not more.isEmpty():
-        classes = components(edges.union(more))
-    rooted = cut(points.join(classes, points["point"] == classes["node"], "left").select("point", "first", "rows", F.coalesce("component", "point").alias("root")))
+    shared, n_shared = counted(buckets.join(low, "bucket"))
+    close, _ = counted(forest(points, least))
+    near_ = shared.select("point").union(close.select("a")).union(close.select("b")).distinct()
+    wanted, n_wanted = counted(points.join(near_, "point", "left_semi").select(F.col("first").alias("doc_id")))
+    sets, _ = counted(shingle_sets(rows.join(listed(wanted, n_wanted, MOST), "doc_id", "left_semi"), words), SETS)
+    stars = shared.where("point <> low.point").where(near_sizes(F.col("n"), F.col("low.n"), least)).select(F.col("low.point").alias("a"), F.col("point").alias("b")).union(close)
+    stars, n_stars = counted(stars.distinct())
+    edges, _ = counted(confirmed(stars, n_stars, sets, least))
+    classes, _ = counted(components(edges))
+    rest, _ = mixed(shared, n_shared, classes)
+    pairs, n_pairs = counted(crossing(rest.where(F.col("size") <= SMALL), least).join(stars, ["a", "b"], "left_anti"))
+    more, n_more = counted(linked(rest.where(F.col("size") > SMALL), sets, least).union(confirmed(pairs, n_pairs, sets, least)))
+    if n_more:
+        classes, _ = counted(components(edges.union(more)))
+    rooted, _ = counted(points.join(classes, points["point"] == classes["node"], "left").select("point", "first", "rows", F.coalesce("component", "point").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    named = spread_join(rooted.select("point", "rows", "root"), lowest, ["root"], "n").select("point", "rows", "component_id")
-    return spread_join(prints.select("doc_id", "point"), named, ["point"], "rows").select("doc_id", "component_id")
+    named = few(spread_join(rooted.select("point", "rows", "root"), lowest, ["root"], "n").select("point", "rows", "component_id"), n_points)
+    return few(spread_join(prints.select("doc_id", "point"), named, ["point"], "rows").select("doc_id", "component_id"), n_docs)
 
 
 def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", most: int = 500_000) -> DataFrame:
@@ -183,5 +188,5 @@ def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: st
     empty table gives no rows. Dropped ids are broadcast only if there are `most` or fewer.
     """
     (name,) = unused(docs, "_near_id")
-    gone = cut(similar(docs.select(id_col, text_col), words, least, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, F.col(id_col) == F.col(name), "left_anti")
+    gone, n = counted(similar(docs.select(id_col, text_col), words, least, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(listed(gone, n, most), F.col(id_col) == F.col(name), "left_anti")

@@ -2,9 +2,10 @@
 
 Documents get 64-bit fingerprints; equal ones are one point from then on. Two points at 3 or fewer bits differ by at most one bit in
 their upper or in their lower half, so each half has a forest of its own with a search radius of 1. A forest's upper levels are
-vantage points that all nodes of a level share: points within the median Hamming distance of it (measured on all points) go in, the
-others out, and those beyond the median by no more than the radius (the triangle bound) are copied in, so that each close pair meets
-in at least one shard. The depth follows the number of points. Shards that stay too large are split again by their own medians; those
+vantage points that all nodes of a level share: points within about the median Hamming distance of it (measured on all points) go in, the
+others out, and those beyond by no more than the radius (the triangle bound) are copied in, so that each close pair meets in at least
+one shard. The distance is the median or one less, whichever leaves the two sides, copies included, more even. The depth follows the
+number of points. Shards that stay too large, and these alone, are split again by their own medians; those
 that still are, as their points are close to each other, are dealt in blocks, and each pair of blocks is a shard. In a shard, points are
 ordered by their distance to one more vantage point over all 64 bits, and only those whose distances differ by at most 3 are
 compared. A shard gives each point of its classes one link, never all pairs; connected components join the links of all shards.
@@ -13,6 +14,7 @@ compared. A shard gives each point of its classes one link, never all pairs; con
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, cut, lean, map_rows, spread_join, utf8
+from quarry.llm.common import components, counted, cut, few, lean, listed, map_rows, spread_join, utf8
 
 BITS, RADIUS = 64, 3
 #: Points of a shard aimed at, and above which it is split again.
@@ -65,11 +67,19 @@ def distance(level: int, half: int) -> Column:
 
 
 def medians(points: DataFrame, depth: int) -> list[list[int]]:
-    """Of each half and level the median distance of all points from its vantage point; one pass that combines map-side."""
+    """Of each half and level the distance from its vantage point within which points go in: the median of all points, or one less. Two passes that combine map-side."""
     if not depth:
         return [[], []]
-    row = points.agg(*[F.percentile_approx(distance(level, half), 0.5, 1000).alias(f"m{half}_{level}") for half in range(2) for level in range(depth)]).first()
-    return [[16 if row[f"m{half}_{level}"] is None else int(row[f"m{half}_{level}"]) for level in range(depth)] for half in range(2)]
+    each = [(half, level) for half in range(2) for level in range(depth)]
+    row = points.agg(*[F.percentile_approx(distance(level, half), 0.5, 1000).alias(f"m{half}_{level}") for half, level in each]).first()
+    m = {at: 16 if row[f"m{at[0]}_{at[1]}"] is None else int(row[f"m{at[0]}_{at[1]}"]) for at in each}
+    upto = points.agg(F.count("*").alias("n"), *[F.count_if(distance(level, half) <= m[half, level] + k).alias(f"c{half}_{level}_{k + 1}") for half, level in each for k in (-1, 0, 1)]).first()
+    return [[m[half, level] - evener(upto["n"], *(upto[f"c{half}_{level}_{k}"] for k in range(3))) for level in range(depth)] for half in range(2)]
+
+
+def evener(n: int, below: int, within: int, beyond: int) -> bool:
+    """Whether a cut at one less than the median leaves less to compare than one at it, by the squares of both sides' points; those one beyond a cut are on both sides. below, within, beyond: points up to one less than the median, it, and one more."""
+    return within**2 + (n - below) ** 2 < beyond**2 + (n - within) ** 2
 
 
 def paths(half: int, cuts: list[int]) -> Column:
@@ -84,33 +94,41 @@ def paths(half: int, cuts: list[int]) -> Column:
     return F.aggregate(side, F.array(F.lit(0).cast("long")), step)
 
 
-def shards(points: DataFrame, n: int, shard: int = SHARD, large: int = LARGE, rounds: int = 2) -> DataFrame:
+def shards(points: DataFrame, n: int, shard: int = SHARD, large: int = LARGE, rounds: int = 2, most: int = 500_000) -> DataFrame:
     """(shard, point): each pair of points at RADIUS or less shares a shard."""
     depth = max(0, math.ceil(math.log(max(1, n / shard)) / 0.565))
     cuts = medians(points, depth)
     out = points.select("point", F.explode(paths(0, cuts[0])).alias("path")).withColumn("half", F.lit(0))
     out = out.union(points.select("point", F.explode(paths(1, cuts[1])).alias("path"), F.lit(1).alias("half")))
-    out = out.select(F.xxhash64("half", "path").alias("shard"), "half", "point")
+    out, rows = counted(out.select(F.xxhash64("half", "path").alias("shard"), "half", "point"))
+    done = []
     for level in range(depth, depth + rounds):
-        over = cut(out.groupBy("shard", "half").agg(F.count("*").alias("n")).where(F.col("n") > large).select("shard", "n"))
-        if over.isEmpty():
+        over, n = counted(out.groupBy("shard", "half").agg(F.count("*").alias("n")).where(F.col("n") > large).select("shard"))
+        if not n:
             break
         d = F.when(F.col("half") == 0, distance(level, 0)).otherwise(distance(level, 1))
-        far = out.withColumn("d", d).join(over, "shard", "left")
-        median = far.where("n is not null").groupBy("shard").agg(F.percentile_approx("d", 0.5, 1000).alias("m"))
-        side = F.when(F.col("m").isNull(), F.array(F.lit(-1))).when(F.col("d") <= F.col("m"), F.array(F.lit(0))).when(F.col("d") > F.col("m") + 1, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
-        split = far.join(median, "shard", "left").select("shard", "half", "point", F.explode(side).alias("side"))
-        out = cut(split.select(F.when(F.col("side") < 0, F.col("shard")).otherwise(F.xxhash64("shard", "side", F.lit(level))).alias("shard"), "half", "point"))
-    return blocks(out.select("shard", "point"), large)
-
-
-def blocks(sharded: DataFrame, large: int) -> DataFrame:
+        far = out.join(listed(over, n, most), "shard").withColumn("d", d)
+        median, _ = counted(far.groupBy("shard").agg(F.percentile_approx("d", 0.5, 1000).alias("m")))
+        side = F.when(F.col("d") <= F.col("m"), F.array(F.lit(0))).when(F.col("d") > F.col("m") + 1, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+        split = far.join(listed(median, n, most), "shard").select("shard", "half", "point", F.explode(side).alias("side"))
+        split = split.select(F.xxhash64("shard", "side", F.lit(level)).alias("shard"), "half", "point")
+        done.append(out.join(listed(over, n, most), "shard", "left_anti").select("shard", "point"))
+        out, rows = counted(few(split, 2 * rows))
+    else:
+        out = blocks(out, large, most)
+    return reduce(DataFrame.union, done, out.select("shard", "point"))
+
+
+def blocks(sharded: DataFrame, large: int, most: int = 500_000) -> DataFrame:
     """(shard, point): shards of over `large` points as pairs of blocks of about half that; each pair of points still meets, no task has many more than `large`."""
-    dense = sharded.groupBy("shard").agg(F.ceil(F.count("*") * 2 / large).cast("int").alias("k")).where("k > 2")
+    dense, n = counted(sharded.groupBy("shard").agg(F.ceil(F.count("*") * 2 / large).cast("int").alias("k")).where("k > 2"))
+    if not n:
+        return sharded.select("shard", "point")
     k, block = F.col("k"), F.pmod(F.xxhash64("point"), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.xxhash64("shard", F.least(block, j), F.greatest(block, j)))
     pairs = F.array_remove(pairs, F.xxhash64("shard", block, block))  # a block meets itself in each of its pairs
-    return sharded.join(dense, "shard", "left").select(F.explode(F.when(k.isNull(), F.array("shard")).otherwise(pairs)).alias("shard"), "point")
+    many = sharded.join(listed(dense, n, most), "shard").select(F.explode(pairs).alias("shard"), "point")
+    return sharded.join(listed(dense, n, most), "shard", "left_anti").select("shard", "point").union(many)
 
 
 def shard_links(points: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +183,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_
     without words, have the fingerprint 0 and link as any other. A null id is never a component_id unless its class has no other. Repeated
     rows each give a row. Texts of any length are read whole, other columns are not. An empty table gives no rows.
     """
-    prints = cut(fingerprints(docs, shingle, id_col, text_col))
-    points = cut(prints.groupBy("point").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))  # combines map-side: a point of very many documents is one row from each task
-    n = points.count()
+    prints, _ = counted(fingerprints(docs, shingle, id_col, text_col))
+    points, n = counted(prints.groupBy("point").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))  # combines map-side: a point of very many documents is one row from each task
     classes = components(links(shards(points.select("point"), n)))
-    rooted = cut(points.join(classes, points["point"] == classes["node"], "left").select("point", "first", "rows", F.coalesce("component", "point").alias("root")))
+    rooted, _ = counted(points.join(classes, points["point"] == classes["node"], "left").select("point", "first", "rows", F.coalesce("component", "point").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    named = spread_join(rooted.select("point", "rows", "root"), lowest, ["root"], "n").select("point", "rows", "component_id")
+    named = few(spread_join(rooted.select("point", "rows", "root"), lowest, ["root"], "n").select("point", "rows", "component_id"), n)
     return spread_join(prints, named, ["point"], "rows").select("doc_id", F.lpad(F.lower(F.hex("point")), 16, "0").alias("fingerprint"), "component_id")

@@ -93,3 +93,37 @@ def test_fingerprints_propose_pairs(spark, monkeypatch):
     assert any(apart)
     got = {r.doc_id for r in resemblance.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {*range(0, 16, 2), 90, 91} == kept_brute(rows)
+
+
+def test_shards_even(spark):
+    """The two sides of a vantage point hold about as many points, those copied included, so no shard has to be split again for its place."""
+    rng = random.Random(10)
+    points = spark.createDataFrame([(rng.getrandbits(64) - 2**63,) for _ in range(20_000)], "point long")
+    sizes = [r["count"] for r in simhash.shards(points, 20_000, 1000, 10**9).groupBy("shard").count().collect()]
+    assert max(sizes) < 1800
+
+
+def test_small_tables_take_few_tasks(spark):
+    """A few hundred rows don't leave as many shuffle files as there are partitions, stage by stage."""
+    rng, docs = random.Random(11), []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        docs += [words, edited(rng, words, 2), edited(rng, words, 3)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    sc = spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few tasks", "")
+        got = {r.doc_id for r in resemblance.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == kept_brute(rows)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert tasks < 4500
