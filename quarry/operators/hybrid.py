@@ -23,8 +23,10 @@ def candidates(spark: SparkSession, vectors: str, index: Index, questions: DataF
 
 def reranked(index: Index, found: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, id, score) of candidates by the words of questions (qid, qtext), from the index's postings: no text is read again."""
-    own = index.read(questions)["postings"].join(search.small(found.select("id").distinct()), "id", "left_semi")
-    return search.rerank_by(own, found, questions)
+    built = index.read(questions)
+    if "packed" in built:
+        return search.rerank_in(built["packed"], found, questions)
+    return search.rerank_by(built["postings"].join(search.small(found.select("id").distinct()), "id", "left_semi"), found, questions)
 
 
 def retrieve(spark: SparkSession, vectors: str, index: Index, questions: DataFrame, top: int = 6, depth: int = 30, probes: int | None = None) -> DataFrame:
